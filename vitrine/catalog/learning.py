@@ -1 +1,233 @@
+"""Text classification and segmentation queries over the labelled documents and the order facts."""
 
+from __future__ import annotations
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from vitrine.catalog.registry import query
+from vitrine.functions import rules
+from vitrine.ml import mixed, segments, sentiment, words
+from vitrine.plans import dashboards
+from vitrine.session import scratch_path
+
+_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(review_text), 'http\S+|www\S+', '', 'g'), '[^a-z0-9\s áéíóúãõçñ]', '', 'g'), '\s+', ' ', 'g'))"
+_PREPARED = rf"""prep AS (SELECT doc_id, {_CLEAN} AS review_text, CASE WHEN review_score >= 4 THEN 'Positive' ELSE 'Negative' END AS sentiment FROM reviews
+WHERE len(regexp_split_to_array(regexp_replace(review_text, '^\s+|\s+$', '', 'g'), '\s+')) >= 3 AND length({_CLEAN}) > 0)"""
+
+
+def _prepared(m):
+    return words.prepared(m.reviews(), ["doc_id"])
+
+
+@query("m01_labelled", "SELECT review_score, md5(review_text) AS text_md5 FROM reviews", "reviews")
+def m01(m):
+    return words.labelled(m.reviews()).select("review_score", F.md5("review_text").alias("text_md5"))
+
+
+@query("m02_clean_text", f"WITH {_PREPARED} SELECT doc_id, md5(review_text) AS text_md5, sentiment FROM prep", "reviews")
+def m02(m):
+    return _prepared(m).select("doc_id", F.md5("review_text").alias("text_md5"), "sentiment")
+
+
+@query("m03_label_codes", f"WITH {_PREPARED} SELECT sentiment AS label_name, row_number() OVER (ORDER BY sentiment) - 1 AS code FROM (SELECT DISTINCT sentiment FROM prep)", "reviews")
+def m03(m):
+    return words.label_table(_prepared(m), "sentiment")
+
+
+@query("m04_stratified_split", f"""WITH {_PREPARED} SELECT doc_id, sentiment, row_number() OVER (PARTITION BY sentiment ORDER BY md5('30:' || doc_id), doc_id) <= round(count(*) OVER (PARTITION BY sentiment) * 0.2) AS is_test FROM prep""", "reviews")
+def m04(m):
+    return sentiment.split(_prepared(m).select("doc_id", "sentiment"), "doc_id", "sentiment")
+
+
+_TERMS = f"""{_PREPARED}, tok AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(review_text, '[a-z0-9áéíóúãõçñ]{{2,}}') AS w FROM prep)),
+term AS (SELECT doc_id, word AS term FROM tok UNION ALL SELECT doc_id, word || ' ' || nxt FROM (SELECT doc_id, word, lead(word) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM tok) WHERE nxt IS NOT NULL),
+tc AS (SELECT doc_id, term, count(*) AS tf FROM term GROUP BY 1, 2)"""
+_VOCAB = """voc AS (SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tf, ln((1 + (SELECT count(*) FROM prep)) / (1 + count(*))) + 1 AS idf FROM tc GROUP BY 1
+HAVING count(*) >= 7 AND count(*) <= 0.8 * (SELECT count(*) FROM prep) ORDER BY sum(tf) DESC, term LIMIT 2000)"""
+
+
+@query("m05_term_counts", f"WITH {_TERMS} SELECT * FROM tc", "reviews")
+def m05(m):
+    return words.term_counts(_prepared(m), "doc_id")
+
+
+@query("m06_vocabulary", f"WITH {_TERMS}, {_VOCAB} SELECT term, df, tf, round(idf, 9) AS idf FROM voc", "reviews")
+def m06(m):
+    return words.vocabulary(_prepared(m)).withColumn("idf", F.round("idf", 9))
+
+
+@query("m07_tfidf", f"""WITH {_TERMS}, {_VOCAB}, w AS (SELECT doc_id, term, tc.tf * idf AS w FROM tc JOIN voc USING (term)), l AS (SELECT doc_id, sqrt(sum(w * w)) AS l FROM w GROUP BY 1)
+SELECT doc_id, term, round(w / l, 9) AS weight FROM w JOIN l USING (doc_id)""", "reviews")
+def m07(m):
+    return words.tfidf(_prepared(m), "doc_id").withColumn("weight", F.round("weight", 9))
+
+
+def _fitted(m, **params) -> tuple[PipelineModel, object]:
+    rows = sentiment.split(words.with_label(_prepared(m)), "doc_id")
+    return sentiment.train(rows.filter(~F.col("is_test")), {"C": 1.0, "max_iter": 100, **params}), rows.filter("is_test")
+
+
+@query("m08_logistic")
+def m08(m):
+    model, _ = _fitted(m, class_weight="balanced")
+    return sentiment.importance(model, top=words.VOCABULARY)
+
+
+@query("m09_search")
+def m09(m):
+    rows = sentiment.folded(words.with_label(_prepared(m)).select("doc_id", "review_text", "label"), "doc_id")
+    return sentiment.trial_scores(sentiment.search(rows, sentiment.trial_params(2), folds=2))
+
+
+@query("m17_feature_search")
+def m17(m):
+    rows = sentiment.folded(words.with_label(_prepared(m)).select("doc_id", "review_text", "label"), "doc_id")
+    return sentiment.trial_scores(sentiment.search(rows, sentiment.trial_params(2, seed=7, feature_steps=sentiment.FEATURE_STEPS), folds=2))
+
+
+_CELLS = "c AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (y = p)::DOUBLE AS ok, " + ", ".join(
+    f"count(*) FILTER (y = {i} AND p = {i})::DOUBLE AS t{i}, count(*) FILTER (p = {i})::DOUBLE AS s{i}, count(*) FILTER (y = {i})::DOUBLE AS w{i}" for i in (0, 1)) + \
+    " FROM (SELECT quality AS y, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE 1 END AS p FROM labels))"
+_F = {i: f"coalesce(2 * t{i} / nullif(s{i} + w{i}, 0), 0)" for i in (0, 1)}
+
+
+def _judged(m):
+    """Labels beside a made prediction: the label itself, turned round in every fifth row, else 1."""
+    return m.table("labels").select(F.col("quality").alias("label"), F.when(F.col("doc_id") % 5 == 0, 1 - F.col("quality")).otherwise(1).alias("prediction"))
+
+
+@query("m10_metrics", f"WITH {_CELLS} " + " UNION ALL ".join(f"SELECT '{n}' AS metric, round({v}, 12) AS value FROM c" for n, v in [
+    ("weighted_f1", f"({_F[0]} * w0 + {_F[1]} * w1) / n"), ("macro_f1", f"({_F[0]} + {_F[1]}) / 2"), ("accuracy", "ok / n"),
+    *[(f"{name}_{k}", v) for i, name in enumerate(("Negative", "Positive")) for k, v in
+      (("precision", f"coalesce(t{i} / nullif(s{i}, 0), 0)"), ("recall", f"coalesce(t{i} / nullif(w{i}, 0), 0)"), ("f1", _F[i]))]]))
+def m10(m):
+    return sentiment.metrics(_judged(m)).withColumn("value", F.round("value", 12))
+
+
+@query("m11_confusion_matrix", """SELECT CASE y WHEN 0 THEN 'Negative' ELSE 'Positive' END AS actual, count(*) FILTER (p = 0) AS predicted_negative, count(*) FILTER (p = 1) AS predicted_positive
+FROM (SELECT quality AS y, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE 1 END AS p FROM labels) GROUP BY 1""")
+def m11(m):
+    return sentiment.confusion_matrix(_judged(m))
+
+
+@query("m11_report", f"WITH {_CELLS} " + " UNION ALL ".join(
+    f"SELECT '{n}' AS class_name, round(coalesce(t{i} / nullif(s{i}, 0), 0), 12) AS precision, round(coalesce(t{i} / nullif(w{i}, 0), 0), 12) AS recall, round({_F[i]}, 12) AS f1, CAST(w{i} AS BIGINT) AS support FROM c"
+    for i, n in enumerate(("Negative", "Positive"))))
+def m11_report(m):
+    out = sentiment.report(_judged(m))
+    return out.select("class_name", "support", *[F.round(c, 12).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query("m12_batch_scores")
+def m12(m):
+    model, held_out = _fitted(m)
+    return sentiment.scored(model, held_out.select("doc_id", "review_text", "label"))
+
+
+@query("s14_model_store")
+def s14(m):
+    """Save a model and its label names, load both, score every document."""
+    path = scratch_path(m.spark, "model")
+    sentiment.save(_fitted(m)[0], path)
+    model, names = sentiment.load(m.spark, path)
+    everything = m.table("documents").select("doc_id", words.text.clean_for_model(F.col("text")).alias("review_text"))
+    return sentiment.scored(model, everything, names).select("doc_id", "sentiment_label", "confidence")
+
+
+def _order_features(m):
+    """Complete delivered orders with a 0/1 label from the score."""
+    rows = m.fact_orders().withColumn("primary_payment_type", F.concat(F.lit("type "), (F.col("order_id") % 4).cast("string"))).withColumn("is_invalid_payment", F.col("total_payment") <= 0)
+    rows = mixed.complete_rows(rows, ["purchase_date_key", "customer_unique_id"])
+    rows = rows.withColumn("label", (F.col("review_score") >= 4).cast("double")).withColumn("total_payment", F.col("total_payment").cast("double"))
+    return mixed.flags_as_numbers(rows, ["is_late_delivery", "is_invalid_payment"])
+
+
+_MIXED = (["primary_payment_type", "order_status"], ["delivery_days_actual", "total_payment"], ["is_late_delivery", "is_invalid_payment"])
+
+
+@query("m13_mixed_features")
+def m13(m):
+    rows = _order_features(m)
+    return mixed.mixed_pipeline(rows, *_MIXED, text_column=None).transform(rows).select("order_id", "label", vector_to_array("features").alias("features"))
+
+
+@query("m14_naive_bayes")
+def m14(m):
+    rows = _order_features(m)
+    shaped = mixed.mixed_pipeline(rows, *_MIXED, text_column=None).transform(rows).select("order_id", "label", "features")
+    model = sentiment.naive_bayes(shaped)
+    return sentiment.metrics(model.transform(shaped))
+
+
+_ROC = """r AS (SELECT n_chars % 97 AS score, count(*) FILTER (quality = 1) AS pos, count(*) FILTER (quality <> 1) AS neg FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+t AS (SELECT score, pos, neg, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp, sum(pos) OVER () AS p, sum(neg) OVER () AS n FROM r WINDOW w AS (ORDER BY score DESC))"""
+
+
+def _points(m):
+    rows = m.table("documents").select("doc_id", (F.col("n_chars") % 97).alias("score")).join(m.table("labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return sentiment.roc(rows)
+
+
+@query("m15_roc_points", f"WITH {_ROC} SELECT score, pos, neg, tp, fp, tp::DOUBLE / p::DOUBLE AS tpr, fp::DOUBLE / n::DOUBLE AS fpr FROM t")
+def m15(m):
+    return _points(m)
+
+
+@query("m15_auc", f"WITH {_ROC} SELECT round(sum(neg * (tp - pos / 2.0))::DOUBLE / (max(p) * max(n))::DOUBLE, 9) AS auc FROM t")
+def m15_auc(m):
+    return sentiment.auc(_points(m)).select(F.round("auc", 9).alias("auc"))
+
+
+@query("m15_leaderboard")
+def m15_board(m):
+    """AUC of logistic regression and Gaussian naive Bayes on the same order features."""
+    rows = sentiment.split(_order_features(m), "order_id")
+    shaped = mixed.mixed_pipeline(rows, *_MIXED, text_column=None).transform(rows).select("order_id", "label", "features", "is_test")
+    inner, outer = shaped.filter("not is_test"), shaped.filter("is_test")
+    chance = vector_to_array("probability")[1].alias("score")
+    fitted = {"Logistic Regression": sentiment.logistic(inner, max_iter=50), "Naive Bayes": sentiment.naive_bayes(inner)}
+    return sentiment.leaderboard(m.spark, {n: f.transform(outer).select("label", chance) for n, f in fitted.items()})
+
+
+@query("m16_importance")
+def m16(m):
+    rows = _order_features(m)
+    shaped = mixed.mixed_pipeline(rows, *_MIXED, text_column=None).transform(rows).select("label", "features")
+    model = sentiment.naive_bayes(shaped)
+    return sentiment.mean_difference([f"feature {i}" for i in range(model.numFeatures)], model.theta)
+
+
+@query("m18_complete_rows", "SELECT order_id, customer_unique_id, order_status, total_payment, review_score, review_text, is_late_delivery FROM fact_orders WHERE review_text IS NOT NULL AND is_late_delivery IS NOT NULL", "fact_orders")
+def m18(m):
+    return mixed.complete_rows(m.fact_orders(), ["purchase_date_key", "delivery_days_actual"])
+
+
+_STOPS = sorted({w for known in rules.FUNCTION_WORDS.values() for w in known})
+_STOP_SQL = ", ".join(f"'{w}'" for w in _STOPS if w != "não")
+
+
+@query("m19_content_words", rf"""WITH t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents))
+SELECT doc_id, md5(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (word NOT IN ({_STOP_SQL}) AND length(word) >= 3), '')) AS h FROM t GROUP BY 1""")
+def m19(m):
+    return m.table("documents").select("doc_id", F.md5(words.content_words("text", _STOPS)).alias("h"))
+
+
+def _behaviour(m):
+    orders = m.fact_orders()
+    return segments.behaviour(dashboards.rfm(orders, m.fact_order_items(), m.dim_products(), m.dim_customers()), orders)
+
+
+@query("m20_segments")
+def m20(m):
+    rows = _behaviour(m).persist()
+    model = segments.fit_segments(rows)
+    return segments.segmented(model, rows).drop("scaled")
+
+
+@query("m21_profiles")
+def m21(m):
+    rows = _behaviour(m).persist()
+    model = segments.fit_segments(rows)
+    return segments.profile_matrix(segments.segmented(model, rows))

@@ -130,3 +130,9 @@ def delay_against_score(fact_orders: DataFrame, longest: int = 100, boundary: fl
     out = kept.groupBy("delivery_days_actual", "is_late_delivery").agg(F.sum("review_score").alias("_s"), F.count(F.lit(1)).alias("n"))
     mean = numbers.ratio(F.col("_s"), F.col("n"))
     return out.select("delivery_days_actual", "is_late_delivery", "n", mean.alias("mean_score"), (mean > boundary).alias("above_boundary"))
+
+
+def value_checks(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """How many rows meet each named condition, all counted in one pass."""
+    counts = df.agg(*[F.count_if(c).alias(n) for n, c in conditions.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(n).alias("check_name"), F.col(n).alias("n")) for n in conditions])))
