@@ -58,7 +58,7 @@ def main() -> int:
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     folder = f"{TESTDATA}/sf{args.sf}"
-    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+    spark = build_session("compare", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = duck(folder), 0
     every, checks = catalog.queries(), catalog.oracles()

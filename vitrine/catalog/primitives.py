@@ -200,8 +200,8 @@ g AS (SELECT doc_id, text, CASE WHEN greatest(de, en, es, fr, pt) = 0 THEN NULL
 WHEN es >= greatest(fr, pt) THEN 'es' WHEN fr >= pt THEN 'fr' ELSE 'pt' END AS guess FROM h)
 SELECT doc_id, guess, CASE WHEN guess IS NOT NULL THEN guess = 'fr' ELSE length(trim(text)) >= 5 END AS passes FROM g""" % ", ".join(_hits(x) for x in ("de", "en", "es", "fr", "pt")))
 def p21(m):
-    t = F.col("text")
-    return m.table("documents").select("doc_id", rules.guessed_language(t).alias("guess"), rules.passes_language_gate(t, "fr").alias("passes"))
+    told = rules.with_language(m.table("documents"), "text", "guess")
+    return told.select("doc_id", "guess", rules.passes_language_gate(F.col("guess"), F.col("text"), "fr").alias("passes"))
 
 
 @query("p22_intents", r"""SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_])(what is vitrine|about vitrine|%s)($|[^\p{L}\p{N}_])') THEN 'platform_info'

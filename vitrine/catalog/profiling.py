@@ -107,8 +107,8 @@ def e10(m):
 
 @query("e12_density", """WITH v AS (SELECT CAST(delivery_days_actual AS DOUBLE) AS x, count(*) AS k FROM fact_orders WHERE delivery_days_actual IS NOT NULL GROUP BY 1),
 s AS (SELECT min(delivery_days_actual)::DOUBLE AS lo, max(delivery_days_actual)::DOUBLE AS hi, count(delivery_days_actual) AS n, stddev_samp(CAST(delivery_days_actual AS DOUBLE)) * pow(count(delivery_days_actual)::DOUBLE, -0.2) AS h FROM fact_orders),
-g AS (SELECT p, lo + p * (hi - lo) / 49 AS at, n, h FROM s, (SELECT unnest(range(50)) AS p))
-SELECT CAST(p AS INTEGER) AS point, round(at, 6) AS at_value, round(sum(k * exp(-0.5 * ((at - x) / h) * ((at - x) / h)) / (n * h * sqrt(2 * pi()))), 10) AS density FROM g, v GROUP BY 1, 2""", "fact_orders")
+g AS (SELECT p, lo + p * (hi - lo) / 49 AS spot, n, h FROM s, (SELECT unnest(range(50)) AS p))
+SELECT CAST(p AS INTEGER) AS point, round(spot, 6) AS at_value, round(sum(k * exp(-0.5 * ((spot - x) / h) * ((spot - x) / h)) / (n * h * sqrt(2 * pi()))), 10) AS density FROM g, v GROUP BY 1, 2""", "fact_orders")
 def e12(m):
     out = profile.density(m.fact_orders(), "delivery_days_actual")
     return out.select("point", F.round("at_value", 6).alias("at_value"), F.round("density", 10).alias("density"))

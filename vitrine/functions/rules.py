@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from vitrine.functions.text import bound
+
 # Order states that do not count as a sale.
 NOT_A_SALE = ("created", "approved", "canceled", "unavailable")
 # States left out of the daily trend and of the review average.
@@ -83,24 +85,18 @@ FUNCTION_WORDS = {
 }
 
 
-def language_scores(text: Column, words: dict[str, Sequence[str]] = FUNCTION_WORDS) -> dict[str, Column]:
-    """Count of words of ``text`` that are function words of each language."""
-    tokens = F.split(F.lower(text), r"[^\p{L}]+")
-    hits = lambda known: F.size(F.filter(tokens, lambda t: t.isin(list(known))))
-    return {lang: hits(known) for lang, known in sorted(words.items())}
-
-
-def guessed_language(text: Column, words: dict[str, Sequence[str]] = FUNCTION_WORDS) -> Column:
-    """Language with most function words in the whole text; the first by code on a tie; NULL when none occurs."""
-    scores = language_scores(text, words)
-    best = F.array_max(F.array(*[F.struct(n.alias("hits"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang"))
-                                 for i, (lang, n) in enumerate(scores.items())]))
-    return F.when(best["hits"] > 0, best["lang"])
+def with_language(df: DataFrame, text: str, as_name: str = "language", words: dict[str, Sequence[str]] = FUNCTION_WORDS) -> DataFrame:
+    """Add the language with most function words in the whole text: the first by code on a tie, NULL when none occurs."""
+    hits = lambda tokens, known: F.size(F.filter(tokens, lambda t: t.isin(list(known))))
+    scores = lambda tokens: F.array_max(F.array(*[F.struct(hits(tokens, known).alias("hits"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang"))
+                                                  for i, (lang, known) in enumerate(sorted(words.items()))]))
+    best = F.col("_best")
+    told = df.withColumn("_best", bound(F.split(F.lower(text), r"[^\p{L}]+"), scores))
+    return told.withColumn(as_name, F.when(best["hits"] > 0, best["lang"])).drop("_best")
 
 
-def passes_language_gate(text: Column, wanted: str = "pt", words: dict[str, Sequence[str]] = FUNCTION_WORDS) -> Column:
+def passes_language_gate(guess: Column, text: Column, wanted: str = "pt") -> Column:
     """Keep the wanted language; text no language can be told for passes from five characters on."""
-    guess = guessed_language(text, words)
     return F.when(guess.isNotNull(), guess == wanted).otherwise(F.length(F.btrim(text)) >= 5)
 
 

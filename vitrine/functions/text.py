@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, functions as F
@@ -54,6 +54,16 @@ SELLER_CITY_TYPOS = {
 }
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` applied to ``value``, which is computed once per row.
+
+    The optimizer may inline a projected column wherever it is used, in a filter pushed
+    below the projection too; inside a per-element lambda that would compute it anew for
+    each element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def swap_all(text: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     """Literal replacements applied one after another."""
     return reduce(lambda acc, p: F.replace(acc, F.lit(p[0]), F.lit(p[1])), pairs, text)
@@ -94,45 +104,56 @@ def repair_review(text: Column) -> Column:
     return blank_to_null(F.trim(F.lower(single_spaced(out))))
 
 
-def repair_geo_city(city: Column, state: Column, keep_spaces: bool = False) -> Column:
-    """Normalise a lower-cased geolocation city name.
+def tidy_geo_city(city: Column, keep_spaces: bool = False) -> Column:
+    """Undo mis-decoding, accents and marks of a lower-cased geolocation city name.
 
     Spaces are dropped along with the other marks, as the fixed values say;
-    ``keep_spaces`` gives the variant in which they survive and the trailing
-    state code is cut off.
+    ``keep_spaces`` gives the variant in which they survive.
     """
     out = swap_all(city, CITY_LETTERS)
     out = F.translate(out, *CITY_ACCENTS)
     out = F.translate(out, "_" + GEO_MARKS_FIRST, " ")
     out = F.replace(out, F.lit(GEO_DISTRICT), F.lit(""))
     out = drop_chars(out, GEO_MARKS_LAST if keep_spaces else GEO_MARKS_LAST + " ")
-    out = F.trim(single_spaced(F.replace(out, F.lit("' "), F.lit("'"))))
+    return F.trim(single_spaced(F.replace(out, F.lit("' "), F.lit("'"))))
+
+
+def judged_geo_city(tidy: Column, state: Column) -> Column:
+    """NULL for names that say nothing, no trailing state code, no leading dots.
+
+    ``tidy`` should be a column of its own: it is referred to many times.
+    """
     suffix = F.concat(F.lit(" "), F.lower(state))
-    shorter = F.length(out) - F.length(state)
+    shorter = F.length(tidy) - F.length(state)
     return (
-        F.when(out.isin(GEO_JUNK + GEO_STATE_ONLY), F.lit(None).cast("string"))
-        .when(out.endswith(suffix) & (shorter >= 3), F.trim(F.left(out, shorter - 1)))
-        .when(out.startswith("..."), F.replace(out, F.lit("..."), F.lit("")))
-        .otherwise(out)
+        F.when(tidy.isin(GEO_JUNK + GEO_STATE_ONLY), F.lit(None).cast("string"))
+        .when(tidy.endswith(suffix) & (shorter >= 3), F.trim(F.left(tidy, shorter - 1)))
+        .when(tidy.startswith("..."), F.replace(tidy, F.lit("..."), F.lit("")))
+        .otherwise(tidy)
     )
 
 
-def repair_seller_city(city: Column) -> Column:
-    """Standardise a raw seller city name; e-mails, numbers and stubs become NULL."""
+def tidy_seller_city(city: Column) -> Column:
+    """Lower-cased seller city name without mis-decoding, state suffixes and marks."""
     out = swap_all(F.lower(F.trim(city)), CITY_LETTERS)
     out = F.trim(drop_all(out, SELLER_SUFFIXES))
-    out = F.translate(out, "_/\\.,*", "   ")
-    out = F.trim(single_spaced(out))
-    first = F.substring_index(out, " ", 1)
-    twice = F.concat(first, F.lit(" "), first)
-    out = F.when(out == twice, first).otherwise(out)
+    return F.trim(single_spaced(F.translate(out, "_/\\.,*", "   ")))
+
+
+def judged_seller_city(tidy: Column) -> Column:
+    """Accepted spelling; a doubled word counts once; e-mails, numbers and stubs become NULL.
+
+    ``tidy`` should be a column of its own: it is referred to many times.
+    """
+    first = F.substring_index(tidy, " ", 1)
+    single = F.when(tidy == F.concat(first, F.lit(" "), first), first).otherwise(tidy)
     typo_map = F.create_map(
         *[F.lit(x) for good, bad in SELLER_CITY_TYPOS.items() for typo in bad for x in (typo, good)]
     )
     return (
-        F.when(out.contains("@") | out.rlike("[0-9]") | (F.length(out) < 2), F.lit(None).cast("string"))
-        .when(out.like("santa barbara d%oeste"), F.lit("santa barbara d'oeste"))
-        .otherwise(F.coalesce(F.try_element_at(typo_map, out), out))
+        F.when(single.contains("@") | single.rlike("[0-9]") | (F.length(single) < 2), F.lit(None).cast("string"))
+        .when(single.like("santa barbara d%oeste"), F.lit("santa barbara d'oeste"))
+        .otherwise(F.coalesce(F.try_element_at(typo_map, single), single))
     )
 
 

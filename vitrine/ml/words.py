@@ -15,9 +15,8 @@ MIN_DOCS, MAX_SHARE, VOCABULARY, MIN_WORDS = 7, 0.8, 2000, 3
 # Label names by code.
 LABELS = ("Negative", "Positive")
 
-_TOKEN = r"(?U)\\b\\w\\w+\\b"
-_TOKEN_SQL = f"regexp_extract_all(__TEXT__, '{_TOKEN}', 0)"
-_PAIRS_SQL = "transform(sequence(0, size(words) - 2), i -> concat(words[i], ' ', words[i + 1]))"
+_TERMS_SQL = r"""SELECT *, get(transform(array(regexp_extract_all({column}, '(?U)\\b\\w\\w+\\b', 0)), w -> concat(w,
+    if(size(w) > 1, transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])), slice(w, 1, 0)))), 0) AS terms FROM __THIS__"""
 
 
 def labelled(df: DataFrame, text_column: str = "review_text", score: str = "review_score") -> DataFrame:
@@ -44,10 +43,10 @@ def label_table(df: DataFrame, column: str) -> DataFrame:
 
 
 def terms(column: str) -> Column:
-    """Words of two or more letters or digits, then pairs of neighbours."""
+    """Words of two or more letters or digits, then the pairs of neighbours."""
     words = F.regexp_extract_all(F.col(column), F.lit(r"(?U)\b\w\w+\b"), F.lit(0))
-    pairs = F.when(F.size(words) > 1, F.transform(F.sequence(F.lit(0), F.size(words) - 2), lambda i: F.concat(words[i], F.lit(" "), words[i + 1])))
-    return F.concat(words, F.coalesce(pairs, F.slice(words, 1, 0)))
+    return text.bound(words, lambda w: F.concat(w, F.when(
+        F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(w[i], F.lit(" "), w[i + 1]))).otherwise(F.slice(w, 1, 0))))
 
 
 def content_words(column: str, stop_words: Sequence[str], kept: Sequence[str] = ("não",), shortest: int = 3) -> Column:
@@ -74,7 +73,7 @@ def vocabulary(df: DataFrame, column: str = "review_text", min_docs: int = MIN_D
     A document's distinct terms are found inside its row, so uses and documents are
     counted in one shuffle, merged map-side.
     """
-    lines = df.select(terms(column).alias("_t")).select(F.explode(_tallies(F.col("_t"))).alias("_e"))
+    lines = df.select(F.explode(text.bound(terms(column), _tallies)).alias("_e"))
     both = lines.groupBy(F.col("_e.term").alias("term")).agg(F.sum("_e.doc").alias("df"), F.sum("_e.use").alias("tf"))
     both = both.withColumn("_docs", df.agg(F.count(F.lit(1))).scalar())
     kept = both.filter((F.col("df") >= min_docs) & (F.col("df") <= max_share * F.col("_docs")))
@@ -97,8 +96,7 @@ def vectorizer(train: DataFrame, column: str = "review_text", out: str = "featur
     Only the vocabulary (at most its size limit) comes to the driver.
     """
     known = vocabulary(train, column, **bounds).collect()
-    words = SQLTransformer(statement=f"SELECT *, {_TOKEN_SQL.replace('__TEXT__', column)} AS words FROM __THIS__")
-    listed = SQLTransformer(statement=f"SELECT *, concat(words, if(size(words) > 1, {_PAIRS_SQL}, slice(words, 1, 0))) AS terms FROM __THIS__")
+    listed = SQLTransformer(statement=_TERMS_SQL.replace("{column}", column))
     counted = CountVectorizerModel.from_vocabulary([r["term"] for r in known], inputCol="terms", outputCol="term_counts")
     weighted = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in known]), inputCol="term_counts", outputCol="term_weights")
-    return [words, listed, counted, weighted, Normalizer(p=2.0, inputCol="term_weights", outputCol=out)]
+    return [listed, counted, weighted, Normalizer(p=2.0, inputCol="term_weights", outputCol=out)]

@@ -70,9 +70,10 @@ def clean_geolocation(raw: DataFrame, keep_spaces: bool = False, stamp: bool = T
     mean = lambda name: F.avg(F.col(name).try_cast("decimal(18,10)")).cast("decimal(18,10)").alias(name)
     merged = raw.groupBy("geolocation_zip_code_prefix", state.alias("geolocation_state")).agg(
         mean("geolocation_lat"), mean("geolocation_lng"), F.min(F.lower(F.trim("geolocation_city"))).alias("_city"))
-    return _stamped(merged.select(
+    tidy = merged.withColumn("_tidy", text.tidy_geo_city(F.col("_city"), keep_spaces))
+    return _stamped(tidy.select(
         "geolocation_zip_code_prefix", "geolocation_lat", "geolocation_lng",
-        text.repair_geo_city(F.col("_city"), F.col("geolocation_state"), keep_spaces).alias("geolocation_city"),
+        text.judged_geo_city(F.col("_tidy"), F.col("geolocation_state")).alias("geolocation_city"),
         "geolocation_state",
     ), stamp)
 
@@ -127,9 +128,9 @@ def clean_products(raw: DataFrame, stamp: bool = True) -> DataFrame:
 
 
 def clean_sellers(raw: DataFrame, stamp: bool = True) -> DataFrame:
-    return _stamped(raw.select(
+    return _stamped(raw.withColumn("_tidy", text.tidy_seller_city(F.col("seller_city"))).select(
         "seller_id", "seller_zip_code_prefix",
-        text.repair_seller_city(F.col("seller_city")).alias("seller_city"),
+        text.judged_seller_city(F.col("_tidy")).alias("seller_city"),
         F.upper("seller_state").alias("seller_state"),
     ), stamp)
 
