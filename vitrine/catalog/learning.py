@@ -66,7 +66,7 @@ def m07(m):
 
 def _fitted(m, **params) -> tuple[PipelineModel, object]:
     rows = sentiment.split(words.with_label(_prepared(m)), "doc_id")
-    return sentiment.train(rows.filter(~F.col("is_test")), {"C": 1.0, "max_iter": 100, **params}), rows.filter("is_test")
+    return sentiment.train(rows.filter(~F.col("is_test")), {"C": 1.0, "max_iter": 50, **params}), rows.filter("is_test")
 
 
 @query("m08_logistic")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vitrine.functions import numbers
 from vitrine.ml import words
-from vitrine.operators.ordered import numbered, running_totals
+from vitrine.operators.ordered import numbered, running_totals, tile_of
 
 # Seed, test share, folds and search ranges.
 SEED, TEST_SHARE, FOLDS, TRIALS = 30, 0.2, 5, 50
@@ -23,21 +23,35 @@ C_RANGE, ITER_RANGE, WEIGHTS = (0.01, 10.0), (1000, 3000), ("balanced", None)
 FEATURE_STEPS = (500, 1000, 1500, 2000, 2500)
 
 
-def _shuffled(df: DataFrame, doc: str, label: str, seed: int) -> DataFrame:
-    """Place of each row in a seeded order within its label, numbered without one task per label."""
-    order = F.md5(F.concat_ws(":", F.lit(seed), F.col(doc).cast("string")))
-    return numbered(df, [order, F.col(doc)], [label], "_no", "_of")
+def _shuffle_key(doc: str, seed: int) -> Column:
+    return F.concat_ws("/", F.md5(F.concat_ws(":", F.lit(seed), F.col(doc).cast("string"))), F.col(doc).cast("string"))
+
+
+def _parts(df: DataFrame, doc: str, label: str, seed: int, part: Column) -> Column:
+    """Part of each row, where ``part`` tells it from the row's place ``_no`` of ``_of`` in a seeded order within its label.
+
+    Only label and key are ordered (in a distributed way); what comes to the driver is the
+    last key of each part, one line per label and part. The wide rows are never moved:
+    comparing a row's key with those lines gives its part.
+    """
+    keys = df.select(F.col(label).alias("_label"), _shuffle_key(doc, seed).alias("_key"))
+    placed = numbered(keys, [F.col("_key")], ["_label"], "_no", "_of")
+    ends = placed.groupBy("_label", part.alias("_part")).agg(F.max("_key").alias("_end")).collect()
+    key, out = _shuffle_key(doc, seed), F.lit(None).cast("int")
+    for row in sorted(ends, key=lambda r: (str(r["_label"]), -r["_part"])):
+        out = F.when(F.col(label).eqNullSafe(F.lit(row["_label"])) & (key <= row["_end"]), row["_part"]).otherwise(out)
+    return out
 
 
 def split(df: DataFrame, doc: str, label: str = "label", share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
     """Mark exactly the given share of each label as test rows."""
-    placed = _shuffled(df, doc, label, seed)
-    return placed.withColumn("is_test", F.col("_no") <= F.round(F.col("_of") * F.lit(share))).drop("_no", "_of")
+    part = F.when(F.col("_no") <= F.round(F.col("_of") * F.lit(share)), 0).otherwise(1)
+    return df.withColumn("is_test", _parts(df, doc, label, seed, part) == 0)
 
 
 def folded(df: DataFrame, doc: str, label: str = "label", folds: int = FOLDS, seed: int = SEED) -> DataFrame:
     """Fold number 0..folds-1, even within each label."""
-    return _shuffled(df, doc, label, seed).withColumn("fold", ((F.col("_no") - 1) % folds).cast("int")).drop("_no", "_of")
+    return df.withColumn("fold", _parts(df, doc, label, seed, tile_of(F.col("_no"), F.col("_of"), folds) - 1))
 
 
 def _weighted(df: DataFrame, label: str, balanced: bool) -> tuple[DataFrame, int]:
