@@ -7,14 +7,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from vitrine.catalog.registry import query
-from vitrine.functions import rules
+from vitrine.functions import rules, text
 from vitrine.ml import mixed, segments, sentiment, words
 from vitrine.plans import dashboards
 from vitrine.session import scratch_path
 
-_CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(review_text), 'http\S+|www\S+', '', 'g'), '[^a-z0-9\s áéíóúãõçñ]', '', 'g'), '\s+', ' ', 'g'))"
-_PREPARED = rf"""prep AS (SELECT doc_id, {_CLEAN} AS review_text, CASE WHEN review_score >= 4 THEN 'Positive' ELSE 'Negative' END AS sentiment FROM reviews
-WHERE len(regexp_split_to_array(regexp_replace(review_text, '^\s+|\s+$', '', 'g'), '\s+')) >= 3 AND length({_CLEAN}) > 0)"""
+_W = text.WHITE
+_CLEAN = (f"trim(regexp_replace(regexp_replace(regexp_replace(lower(review_text), '(http|www)[^{_W}]+', '', 'g'), '[^a-z0-9{_W} áéíóúãõçñ]', '', 'g'), '[{_W}]+', ' ', 'g'))")
+_PREPARED = f"""prep AS (SELECT doc_id, {_CLEAN} AS review_text, CASE WHEN review_score >= 4 THEN 'Positive' ELSE 'Negative' END AS sentiment FROM reviews
+WHERE len(regexp_split_to_array(regexp_replace(review_text, '^[{_W}]+|[{_W}]+$', '', 'g'), '[{_W}]+')) >= 3 AND length({_CLEAN}) > 0)"""
 
 
 def _prepared(m):
@@ -132,7 +133,7 @@ def s14(m):
     path = scratch_path(m.spark, "model")
     sentiment.save(_fitted(m)[0], path)
     model, names = sentiment.load(m.spark, path)
-    everything = m.table("documents").select("doc_id", words.text.clean_for_model(F.col("text")).alias("review_text"))
+    everything = m.table("documents").select("doc_id", text.clean_for_model(F.col("text")).alias("review_text"))
     return sentiment.scored(model, everything, names).select("doc_id", "sentiment_label", "confidence")
 
 

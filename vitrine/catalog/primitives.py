@@ -647,12 +647,12 @@ def f09(m):
     return m.orders_only().select("order_id", F.concat("review_text", F.lit(" | "), F.col("review_score").cast("string")).alias("label"))
 
 
-@query("f10_alphabet_filter", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), 'http\S+|www\S+', '', 'g'), '[^a-z0-9\s áéíóúãõçñ]', '', 'g'), '\s+', ' ', 'g'))) AS h FROM documents")
+@query("f10_alphabet_filter", f"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '(http|www)[^{text.WHITE}]+', '', 'g'), '[^a-z0-9{text.WHITE} áéíóúãõçñ]', '', 'g'), '[{text.WHITE}]+', ' ', 'g'))) AS h FROM documents")
 def f10(m):
     return m.table("documents").select("doc_id", F.md5(text.clean_for_model(F.col("text"))).alias("h"))
 
 
-@query("f11_word_count", r"SELECT doc_id, CASE WHEN b = '' THEN 0 ELSE len(regexp_split_to_array(b, '\s+')) END AS n FROM (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS b FROM documents)")
+@query("f11_word_count", f"SELECT doc_id, CASE WHEN b = '' THEN 0 ELSE len(regexp_split_to_array(b, '[{text.WHITE}]+')) END AS n FROM (SELECT doc_id, regexp_replace(text, '^[{text.WHITE}]+|[{text.WHITE}]+$', '', 'g') AS b FROM documents)")
 def f11(m):
     return m.table("documents").select("doc_id", text.word_count(F.col("text")).cast("bigint").alias("n"))
 

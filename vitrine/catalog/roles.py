@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vitrine.functions import dates, numbers, rules
 from vitrine.plans import gold
+from vitrine.session import spread
 
 CALENDAR = (dt.date(1995, 1, 1), dt.date(2024, 12, 31))
 
@@ -98,7 +99,7 @@ class Market:
     def reviews(self) -> DataFrame:
         """Documents with their quality label as a score: 5 good, 1 bad."""
         labels = self.table("labels").select("doc_id", "quality")
-        return self.table("documents").join(labels, "doc_id").select(
+        return spread(self.table("documents").join(labels, "doc_id")).select(
             "doc_id", "lang", F.col("text").alias("review_text"), F.when(F.col("quality") == 1, 5).otherwise(1).alias("review_score"))
 
 

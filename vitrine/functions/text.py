@@ -181,18 +181,28 @@ def alias_matches(name: Column, aliases: Iterable[str]) -> Column:
     return slug(name).isin(keys)
 
 
+#: Every whitespace character, as the inside of a character class.
+WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+
+
 def word_count(text: Column) -> Column:
     """Number of whitespace-separated words; 0 for blank text."""
-    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
-    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, r"\s+")))
+    bare = F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
+    return F.when(bare == "", 0).otherwise(F.size(F.split(bare, f"[{WHITE}]+")))
+
+
+def has_words(text: Column, least: int) -> Column:
+    """Whether there are at least so many words; the match ends with the last one needed."""
+    return text.rlike(f"[{WHITE}]+".join([f"[^{WHITE}]+"] * least))
 
 
 def clean_for_model(text: Column) -> Column:
     """Lower, drop links, keep the model's alphabet, collapse whitespace."""
     # Link pattern and kept alphabet.
-    out = F.regexp_replace(F.lower(text), r"http\S+|www\S+", "")
-    out = F.regexp_replace(out, r"[^a-z0-9\s áéíóúãõçñ]", "")
-    return F.btrim(F.regexp_replace(out, r"\s+", " "))
+    out = F.regexp_replace(F.lower(text), f"(?:http|www)[^{WHITE}]+", "")
+    out = F.regexp_replace(out, f"[^a-z0-9{WHITE} áéíóúãõçñ]+", "")
+    # A single plain space already is what a run of whitespace becomes, so only others are replaced.
+    return F.btrim(F.regexp_replace(out, f" [{WHITE}]+|[{WHITE}&&[^ ]][{WHITE}]*", " "))
 
 
 def is_valid_request(text: Column, shortest: int = 10, longest: int = 1000) -> Column:

@@ -25,9 +25,10 @@ def labelled(df: DataFrame, text_column: str = "review_text", score: str = "revi
 
 def prepared(df: DataFrame, keep: Sequence[str] = (), text_column: str = "review_text", score: str = "review_score") -> DataFrame:
     """Clean text with its sentiment; words are counted before cleaning."""
-    long_enough = df.filter(F.col(text_column).isNotNull() & (text.word_count(F.col(text_column)) >= MIN_WORDS))
-    out = long_enough.select(*keep, text.clean_for_model(F.col(text_column)).alias("review_text"), rules.sentiment_of(F.col(score)).alias("sentiment"))
-    return out.filter(F.length("review_text") > 0)
+    long_enough = df.filter(F.col(text_column).isNotNull() & text.has_words(F.col(text_column), MIN_WORDS))
+    # A filter on a generated column is not pushed below it, so the text is cleaned once.
+    clean = F.explode_outer(F.array(text.clean_for_model(F.col(text_column)))).alias("review_text")
+    return long_enough.select(*keep, clean, rules.sentiment_of(F.col(score)).alias("sentiment")).filter(F.length("review_text") > 0)
 
 
 def with_label(df: DataFrame, sentiment: str = "sentiment") -> DataFrame:
@@ -62,20 +63,24 @@ def term_counts(df: DataFrame, doc: str, column: str = "review_text") -> DataFra
 
 
 def _tallies(listed: Column) -> Column:
-    """Each occurrence of a term as one use, each distinct term as one document."""
+    """Each occurrence of a term as one use, each distinct term as one document, and one line for the document."""
     line = lambda use, doc: lambda t: F.struct(t.alias("term"), F.lit(use).alias("use"), F.lit(doc).alias("doc"))
-    return F.concat(F.transform(listed, line(1, 0)), F.transform(F.array_distinct(listed), line(0, 1)))
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("use"), F.lit(1).alias("doc")))
+    return F.concat(F.transform(listed, line(1, 0)), F.transform(F.array_distinct(listed), line(0, 1)), itself)
 
 
 def vocabulary(df: DataFrame, column: str = "review_text", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, size: int = VOCABULARY) -> DataFrame:
     """Most frequent terms within the document-share bounds, ties by term, with smoothed inverse document frequency.
 
     A document's distinct terms are found inside its row, so uses and documents are
-    counted in one shuffle, merged map-side.
+    counted in one shuffle, merged map-side. Each document also adds one line under no
+    term, whose total is the number of documents; reading it from the same totals spares
+    a second pass over the texts.
     """
     lines = df.select(F.explode(text.bound(terms(column), _tallies)).alias("_e"))
-    both = lines.groupBy(F.col("_e.term").alias("term")).agg(F.sum("_e.doc").alias("df"), F.sum("_e.use").alias("tf"))
-    both = both.withColumn("_docs", df.agg(F.count(F.lit(1))).scalar())
+    totals = lines.groupBy(F.col("_e.term").alias("term")).agg(F.sum("_e.doc").alias("df"), F.sum("_e.use").alias("tf"))
+    docs = totals.agg(F.max(F.when(F.col("term").isNull(), F.struct("df", "tf"))).alias("d")).scalar()["df"]
+    both = totals.withColumn("_docs", docs).filter("term is not null")
     kept = both.filter((F.col("df") >= min_docs) & (F.col("df") <= max_share * F.col("_docs")))
     idf = F.log((1 + F.col("_docs")) / (1 + F.col("df"))) + 1
     return kept.orderBy(F.col("tf").desc(), "term").limit(size).select("term", "df", "tf", idf.alias("idf"))

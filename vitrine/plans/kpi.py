@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrine.functions import numbers, rules
 from vitrine.operators.keyed import first_per_key, leaders
@@ -39,9 +39,28 @@ def _year(fact: DataFrame, dim_date: DataFrame, key: str) -> DataFrame:
 
 
 def _prior(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Add ``prior_*`` columns of the year before. NULL keys have no prior year."""
-    earlier = df.select((F.col("year_number") + 1).cast("short").alias("year_number"), *keys, *[F.col(c).alias(f"prior_{c}") for c in columns])
-    return df.join(earlier, ["year_number", *keys], "left")
+    """Add ``prior_*`` columns of the year before; NULL keys have no prior year.
+
+    One row per year and key is left here, so a range frame of exactly one year back costs
+    a small sort and the aggregate below is computed once, not again for a self join.
+    """
+    back = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("year_number").rangeBetween(-1, -1)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys], F.lit(True))
+    return df.withColumns({f"prior_{c}": F.when(known, F.max(c).over(back)) for c in columns})
+
+
+def _place(*order: Column) -> Column:
+    return F.row_number().over(Window.partitionBy("year_number").orderBy(*order))
+
+
+def _rank(order: Column) -> Column:
+    return F.rank().over(Window.partitionBy("year_number").orderBy(order))
+
+
+def _unfold_where(df: DataFrame, rows: Sequence[tuple[Column, Column]]) -> DataFrame:
+    """One output row per KPI whose condition the input row meets."""
+    kept = F.filter(F.array(*[F.when(condition, row) for condition, row in rows]), lambda r: r.isNotNull())
+    return df.select("year_number", F.inline(kept))
 
 
 # ---------------------------------------------------------------- overview
@@ -186,31 +205,60 @@ def category_by_year(items: DataFrame, fact_orders: DataFrame, dim_date: DataFra
         numbers.ratio(F.sum("score_sum"), F.sum("score_n")).alias("avg_review"))
 
 
+def _top_row() -> Column:
+    return _row("Top Revenue Category", F.col("revenue"), "#1 revenue-generating category", "SUM(price)", "Category Name", F.col("category"), "Main revenue driver")
+
+
+def _growth_row() -> Column:
+    return _row("Fastest-Growing Category (YoY)", F.col("revenue"), "Highest revenue growth", "YoY Formula", "Growth Rate",
+                F.concat(numbers.fixed(F.col("growth"), 1), F.lit("%")), F.concat(F.col("category"), F.lit(" trending upward")))
+
+
+def _burden_row() -> Column:
+    return _row("Highest Freight Burden", F.col("freight_pct"), "Logistics cost share", "SUM(freight) / SUM(total_value)", "Freight %",
+                F.concat(numbers.fixed(F.col("freight_pct"), 2), F.lit("%")), F.concat(F.col("category"), F.lit(" margin risk")))
+
+
+def _lowest_row() -> Column:
+    return _row("Lowest Customer Satisfaction", F.col("avg_review"), "Category with poor feedback", "AVG(review)", "Avg Score",
+                F.concat(F.col("category"), F.lit(" | "), numbers.fixed(F.round("avg_review", 2), 2)), "Poor satisfaction risk")
+
+
+def _grown(stats: DataFrame, floor: float) -> DataFrame:
+    """Growth of categories whose revenue the year before exceeded the floor, else NULL."""
+    before = F.col("prior_revenue")
+    pct = F.round((F.col("revenue") - before).cast("double") / before.cast("double") * 100, 1)
+    return _prior(stats, ["revenue"], ["category"]).withColumn("growth", F.when(before > floor, pct))
+
+
+_BY_SCORE = lambda: (F.coalesce("avg_review", F.lit(5.0)), F.col("category"))
+
+
 def top_revenue_category(stats: DataFrame) -> DataFrame:
-    best = leaders(stats, ["year_number"], [F.col("revenue").desc()])
-    return _unfold(best, [_row("Top Revenue Category", F.col("revenue"), "#1 revenue-generating category", "SUM(price)", "Category Name",
-                               F.col("category"), "Main revenue driver")])
+    return _unfold(leaders(stats, ["year_number"], [F.col("revenue").desc()]), [_top_row()])
 
 
 def fastest_growing_category(stats: DataFrame, floor: float = 50000) -> DataFrame:
-    grown = _prior(stats.select("year_number", "category", "revenue"), ["revenue"], ["category"]).filter(F.col("prior_revenue") > floor)
-    pct = F.round((F.col("revenue") - F.col("prior_revenue")).cast("double") / F.col("prior_revenue").cast("double") * 100, 1)
-    best = first_per_key(grown.withColumn("pct", pct), ["year_number"], [F.col("pct").desc(), F.col("category")])
-    return _unfold(best, [_row("Fastest-Growing Category (YoY)", F.col("revenue"), "Highest revenue growth", "YoY Formula", "Growth Rate",
-                               F.concat(numbers.fixed(F.col("pct"), 1), F.lit("%")), F.concat(F.col("category"), F.lit(" trending upward")))])
+    grown = _grown(stats.select("year_number", "category", "revenue"), floor).filter("growth is not null")
+    return _unfold(first_per_key(grown, ["year_number"], [F.col("growth").desc(), F.col("category")]), [_growth_row()])
 
 
 def highest_freight_category(stats: DataFrame) -> DataFrame:
-    worst = leaders(stats, ["year_number"], [F.col("freight_pct").desc()])
-    return _unfold(worst, [_row("Highest Freight Burden", F.col("freight_pct"), "Logistics cost share", "SUM(freight) / SUM(total_value)", "Freight %",
-                                F.concat(numbers.fixed(F.col("freight_pct"), 2), F.lit("%")), F.concat(F.col("category"), F.lit(" margin risk")))])
+    return _unfold(leaders(stats, ["year_number"], [F.col("freight_pct").desc()]), [_burden_row()])
 
 
 def lowest_rated_category(stats: DataFrame) -> DataFrame:
     """Unrated categories count as 5, so they win only where nothing scores lower."""
-    worst = first_per_key(stats, ["year_number"], [F.coalesce("avg_review", F.lit(5.0)), F.col("category")])
-    return _unfold(worst, [_row("Lowest Customer Satisfaction", F.col("avg_review"), "Category with poor feedback", "AVG(review)", "Avg Score",
-                                F.concat(F.col("category"), F.lit(" | "), numbers.fixed(F.round("avg_review", 2), 2)), "Poor satisfaction risk")])
+    return _unfold(first_per_key(stats, ["year_number"], list(_BY_SCORE())), [_lowest_row()])
+
+
+def category_view(stats: DataFrame, floor: float = 50000) -> DataFrame:
+    """The four category KPIs from one pass: ``stats`` has one row per (year, category)."""
+    ranked = _grown(stats, floor).withColumns({
+        "_top": _rank(F.col("revenue").desc()), "_burden": _rank(F.col("freight_pct").desc()), "_lowest": _place(*_BY_SCORE()),
+        "_fastest": _place(F.col("growth").desc_nulls_last(), F.col("category"))})
+    return _unfold_where(ranked, [(F.col("_top") == 1, _top_row()), ((F.col("_fastest") == 1) & F.col("growth").isNotNull(), _growth_row()),
+                                  (F.col("_burden") == 1, _burden_row()), (F.col("_lowest") == 1, _lowest_row())])
 
 
 def top_seller_state(items: DataFrame, fact_orders: DataFrame, dim_date: DataFrame, dim_sellers: DataFrame) -> DataFrame:
@@ -243,8 +291,7 @@ def product_concentration(items: DataFrame, fact_orders: DataFrame, dim_date: Da
 def sales_view(items: DataFrame, fact_orders: DataFrame, dim_date: DataFrame, dim_products: DataFrame, dim_sellers: DataFrame) -> DataFrame:
     stats = category_by_year(items, fact_orders, dim_date, dim_products)
     return reduce(DataFrame.unionByName, [
-        top_revenue_category(stats), fastest_growing_category(stats), highest_freight_category(stats), lowest_rated_category(stats),
-        top_seller_state(items, fact_orders, dim_date, dim_sellers), product_concentration(items, fact_orders, dim_date)])
+        category_view(stats), top_seller_state(items, fact_orders, dim_date, dim_sellers), product_concentration(items, fact_orders, dim_date)])
 
 
 # ---------------------------------------------------------------- marketing
@@ -276,19 +323,37 @@ def sales_cycle(funnel: DataFrame, dim_date: DataFrame) -> DataFrame:
     return _unfold(funnel_by(funnel, dim_date), [_cycle_row()])
 
 
+def _best_channel_row() -> Column:
+    return _row("Best-Converting Acquisition Channel", F.col("conversion"), "Highest MQL-to-seller", "SUM/COUNT", "Channel + Volume",
+                F.concat(F.col("lead_origin"), F.lit(" | "), numbers.whole(F.col("leads")), F.lit(" leads")), "Top channel performance")
+
+
+def _fastest_channel_row() -> Column:
+    return _row("Fastest-Closing Acquisition Channel", F.col("days"), "Shortest time to active", "AVG(days)", "Channel + Speed",
+                F.concat(F.col("lead_origin"), F.lit(" | Avg "), numbers.fixed(F.col("days"), 1), F.lit(" days")), "Sales cycle speed")
+
+
+_BY_CONVERSION = lambda: (F.col("conversion").desc(), F.col("lead_origin"))
+_BY_DAYS = lambda: (F.col("days").asc_nulls_first(), F.col("lead_origin"))
+
+
+def _channels(funnel: DataFrame, dim_date: DataFrame, least: int) -> DataFrame:
+    return funnel_by(funnel, dim_date, "lead_origin").filter(F.col("leads") >= least)
+
+
 def best_channel(funnel: DataFrame, dim_date: DataFrame, least: int = 10) -> DataFrame:
-    channels = funnel_by(funnel, dim_date, "lead_origin").filter(F.col("leads") >= least)
-    best = first_per_key(channels, ["year_number"], [F.col("conversion").desc(), F.col("lead_origin")])
-    return _unfold(best, [_row("Best-Converting Acquisition Channel", F.col("conversion"), "Highest MQL-to-seller", "SUM/COUNT", "Channel + Volume",
-                               F.concat(F.col("lead_origin"), F.lit(" | "), numbers.whole(F.col("leads")), F.lit(" leads")), "Top channel performance")])
+    return _unfold(first_per_key(_channels(funnel, dim_date, least), ["year_number"], list(_BY_CONVERSION())), [_best_channel_row()])
 
 
 def fastest_channel(funnel: DataFrame, dim_date: DataFrame, least: int = 10) -> DataFrame:
     """A channel that closed nothing has no mean and sorts first."""
-    channels = funnel_by(funnel, dim_date, "lead_origin").filter(F.col("leads") >= least)
-    best = first_per_key(channels, ["year_number"], [F.col("days").asc_nulls_first(), F.col("lead_origin")])
-    return _unfold(best, [_row("Fastest-Closing Acquisition Channel", F.col("days"), "Shortest time to active", "AVG(days)", "Channel + Speed",
-                               F.concat(F.col("lead_origin"), F.lit(" | Avg "), numbers.fixed(F.col("days"), 1), F.lit(" days")), "Sales cycle speed")])
+    return _unfold(first_per_key(_channels(funnel, dim_date, least), ["year_number"], list(_BY_DAYS())), [_fastest_channel_row()])
+
+
+def channel_view(funnel: DataFrame, dim_date: DataFrame, least: int = 10) -> DataFrame:
+    """Both channel KPIs from one pass over the leads."""
+    ranked = _channels(funnel, dim_date, least).withColumns({"_best": _place(*_BY_CONVERSION()), "_fastest": _place(*_BY_DAYS())})
+    return _unfold_where(ranked, [(F.col("_best") == 1, _best_channel_row()), (F.col("_fastest") == 1, _fastest_channel_row())])
 
 
 def marketing_revenue(items: DataFrame, fact_orders: DataFrame, dim_date: DataFrame, dim_sellers: DataFrame) -> DataFrame:
@@ -313,7 +378,7 @@ def top_rep(funnel: DataFrame, dim_date: DataFrame, least: int = 5) -> DataFrame
 def marketing_view(funnel: DataFrame, items: DataFrame, fact_orders: DataFrame, dim_date: DataFrame, dim_sellers: DataFrame) -> DataFrame:
     overall = _unfold(funnel_by(funnel, dim_date), [_conversion_row(), _cycle_row()])
     return reduce(DataFrame.unionByName, [
-        overall, best_channel(funnel, dim_date), fastest_channel(funnel, dim_date),
+        overall, channel_view(funnel, dim_date),
         marketing_revenue(items, fact_orders, dim_date, dim_sellers), top_rep(funnel, dim_date)])
 
 
@@ -327,16 +392,23 @@ def customer_years(fact_orders: DataFrame, dim_customers: DataFrame, dim_date: D
     return merged.join(dim_customers.select("customer_unique_id", "state"), "customer_unique_id")
 
 
-def repeat_by_year(history: DataFrame) -> DataFrame:
-    return history.groupBy("year_number").agg(
+def states_by_year(history: DataFrame) -> DataFrame:
+    """Customers, orders, late orders and spend per year and state, with the yearly totals beside them.
+
+    Everything is additive over states, so the yearly figures are sums of a few small rows.
+    """
+    states = history.groupBy("year_number", "state").agg(
         F.count(F.lit(1)).alias("customers"), F.count_if(F.col("orders") == 1).alias("single"), F.count_if(F.col("orders") >= 2).alias("repeat"),
-        numbers.ratio(F.sum("spend"), F.count("spend")).alias("mean_spend"))
+        F.sum("spend").alias("spend"), F.count("spend").alias("spenders"), numbers.percent(F.sum("late"), F.sum("orders")).alias("late_rate"))
+    year = Window.partitionBy("year_number")
+    totals = {f"year_{c}": F.sum(c).over(year) for c in ("customers", "single", "repeat", "spend", "spenders")}
+    return states.withColumns(totals).withColumn("mean_spend", numbers.ratio(F.col("year_spend"), F.col("year_spenders")))
 
 
 def _repeat_row() -> Column:
-    return _row("Repeat Customer Rate", numbers.percent(F.col("repeat"), F.col("customers"), 2), "% of customers with >1 order in year",
+    return _row("Repeat Customer Rate", numbers.percent(F.col("year_repeat"), F.col("year_customers"), 2), "% of customers with >1 order in year",
                 "(Repeat Buyers / Total) * 100", "Comparison (1 vs >1)",
-                F.concat(numbers.whole(F.col("repeat")), F.lit(" Repeat vs "), numbers.whole(F.col("single")), F.lit(" Single")), "Retention indicator")
+                F.concat(numbers.whole(F.col("year_repeat")), F.lit(" Repeat vs "), numbers.whole(F.col("year_single")), F.lit(" Single")), "Retention indicator")
 
 
 def _value_row() -> Column:
@@ -344,30 +416,44 @@ def _value_row() -> Column:
                 F.concat(F.lit("Avg Value: R$"), numbers.fixed(F.round("mean_spend", 2), 2)), "Yearly spend analysis")
 
 
-def repeat_rate(history: DataFrame) -> DataFrame:
-    return _unfold(repeat_by_year(history), [_repeat_row()])
+def _market_row() -> Column:
+    return _row("Largest Customer Market", F.col("customers"), "Highest number of customers", "COUNT(customers)", "State",
+                F.concat(F.col("state"), F.lit(" | "), numbers.whole(F.col("customers")), F.lit(" customers")), "Market size")
 
 
-def customer_value(history: DataFrame) -> DataFrame:
-    return _unfold(repeat_by_year(history), [_value_row()])
+def _worst_row() -> Column:
+    return _row("Worst Customer Experience State", F.round("late_rate", 1), "Highest late delivery rate", "SUM(late)/COUNT(orders)", "State + Late Rate",
+                F.concat(F.col("state"), F.lit(" | "), numbers.fixed(F.round("late_rate", 1), 1), F.lit("% late")), "Logistics improvement needed")
+
 
+def state_view(history: DataFrame, least: int = 20, which: Sequence[str] = ("repeat", "value", "market", "worst")) -> DataFrame:
+    """Repeat rate, customer value, largest market and worst state from one pass over the customers' years.
+
+    States with fewer than ``least`` customers do not compete for the last two.
+    """
+    big = F.col("customers") >= least
+    ranked = states_by_year(history).withColumns({
+        "_any": _place(F.col("state")), "_market": _place(big.desc(), F.col("customers").desc(), F.col("state")),
+        "_worst": _place(big.desc(), F.col("late_rate").desc(), F.col("state"))})
+    rows = {"repeat": (F.col("_any") == 1, _repeat_row()), "value": (F.col("_any") == 1, _value_row()),
+            "market": (big & (F.col("_market") == 1), _market_row()), "worst": (big & (F.col("_worst") == 1), _worst_row())}
+    return _unfold_where(ranked, [rows[w] for w in which])
 
-def states_by_year(history: DataFrame, least: int = 20) -> DataFrame:
-    return history.groupBy("year_number", "state").agg(
-        F.count(F.lit(1)).alias("customers"), numbers.percent(F.sum("late"), F.sum("orders")).alias("late_rate")
-    ).filter(F.col("customers") >= least)
+
+def repeat_rate(history: DataFrame) -> DataFrame:
+    return state_view(history, which=["repeat"])
+
+
+def customer_value(history: DataFrame) -> DataFrame:
+    return state_view(history, which=["value"])
 
 
 def largest_market(history: DataFrame, least: int = 20) -> DataFrame:
-    best = first_per_key(states_by_year(history, least), ["year_number"], [F.col("customers").desc(), F.col("state")])
-    return _unfold(best, [_row("Largest Customer Market", F.col("customers"), "Highest number of customers", "COUNT(customers)", "State",
-                               F.concat(F.col("state"), F.lit(" | "), numbers.whole(F.col("customers")), F.lit(" customers")), "Market size")])
+    return state_view(history, least, ["market"])
 
 
 def worst_state(history: DataFrame, least: int = 20) -> DataFrame:
-    worst = first_per_key(states_by_year(history, least), ["year_number"], [F.col("late_rate").desc(), F.col("state")])
-    return _unfold(worst, [_row("Worst Customer Experience State", F.round("late_rate", 1), "Highest late delivery rate", "SUM(late)/COUNT(orders)", "State + Late Rate",
-                                F.concat(F.col("state"), F.lit(" | "), numbers.fixed(F.round("late_rate", 1), 1), F.lit("% late")), "Logistics improvement needed")])
+    return state_view(history, least, ["worst"])
 
 
 def top_quartile(history: DataFrame) -> DataFrame:
@@ -384,5 +470,4 @@ def top_quartile(history: DataFrame) -> DataFrame:
 
 def customer_view(fact_orders: DataFrame, dim_customers: DataFrame, dim_date: DataFrame) -> DataFrame:
     history = customer_years(fact_orders, dim_customers, dim_date)
-    return reduce(DataFrame.unionByName, [
-        _unfold(repeat_by_year(history), [_repeat_row(), _value_row()]), largest_market(history), worst_state(history), top_quartile(history)])
+    return state_view(history).unionByName(top_quartile(history))

@@ -52,3 +52,13 @@ def durable(df: DataFrame) -> DataFrame:
     cannot cause partition ids or row places to be computed anew."""
     _checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute rows whose source splits into fewer tasks than there are cores.
+
+    Meant before work that is heavy per row on a few unsplittable files; a source with
+    splits enough is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
