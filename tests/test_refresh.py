@@ -93,7 +93,7 @@ def test_views(spark, lake):
     assert overview[2018, "Late Delivery Rate"]["context_meaning"] == "High late rate"
     assert spark.table("customer_kpis").count() > 0
     assert {r["view_name"] for r in store.list_views(spark, ["overview_kpis", "sales_kpis"]).collect()} == {"overview_kpis", "sales_kpis"}
-    assert store.list_columns(spark, ["dim_date"]).count() == 8
+    assert store.list_columns(spark, ["dim_date"]).count() == 9
     cards = rows_of(dashboards.overview_cards(lake[2]["overview_kpis"], 2018), "card_key")
     assert cards["gmv"]["display_value"] == "R$ 165.50" and cards["yoy"]["display_value"] == "—"
 

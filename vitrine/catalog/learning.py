@@ -151,7 +151,7 @@ _MIXED = (["primary_payment_type", "order_status"], ["delivery_days_actual", "to
 @query("m13_mixed_features")
 def m13(m):
     rows = _order_features(m)
-    return mixed.mixed_pipeline(rows, *_MIXED, text_column=None).transform(rows).select("order_id", "label", vector_to_array("features").alias("features"))
+    return mixed.mixed_pipeline(rows, *_MIXED).transform(rows).select("order_id", "label", vector_to_array("features").alias("features"))
 
 
 @query("m14_naive_bayes")

@@ -40,7 +40,7 @@ def model(spark: SparkSession, lake: str, calendar: tuple[dt.date, dt.date] = go
     }
     with audit.LoadBatch(spark, lake, "Gold", "model") as batch:
         for table, build in jobs.items():
-            batch.load(table, lambda t=table, b=build: store.replace_table(b(), lake, t))
+            batch.load(table, lambda t=table, b=build: store.replace_table(silver.stamped(b()), lake, t))
 
 
 def publish(spark: SparkSession, lake: str) -> dict[str, DataFrame]:

@@ -11,14 +11,15 @@ from vitrine.operators.ordered import numbered
 LOADED = "load_date_timestamp"
 
 
-def _stamped(df: DataFrame, stamp: bool) -> DataFrame:
+def stamped(df: DataFrame, stamp: bool = True) -> DataFrame:
+    """Add the time of the load."""
     return df.withColumn(LOADED, F.current_timestamp()) if stamp else df
 
 
 def clean_reviews(raw: DataFrame, stamp: bool = True) -> DataFrame:
     """Latest row per review, score as integer, both texts repaired."""
     latest = first_per_key(raw, ["review_id"], [F.col("review_creation_date").desc(), F.col("order_id"), F.col("review_answer_timestamp").desc()])
-    return _stamped(latest.select(
+    return stamped(latest.select(
         "review_id",
         "order_id",
         numbers.safe_int(F.col("review_score")).alias("review_score"),
@@ -30,7 +31,7 @@ def clean_reviews(raw: DataFrame, stamp: bool = True) -> DataFrame:
 
 
 def clean_customers(raw: DataFrame, stamp: bool = True) -> DataFrame:
-    return _stamped(raw.select(
+    return stamped(raw.select(
         "customer_id",
         "customer_unique_id",
         "customer_zip_code_prefix",
@@ -40,7 +41,7 @@ def clean_customers(raw: DataFrame, stamp: bool = True) -> DataFrame:
 
 
 def clean_deals(raw: DataFrame, stamp: bool = True) -> DataFrame:
-    return _stamped(raw.select(
+    return stamped(raw.select(
         "mql_id", "seller_id", "sdr_id", "sr_id",
         dates.parsed_moment(F.col("won_date")).alias("won_date"),
         text.underscores_to_spaces(F.col("business_segment")).alias("business_segment"),
@@ -56,7 +57,7 @@ def clean_deals(raw: DataFrame, stamp: bool = True) -> DataFrame:
 
 
 def clean_leads(raw: DataFrame, stamp: bool = True) -> DataFrame:
-    return _stamped(raw.select(
+    return stamped(raw.select(
         "mql_id",
         dates.parsed_moment(F.col("first_contact_date")).alias("first_contact_date"),
         "landing_page_id",
@@ -71,7 +72,7 @@ def clean_geolocation(raw: DataFrame, keep_spaces: bool = False, stamp: bool = T
     merged = raw.groupBy("geolocation_zip_code_prefix", state.alias("geolocation_state")).agg(
         mean("geolocation_lat"), mean("geolocation_lng"), F.min(F.lower(F.trim("geolocation_city"))).alias("_city"))
     tidy = merged.withColumn("_tidy", text.tidy_geo_city(F.col("_city"), keep_spaces))
-    return _stamped(tidy.select(
+    return stamped(tidy.select(
         "geolocation_zip_code_prefix", "geolocation_lat", "geolocation_lng",
         text.judged_geo_city(F.col("_tidy"), F.col("geolocation_state")).alias("geolocation_city"),
         "geolocation_state",
@@ -82,7 +83,7 @@ def clean_order_items(raw: DataFrame, stamp: bool = True, with_key: bool = True)
     """Typed items; the key numbers them by order and by item id compared as text ('10' before '2')."""
     rows = numbered(raw, [F.col("order_id"), F.col("order_item_id"), F.col("product_id"), F.col("seller_id")],
                     as_name="order_item_key") if with_key else raw.withColumn("order_item_key", F.lit(None).cast("bigint"))
-    return _stamped(rows.select(
+    return stamped(rows.select(
         "order_id",
         numbers.safe_int(F.col("order_item_id")).alias("order_item_number"),
         "order_item_key", "product_id", "seller_id",
@@ -93,7 +94,7 @@ def clean_order_items(raw: DataFrame, stamp: bool = True, with_key: bool = True)
 
 
 def clean_payments(raw: DataFrame, stamp: bool = True) -> DataFrame:
-    return _stamped(raw.select(
+    return stamped(raw.select(
         "order_id",
         numbers.safe_int(F.col("payment_sequential")).alias("payment_sequential"),
         text.underscores_to_spaces(F.col("payment_type")).alias("payment_type"),
@@ -105,7 +106,7 @@ def clean_payments(raw: DataFrame, stamp: bool = True) -> DataFrame:
 def clean_orders(raw: DataFrame, stamp: bool = True) -> DataFrame:
     moments = ["order_purchase_timestamp", "order_approved_at", "order_delivered_carrier_date",
                "order_delivered_customer_date", "order_estimated_delivery_date"]
-    return _stamped(raw.select(
+    return stamped(raw.select(
         "order_id", "customer_id",
         # The status that is renamed.
         F.when(F.col("order_status") == "unavailable", "out of stock").otherwise(F.col("order_status")).alias("order_status"),
@@ -114,13 +115,13 @@ def clean_orders(raw: DataFrame, stamp: bool = True) -> DataFrame:
 
 
 def clean_translation(raw: DataFrame, stamp: bool = True) -> DataFrame:
-    return _stamped(raw.select(*[text.underscores_to_spaces(F.col(c)).alias(c)
+    return stamped(raw.select(*[text.underscores_to_spaces(F.col(c)).alias(c)
                                  for c in ("product_category_name", "product_category_name_english")]), stamp)
 
 
 def clean_products(raw: DataFrame, stamp: bool = True) -> DataFrame:
     counts = [c for c in raw.columns if c not in ("product_id", "product_category_name")]
-    return _stamped(raw.select(
+    return stamped(raw.select(
         "product_id",
         text.underscores_to_spaces(F.col("product_category_name")).alias("product_category_name"),
         *[numbers.safe_int(F.col(c)).alias(c) for c in counts],
@@ -128,7 +129,7 @@ def clean_products(raw: DataFrame, stamp: bool = True) -> DataFrame:
 
 
 def clean_sellers(raw: DataFrame, stamp: bool = True) -> DataFrame:
-    return _stamped(raw.withColumn("_tidy", text.tidy_seller_city(F.col("seller_city"))).select(
+    return stamped(raw.withColumn("_tidy", text.tidy_seller_city(F.col("seller_city"))).select(
         "seller_id", "seller_zip_code_prefix",
         text.judged_seller_city(F.col("_tidy")).alias("seller_city"),
         F.upper("seller_state").alias("seller_state"),

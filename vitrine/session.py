@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Checkpoint files go when nothing refers to them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -55,10 +57,11 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute rows whose source splits into fewer tasks than there are cores.
+    """Redistribute rows of a source that splits into fewer tasks than there are cores.
 
-    Meant before work that is heavy per row on a few unsplittable files; a source with
-    splits enough is returned as it is, without a shuffle.
+    For a plain scan, before work that is heavy per row on a few unsplittable files (asking
+    for the partitions of a plan with shuffles would run it). A source with splits enough is
+    returned as it is, without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
