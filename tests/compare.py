@@ -69,7 +69,8 @@ def main() -> int:
             df = every[name](spark, folder)
             verdict = compare(df, con, checks[name]) if name in checks else f"rows-only {df.count()}"
         except Exception as error:  # noqa: BLE001 - the report shows it
-            verdict = f"ERROR {type(error).__name__} {str(error)[:600]}"
+            causes = [line.strip() for line in str(error).splitlines() if "Caused by" in line or "Serialization stack" in line or line.startswith("\t- ")]
+            verdict = f"ERROR {type(error).__name__} {str(error)[:300]} {causes[:8]}"
         ok = verdict == "" or verdict.startswith("rows-only")
         failed += not ok
         print(f"{'ok  ' if ok else 'FAIL'} {name} {time.time() - begun:.2f}s {verdict}", flush=True)

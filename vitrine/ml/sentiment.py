@@ -20,6 +20,8 @@ from vitrine.operators.ordered import numbered, running_totals, tile_of
 # Seed, test share, folds and search ranges.
 SEED, TEST_SHARE, FOLDS, TRIALS = 30, 0.2, 5, 50
 C_RANGE, ITER_RANGE, WEIGHTS = (0.01, 10.0), (1000, 3000), ("balanced", None)
+# Fixed value: relative change at which fitting stops.
+TOLERANCE = 1e-4
 FEATURE_STEPS = (500, 1000, 1500, 2000, 2500)
 
 
@@ -65,11 +67,12 @@ def _weighted(df: DataFrame, label: str, balanced: bool) -> tuple[DataFrame, int
     return df.withColumn("weight", weight), total
 
 
-def logistic(train: DataFrame, C: float = 1.0, max_iter: int = 1000, class_weight: str | None = None, label: str = "label", features: str = "features"):
+def logistic(train: DataFrame, C: float = 1.0, max_iter: int = 1000, class_weight: str | None = None, label: str = "label", features: str = "features",
+             tol: float = TOLERANCE):
     """Fit L2 logistic regression whose penalty equals strength ``C`` on the summed loss."""
     rows, n = _weighted(train, label, class_weight == "balanced")
     return LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight", regParam=1.0 / (C * n), elasticNetParam=0.0,
-                              maxIter=max_iter, standardization=False).fit(rows)
+                              maxIter=max_iter, tol=tol, standardization=False).fit(rows)
 
 
 def naive_bayes(train: DataFrame, label: str = "label", features: str = "features"):
