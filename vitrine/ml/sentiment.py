@@ -189,20 +189,23 @@ def search(rows: DataFrame, params: list[dict], folds: int = FOLDS, **bounds) ->
     results = []
     sizes = sorted({p.get("max_features", bounds.get("size", words.VOCABULARY)) for p in params})
     limits = {k: v for k, v in bounds.items() if k != "size"}
-    for fold in range(folds):
-        for size in sizes:
-            inner, outer = rows.filter(F.col("fold") != fold), rows.filter(F.col("fold") == fold)
-            stages = words.vectorizer(inner, size=size, **limits)
-            shaped = PipelineModel(stages=stages).transform(rows).select("label", "fold", "features").persist()
-            try:
-                for p in params:
-                    if p.get("max_features", bounds.get("size", words.VOCABULARY)) != size:
-                        continue
-                    model = logistic(shaped.filter(F.col("fold") != fold), p["C"], p["max_iter"], p["class_weight"])
-                    value = macro_f1(model.transform(shaped.filter(F.col("fold") == fold)))
-                    results.append((p["trial"], fold, p["C"], p["max_iter"], p["class_weight"] or "none", size, value))
-            finally:
-                shaped.unpersist()
+    rows = rows.select("review_text", "label", "fold").persist()
+    try:
+        for fold in range(folds):
+            for size in sizes:
+                stages = words.vectorizer(rows.filter(F.col("fold") != fold), size=size, **limits)
+                shaped = PipelineModel(stages=stages).transform(rows).select("label", "fold", "features").persist()
+                try:
+                    for p in params:
+                        if p.get("max_features", bounds.get("size", words.VOCABULARY)) != size:
+                            continue
+                        model = logistic(shaped.filter(F.col("fold") != fold), p["C"], p["max_iter"], p["class_weight"])
+                        value = macro_f1(model.transform(shaped.filter(F.col("fold") == fold)))
+                        results.append((p["trial"], fold, p["C"], p["max_iter"], p["class_weight"] or "none", size, value))
+                finally:
+                    shaped.unpersist()
+    finally:
+        rows.unpersist()
     return rows.sparkSession.createDataFrame(results, "trial int, fold int, C double, max_iter int, class_weight string, max_features int, macro_f1 double")
 
 
