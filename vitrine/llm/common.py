@@ -45,19 +45,6 @@ def fold_of(key: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
-    """Text and label of the documents that have a label and are not in the held-out fold, one row per document id.
-
-    Labels that disagree about an id, null labels and null ids are left out.
-    """
-    known = (
-        labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of("doc_id", folds) != held_out))
-        .groupBy("doc_id").agg(F.min(label).alias("_label"), F.max(label).alias("_other"))
-        .filter("_label = _other").select(F.col("doc_id").alias("_id"), "_label")
-    )
-    return docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text")).join(known, F.col("_doc") == F.col("_id")).select("_id", "_label", "_text")
-
-
 def bounded_sample(rows: DataFrame, key: str, group: str, per_group: int, groups: int = 512) -> DataFrame:
     """About ``per_group`` rows of each value of ``group``, picked by a hash of ``key``, at most twice as many in all.
 
@@ -74,3 +61,20 @@ def bounded_sample(rows: DataFrame, key: str, group: str, per_group: int, groups
         share = F.when(F.col(group).eqNullSafe(F.lit(value)), F.lit(min(1.0, per_group / n))).otherwise(share)
     place = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.filter(place < share).limit(2 * per_group * len(counts))
+
+
+def agreed(labels: DataFrame, label: str, folds: int, held_out: int) -> DataFrame:
+    """``_id`` and ``_label`` of the ids outside the held-out fold; null ids and labels, and ids whose labels disagree, are left out."""
+    known = labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of("doc_id", folds) != held_out))
+    one = known.groupBy("doc_id").agg(F.min(label).alias("_label"), F.max(label).alias("_other")).filter("_label = _other")
+    return one.select(F.col("doc_id").alias("_id"), "_label")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, per_class: int, text: str = "text") -> DataFrame:
+    """``_id``, ``_label`` and ``_text`` of about ``per_class`` documents of each label value.
+
+    The ids are picked first and, being at most twice ``per_class`` a label, broadcast, so that no text is shuffled.
+    """
+    picked = bounded_sample(agreed(labels, label, folds, held_out), "_id", "_label", per_class)
+    texts = docs.select(F.col("doc_id").alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return texts.join(F.broadcast(picked), F.col("_doc") == F.col("_id")).select("_id", "_label", "_text")

@@ -26,10 +26,11 @@ def gram_keys(values: np.ndarray, order: int) -> np.ndarray:
     n = len(values) - order + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    key = np.full(n, order, np.uint64)
-    for i in range(order):
-        key = (key ^ values[i:i + n]) * _MIX
+    key = values[:n] + np.uint64(order)
+    for i in range(1, order):
+        key = key * _MIX
         key ^= key >> np.uint64(31)
+        key += values[i:i + n]
     return key
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vitrine.llm.common import bounded_sample, durable, fold_of
+from vitrine.llm.common import agreed, bounded_sample, durable
 
 _BLANKS = " \t\n\v\f\r"
 _UPPER = re.compile(f"[A-Z{chr(0xC0)}-{chr(0xD6)}{chr(0xD8)}-{chr(0xDE)}]")
@@ -177,10 +177,7 @@ def fit_rules(measured: DataFrame, labels: DataFrame, label: str = "quality", pe
 
     Bound: about ``per_class`` rows of each label value are read to the driver, a few numbers each. Ids whose labels disagree are left out.
     """
-    known = (
-        labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold_of("doc_id", 5) != 0))
-        .groupBy("doc_id").agg(F.min(label).alias("_label"), F.max(label).alias("_other")).filter("_label = _other").select(F.col("doc_id").alias("_id"), "_label")
-    )
+    known = agreed(labels, label, 5, 0)
     rows = measured.filter("not base_failed").join(known, F.col("doc_id") == F.col("_id")).select("_id", "_label", *[F.expr(v).alias(f) for f, v in FEATURES.items()])
     sample = bounded_sample(rows, "_id", "_label", per_class).orderBy("_id").collect()
     if not sample:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrine.llm import bpe, langid, packing, quality_rules, sharding, token_counts as counting
+from vitrine.llm import bpe, langid, packing, quality_classifier, quality_rules, sharding, token_counts as counting, toxicity
 from vitrine.llm.common import fold_of, ship, table
 
 
@@ -26,6 +26,12 @@ def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    judged = toxicity.score(docs, toxicity.fit_documents(docs, table(spark, folder, "labels")))
+    return judged.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     counted = counting.token_counts(table(spark, folder, "documents").select("doc_id", "text"))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -43,8 +49,15 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    judged = quality_classifier.score(docs, quality_classifier.fit_documents(docs, table(spark, folder, "labels")))
+    return judged.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_packing, op4_language_id, op6_token_counts, op8_sharding, op9_bpe)
+    f.__name__: f
+    for f in (op1_quality_rules, op3_packing, op4_language_id, op5_toxicity, op6_token_counts, op8_sharding, op9_bpe, op10_quality_classifier)
 }
 
 
