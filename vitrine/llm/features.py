@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import xxhash
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Characters taken at a time.
@@ -34,6 +35,23 @@ def gram_keys(values: np.ndarray, order: int) -> np.ndarray:
     return key
 
 
+class WordKeys:
+    """64-bit keys of words; those of words met before are remembered, up to a number of them."""
+
+    def __init__(self, remembered: int = 500_000):
+        self.known: dict[str, int] = {}
+        self.remembered = remembered
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        known = self.known
+        if len(known) > self.remembered:
+            known.clear()
+        for w in set(words):
+            if w not in known:
+                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
+        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+
+
 def count_grams(texts: Sequence[str], orders: Sequence[int], bits: int) -> np.ndarray:
     """Counts of hashed character n-grams, one row per text; long texts go through in overlapping parts."""
     out = np.zeros((len(texts), 1 << bits), np.float32)

@@ -8,17 +8,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from vitrine.llm.common import labelled_sample
-from vitrine.llm.features import gram_keys, mixed
+from vitrine.llm.features import WordKeys, gram_keys, mixed
 
 #: Hashed indicators: shapes of characters, repetition of words, words and pairs of words each have a range of their own.
 SHAPE_BITS, SAME_BITS, WORD_BITS = 14, 5, 17
 SHAPES_TO, SAME_TO, WORDS_TO = 5, 4, 2
 SIZE = (1 << SHAPE_BITS) + (1 << SAME_BITS) + (1 << WORD_BITS)
-REMEMBERED = 500_000
 _AT_ONCE = 1 << 20
 
 
@@ -34,19 +32,10 @@ def _shapes() -> np.ndarray:
 
 
 class Indicators:
-    """Which hashed n-grams a text has; hashes of words are remembered."""
+    """Which hashed n-grams a text has."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
-
-    def _word_keys(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                known[w] = xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass"))
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        self.keys = WordKeys()
 
     def of(self, text: str) -> np.ndarray:
         """Sorted places of the n-grams of the whole text. Parts of long texts overlap, so none is missed at a border."""
@@ -57,7 +46,7 @@ class Indicators:
             for order in range(1, SHAPES_TO + 1):
                 has[mixed(gram_keys(kinds, order), SHAPE_BITS)] = True
         words = text.split()
-        keys = self._word_keys(words)
+        keys = self.keys(words)
         same = (keys[1:] == keys[:-1]).astype(np.uint64)
         repeats = [mixed(gram_keys(same, order), SAME_BITS) for order in range(1, SAME_TO + 1)]
         grams = [mixed(gram_keys(keys, order), WORD_BITS) for order in range(1, WORDS_TO + 1)]

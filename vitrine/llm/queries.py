@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrine.llm import bpe, langid, packing, quality_classifier, quality_rules, sharding, token_counts as counting, toxicity
+from vitrine.llm import bpe, langid, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts as counting, toxicity
 from vitrine.llm.common import fold_of, ship, table
 
 
@@ -37,6 +37,10 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, folder, "documents"))
+
+
 def op8_sharding(spark: SparkSession, folder: str) -> DataFrame:
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     sized = table(spark, folder, "documents").select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
@@ -57,7 +61,7 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_packing, op4_language_id, op5_toxicity, op6_token_counts, op8_sharding, op9_bpe, op10_quality_classifier)
+    for f in (op1_quality_rules, op3_packing, op4_language_id, op5_toxicity, op6_token_counts, op7_ngram_join, op8_sharding, op9_bpe, op10_quality_classifier)
 }
 
 
