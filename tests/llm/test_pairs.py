@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD
-from vitrine.llm import ngram_join
+from vitrine.llm import near_vectors, ngram_join
 from vitrine.llm.grouping import components
 from vitrine.llm.queries import queries
 
@@ -106,3 +106,94 @@ def test_components_of_paths_stars_and_rings(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, **{200 + i: 200 for i in range(7)}}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def brute_vectors(rows, least=0.93):
+    """key -> (links, smallest key reached) for rows (key, vector, label) with distinct keys."""
+    def unit(v):
+        if v is None or not v or any(c is None or not np.isfinite(c) for c in v) or not any(v):
+            return None
+        x = np.array(v, float)
+        return x / np.linalg.norm(x)
+
+    units = [unit(v) for _, v, _ in rows]
+    root, links = list(range(len(rows))), [0] * len(rows)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            same = units[i] is not None and units[j] is not None and rows[i][2] is not None and rows[i][2] == rows[j][2]
+            if same and len(units[i]) == len(units[j]) and units[i] @ units[j] >= least:
+                links[i] += 1
+                links[j] += 1
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    first = {}
+    for i, (k, _, _) in enumerate(rows):
+        first[find(i)] = min(first.get(find(i), k), k)
+    return {k: (links[i], first[find(i)]) for i, (k, _, _) in enumerate(rows)}
+
+
+def vector_frame(spark, rows):
+    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+
+
+def check_vectors(found, want):
+    assert len(found) == len(want)
+    for r in found:
+        assert (r.n_links, r.component_id) == want[r.vec_id] and r.kept == (r.vec_id == r.component_id), r
+
+
+def test_vectors_with_groups_of_any_size(spark):
+    rng = np.random.default_rng(8)
+    vectors, centre = [], rng.normal(size=(4, 24))
+    for size, c in zip((60, 12, 3, 2), centre, strict=True):
+        vectors += [c + rng.normal(size=24) * 0.22 for _ in range(size)]
+    vectors += list(rng.normal(size=(150, 24)))
+    rows = [(int(k), [float(np.float32(x)) for x in v], int(k % 7 == 0)) for k, v in zip(rng.permutation(len(vectors)), vectors, strict=True)]
+    found = near_vectors.near_duplicates(vector_frame(spark, rows).withColumns({"node": F.lit("clash"), "root": F.lit(3)})).collect()
+    check_vectors(found, brute_vectors(rows))
+
+
+def test_vectors_of_the_given_table(spark):
+    rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
+    check_vectors(queries()["op2_embedding_dedup"](spark, "/root/testdata/sf0.001").collect(), brute_vectors(rows))
+
+
+def test_odd_vectors(spark):
+    one = [1.0, 0.0, 0.5]
+    rows = [
+        (1, one, 1), (2, one, 1), (3, [2.0, 0.0, 1.0], 1), (4, one, 2), (5, one, None), (6, None, 1), (7, [], 1), (8, [0.0, 0.0, 0.0], 1),
+        (9, [1.0, None, 0.5], 1), (10, [float("nan"), 0.0, 1.0], 1), (11, [float("inf"), 0.0, 1.0], 1), (12, [1.0, 0.0], 1), (13, [3e38, 0.0, 1.5e38], 1),
+        (14, [1e-38, 0.0, 5e-39], 1),
+    ]
+    check_vectors(near_vectors.near_duplicates(vector_frame(spark, rows)).collect(), brute_vectors(rows))
+    twice = near_vectors.near_duplicates(vector_frame(spark, [(1, one, 1), (1, one, 1), (None, one, 1), (None, None, None)])).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in twice) == [(0, 0, 0), (0, 0, 0), (1, 1, 1), (1, 1, 1)]
+    assert near_vectors.near_duplicates(vector_frame(spark, [])).count() == 0
+
+
+def test_rounds_find_neighbours_of_neighbours(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=30) + rng.normal(size=(40, 30)) * 0.3
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, bytes(v.tobytes())) for i, v in enumerate(x)], "node long, v binary")
+    ring = spark.createDataFrame([(i, (i + 1) % 40, float(x[i] @ x[(i + 1) % 40]), True) for i in range(40)], "a long, b long, near double, fresh boolean")
+    now = near_vectors.lists(ring, 6)
+    for _ in range(6):
+        now = near_vectors.lists(now.withColumn("fresh", F.lit(False)).unionAll(near_vectors.descend(now, nodes, 3, 6, 0.0).withColumn("fresh", F.lit(True))), 6)
+    alike = x @ x.T
+    np.fill_diagonal(alike, -1)
+    best = {(i, int(j)) for i in range(40) for j in np.argsort(-alike[i])[:6]}
+    assert len(best & {(r.a, r.b) for r in now.collect()}) / len(best) > 0.9
+
+
+def test_audit_counts_found_and_lists_missing(spark):
+    x = np.eye(3)[[0, 0, 1]] + 1e-3 * np.arange(9).reshape(3, 3)
+    nodes = spark.createDataFrame([(i, "k", bytes((v / np.linalg.norm(v)).tobytes())) for i, v in enumerate(x)], "node long, kin string, v binary")
+    linked = spark.createDataFrame([(0, 0), (1, 0)], "node long, root long")
+    for roots, want in ((linked, (2, 0)), (linked.limit(0), (0, 2))):
+        assert near_vectors.audit(nodes, roots, 3, 0.9).agg(F.sum("found"), F.count("a")).first() == want

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrine.llm import bpe, langid, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts as counting, toxicity
+from vitrine.llm import bpe, langid, near_vectors, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts as counting, toxicity
 from vitrine.llm.common import fold_of, ship, table
 
 
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
+def op2_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), carry_ids=False)
 
@@ -61,7 +65,10 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op3_packing, op4_language_id, op5_toxicity, op6_token_counts, op7_ngram_join, op8_sharding, op9_bpe, op10_quality_classifier)
+    for f in (
+        op1_quality_rules, op2_embedding_dedup, op3_packing, op4_language_id, op5_toxicity, op6_token_counts, op7_ngram_join, op8_sharding,
+        op9_bpe, op10_quality_classifier,
+    )
 }
 
 
