@@ -92,7 +92,8 @@ def forest(nodes: DataFrame, seed: int, bits: int, trees: int = TREES, span: int
 
 def lists(edges: DataFrame, size: int = LIST) -> DataFrame:
     """The ``size`` nearest of the listed neighbours of each node, in both directions: ``a``, ``b``, ``near``, ``fresh``."""
-    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "near", "fresh"))
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # not a union, which would work out ``edges`` twice
+    both = edges.select(F.explode(ways).alias("way"), "near", "fresh").select("way.a", "way.b", "near", "fresh")
     once = both.groupBy("a", "b").agg(F.max("near").alias("near"), F.every("fresh").alias("fresh"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("near").desc(), "b"))
     return durable(once.withColumn("rank", rank).filter(F.col("rank") <= size).drop("rank"))
