@@ -143,3 +143,15 @@ def test_encoder_agrees_on_random_strings(library):
 def test_decoding_of_any_ids(library):
     ids = random.Random(7).choices(range(50257), k=3000)
     assert bpe.encoder(tokenizer_path()).vocabulary.decode(np.array(ids)).decode(errors="replace") == library.decode(ids, skip_special_tokens=False)
+
+
+def test_the_faster_library_gives_the_same_ids(library):
+    """Every code point in several surroundings, odd texts, long runs, and random strings."""
+    fast = counting.encoder(tokenizer_path())
+    texts = ["".join(f"a{c}a 1{c}1 {c}  {c}." for c in map(chr, range(at, at + 64)) if not 0xD800 <= ord(c) <= 0xDFFF) for at in range(0, 0x110000, 64)]
+    texts += [*(t or "" for t in ODD), "\n" * 9000 + "a", " " * 9000, "ab" * 9000, "1" * 9000, "!" * 9000]
+    rng = random.Random(9)
+    letters = [*map(chr, range(32, 127)), *"\n\t\r  éñß漢🙂\x85\xa0’", "<|endoftext|>", "<|endof", " the", "'ll", "   "]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 200))) for _ in range(2000)]
+    for text, made in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert fast(text).tolist() == made.ids, repr(text[:80])

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vitrine.llm.common import durable, tokenizer_path
-from vitrine.llm.token_counts import safe_pieces
+from vitrine.llm.token_counts import encoder, safe_pieces
 
 CAPACITY = 2048
 OPEN_WINDOWS = 32
@@ -28,32 +26,6 @@ _ARROW = pa.schema([
 ])
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str):
-    """A function from text to token ids (uint32), the ids of the tokenizers library for ``path``.
-
-    Where the file is the byte-level vocabulary of which tiktoken has a twin beside it, tiktoken gives the same ids several times faster.
-    """
-    twin = path.removesuffix(".json") + ".tiktoken"
-    if path.endswith("byte_bpe_50k.json") and os.path.exists(twin):
-        import base64
-
-        import public_tokenizers
-        import tiktoken
-
-        with open(twin, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        made = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={"<|endoftext|>": 50256})
-        return lambda text: made.encode_to_numpy(text, allowed_special="all")
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    other = Tokenizer.from_file(path)
-    other.no_truncation()
-    other.no_padding()
-    return lambda text: np.asarray(other.encode(text, add_special_tokens=False).ids, np.uint32)
-
-
 class Packer:
     """``open_windows`` open windows of ``capacity``; what ``add`` returns is closed for good.
 
@@ -120,7 +92,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, ope
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode = TaskContext.get().partitionId(), _encoder(path)
+        part, encode = TaskContext.get().partitionId(), encoder(path)
         packer, sequence, closed, held = Packer(capacity, open_windows, least_cut), 0, [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
