@@ -10,7 +10,7 @@ from vitrine.catalog.registry import query
 from vitrine.functions import rules, text
 from vitrine.ml import mixed, segments, sentiment, words
 from vitrine.plans import dashboards
-from vitrine.session import scratch_path
+from vitrine.session import durable, scratch_path
 
 _W = text.WHITE
 _CLEAN = (f"trim(regexp_replace(regexp_replace(regexp_replace(lower(review_text), '(http|www)[^{_W}]+', '', 'g'), '[^a-z0-9{_W} áéíóúãõçñ]', '', 'g'), '[{_W}]+', ' ', 'g'))")
@@ -67,7 +67,7 @@ def m07(m):
 
 def _fitted(m, **params) -> tuple[PipelineModel, object]:
     rows = sentiment.split(words.with_label(_prepared(m)), "doc_id")
-    return sentiment.train(rows.filter(~F.col("is_test")), {"C": 1.0, "max_iter": 50, **params}), rows.filter("is_test")
+    return sentiment.train(rows.filter(~F.col("is_test")), {"C": 1.0, **params}), rows.filter("is_test")
 
 
 @query("m08_logistic")
@@ -79,13 +79,13 @@ def m08(m):
 @query("m09_search")
 def m09(m):
     rows = sentiment.folded(words.with_label(_prepared(m)).select("doc_id", "review_text", "label"), "doc_id")
-    return sentiment.trial_scores(sentiment.search(rows, sentiment.trial_params(2), folds=2))
+    return sentiment.trial_scores(sentiment.search(rows, sentiment.trial_params()))
 
 
 @query("m17_feature_search")
 def m17(m):
     rows = sentiment.folded(words.with_label(_prepared(m)).select("doc_id", "review_text", "label"), "doc_id")
-    return sentiment.trial_scores(sentiment.search(rows, sentiment.trial_params(2, seed=7, feature_steps=sentiment.FEATURE_STEPS), folds=2))
+    return sentiment.trial_scores(sentiment.search(rows, sentiment.trial_params(seed=7, feature_steps=sentiment.FEATURE_STEPS)))
 
 
 _CELLS = "c AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (y = p)::DOUBLE AS ok, " + ", ".join(
@@ -123,8 +123,8 @@ def m11_report(m):
 
 @query("m12_batch_scores")
 def m12(m):
-    model, held_out = _fitted(m)
-    return sentiment.scored(model, held_out.select("doc_id", "review_text", "label"))
+    model, _ = _fitted(m)
+    return sentiment.scored(model, words.with_label(_prepared(m)).select("doc_id", "review_text", "label"))
 
 
 @query("s14_model_store")
@@ -154,12 +154,18 @@ def m13(m):
     return mixed.mixed_pipeline(rows, *_MIXED).transform(rows).select("order_id", "label", vector_to_array("features").alias("features"))
 
 
+def _mixed_split(m):
+    """Order features with text, everything fitted on the training rows alone: the pipeline, training rows and test rows."""
+    rows = sentiment.split(_order_features(m), "order_id")
+    pipeline = mixed.mixed_pipeline(rows.filter("not is_test"), *_MIXED)
+    shaped = durable(pipeline.transform(rows).select("order_id", "label", "features", "is_test").hint("rebalance"))
+    return pipeline, shaped.filter("not is_test"), shaped.filter("is_test")
+
+
 @query("m14_naive_bayes")
 def m14(m):
-    rows = _order_features(m)
-    shaped = mixed.mixed_pipeline(rows, *_MIXED, text_column=None).transform(rows).select("order_id", "label", "features")
-    model = sentiment.naive_bayes(shaped)
-    return sentiment.metrics(model.transform(shaped))
+    _, inner, outer = _mixed_split(m)
+    return sentiment.metrics(sentiment.naive_bayes(inner).transform(outer))
 
 
 _ROC = """r AS (SELECT n_chars % 97 AS score, count(*) FILTER (quality = 1) AS pos, count(*) FILTER (quality <> 1) AS neg FROM documents JOIN labels USING (doc_id) GROUP BY 1),
@@ -183,21 +189,21 @@ def m15_auc(m):
 
 @query("m15_leaderboard")
 def m15_board(m):
-    """AUC of logistic regression and Gaussian naive Bayes on the same order features."""
-    rows = sentiment.split(_order_features(m), "order_id")
-    shaped = mixed.mixed_pipeline(rows, *_MIXED, text_column=None).transform(rows).select("order_id", "label", "features", "is_test")
-    inner, outer = shaped.filter("not is_test"), shaped.filter("is_test")
+    """AUC of logistic regression and Gaussian naive Bayes on the test rows of the same order features."""
+    _, inner, outer = _mixed_split(m)
     chance = vector_to_array("probability")[1].alias("score")
-    fitted = {"Logistic Regression": sentiment.logistic(inner, max_iter=50), "Naive Bayes": sentiment.naive_bayes(inner)}
+    fitted = {"Logistic Regression": sentiment.logistic(inner), "Naive Bayes": sentiment.naive_bayes(inner)}
     return sentiment.leaderboard(m.spark, {n: f.transform(outer).select("label", chance) for n, f in fitted.items()})
 
 
 @query("m16_importance")
 def m16(m):
-    rows = _order_features(m)
-    shaped = mixed.mixed_pipeline(rows, *_MIXED, text_column=None).transform(rows).select("label", "features")
-    model = sentiment.naive_bayes(shaped)
-    return sentiment.mean_difference([f"feature {i}" for i in range(model.numFeatures)], model.theta)
+    """Features that tell most, by name: coefficients of logistic regression, differences of the class means of naive Bayes."""
+    pipeline, inner, _ = _mixed_split(m)
+    names = mixed.feature_names(pipeline, *_MIXED)
+    parts = {"Logistic Regression": sentiment.coefficients(names, sentiment.logistic(inner)), "Naive Bayes": sentiment.mean_difference(names, sentiment.naive_bayes(inner).theta)}
+    first, second = (df.select(F.lit(n).alias("model"), "feature", "importance") for n, df in parts.items())
+    return first.unionAll(second)
 
 
 @query("m18_complete_rows", "SELECT order_id, customer_unique_id, order_status, total_payment, review_score, review_text, is_late_delivery FROM fact_orders WHERE review_text IS NOT NULL AND is_late_delivery IS NOT NULL", "fact_orders")
@@ -222,13 +228,11 @@ def _behaviour(m):
 
 @query("m20_segments")
 def m20(m):
-    rows = _behaviour(m).persist()
-    model = segments.fit_segments(rows)
-    return segments.segmented(model, rows).drop("scaled")
+    rows = durable(_behaviour(m))
+    return segments.segmented(segments.fit_segments(rows), rows).drop("scaled")
 
 
 @query("m21_profiles")
 def m21(m):
-    rows = _behaviour(m).persist()
-    model = segments.fit_segments(rows)
-    return segments.profile_matrix(segments.segmented(model, rows))
+    rows = durable(_behaviour(m))
+    return segments.profile_matrix(segments.segmented(segments.fit_segments(rows), rows))

@@ -592,7 +592,7 @@ def n02(m):
 
 @query("n03_column_chain", "SELECT c_custkey, upper(replace(substr(c_name, 10), '0', 'o')) || '!' AS tag FROM customer")
 def n03(m):
-    return m.table("customer").withColumn("a", F.substring("c_name", 10, 100)).withColumn("b", F.replace("a", F.lit("0"), F.lit("o"))).select("c_custkey", F.concat(F.upper("b"), F.lit("!")).alias("tag"))
+    return m.table("customer").withColumn("a", F.substr(F.col("c_name"), F.lit(10))).withColumn("b", F.replace("a", F.lit("0"), F.lit("o"))).select("c_custkey", F.concat(F.upper("b"), F.lit("!")).alias("tag"))
 
 
 @query("n04_window_on_groups", """SELECT o_orderstatus, y, count(*) AS n, sum(count(*)) OVER (PARTITION BY y)::BIGINT AS year_n FROM (SELECT o_orderstatus, year(o_orderdate) AS y FROM orders) GROUP BY 1, 2""")
@@ -620,9 +620,9 @@ def f04(m):
     return m.table("documents").select("doc_id", F.md5(text.single_spaced(F.replace("text", F.lit(","), F.lit("  ")))).alias("h"))
 
 
-@query("f05_blank_to_null", "SELECT doc_id, nullif(regexp_replace(left(text, 3), '[a-zA-Z ]', '', 'g'), '') AS odd FROM documents")
+@query("f05_blank_to_null", "SELECT doc_id, nullif(regexp_replace(text, '[a-zA-Z ]', '', 'g'), '') AS odd FROM documents")
 def f05(m):
-    return m.table("documents").select("doc_id", text.blank_to_null(F.regexp_replace(F.left("text", F.lit(3)), "[a-zA-Z ]", "")).alias("odd"))
+    return m.table("documents").select("doc_id", text.blank_to_null(F.regexp_replace("text", "[a-zA-Z ]", "")).alias("odd"))
 
 
 @query("f06_separators", "SELECT n_nationkey, replace(n_name, '_', ' ') AS a, replace(replace(n_name, '_', '-'), '-', ' ') AS b FROM nation")
@@ -639,7 +639,7 @@ def f07(m):
 @query("f08_substrings", "SELECT c_custkey, left(c_name, 8) AS l, substr(c_name, 10) AS r, instr(c_name, '#') AS at, length(c_name) AS n FROM customer")
 def f08(m):
     n = F.col("c_name")
-    return m.table("customer").select("c_custkey", F.left(n, F.lit(8)).alias("l"), F.substring(n, 10, 1000).alias("r"), F.instr(n, "#").cast("bigint").alias("at"), F.length(n).cast("bigint").alias("n"))
+    return m.table("customer").select("c_custkey", F.left(n, F.lit(8)).alias("l"), F.substr(n, F.lit(10)).alias("r"), F.instr(n, "#").cast("bigint").alias("at"), F.length(n).cast("bigint").alias("n"))
 
 
 @query("f09_concat", "SELECT order_id, review_text || ' | ' || CAST(review_score AS VARCHAR) AS label FROM fact_orders", "fact_orders")
@@ -662,9 +662,9 @@ def f12(m):
     return m.table("customer").select("c_custkey", text.zero_padded(F.col("c_custkey"), 3).alias("zip"))
 
 
-@query("f13_slug", r"SELECT doc_id, trim(regexp_replace(lower(left(text, 40)), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents")
+@query("f13_slug", r"SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM documents")
 def f13(m):
-    return m.table("documents").select("doc_id", text.slug(F.left("text", F.lit(40))).alias("slug"))
+    return m.table("documents").select("doc_id", text.slug(F.col("text")).alias("slug"))
 
 
 @query("f14_date_key", "SELECT o_orderkey, CAST(strftime(o_orderdate, '%Y%m%d') AS INTEGER) AS date_key FROM orders")

@@ -170,7 +170,7 @@ def i05(m):
 @query("i06_forest")
 def i06(m):
     rows = impute.encoded(m.dim_customers(), ["state", "city"]).select("customer_unique_id", F.col("customer_unique_id").cast("double").alias("zip_number"), "state_encoded", "city_encoded", "latitude", "longitude")
-    return impute.forest_filled(rows, ["zip_number", "state_encoded", "city_encoded", "latitude", "longitude"], rounds=2)
+    return impute.forest_filled(rows, ["zip_number", "state_encoded", "city_encoded", "latitude", "longitude"])
 
 
 @query("i07_rounded_volume", "SELECT p_partkey, CASE WHEN p_size % 4 IN (0, 1) THEN p_size // 2 ELSE (p_size + 1) // 2 END AS photo_count, CAST(p_size * (p_size + 1) * 2 AS DOUBLE) AS volume_cm3 FROM part")

@@ -31,7 +31,7 @@ def mixed_pipeline(train: DataFrame, categories: Sequence[str], amounts: Sequenc
         StringIndexer(inputCols=list(categories), outputCols=[f"{c}_index" for c in categories], stringOrderType="alphabetDesc"),
         OneHotEncoder(inputCols=[f"{c}_index" for c in categories], outputCols=[f"{c}_vec" for c in categories], dropLast=True),
         VectorAssembler(inputCols=list(amounts), outputCol="amounts"),
-        RobustScaler(inputCol="amounts", outputCol="amounts_scaled", withCentering=True, withScaling=True),
+        RobustScaler(inputCol="amounts", outputCol="amounts_scaled", withCentering=True, withScaling=True, relativeError=0.0),
     ]).fit(train)
     stages = list(shaped.stages)
     inputs = [f"{c}_vec" for c in categories] + ["amounts_scaled", *flags]
@@ -40,3 +40,11 @@ def mixed_pipeline(train: DataFrame, categories: Sequence[str], amounts: Sequenc
         inputs.append("text_vec")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features"))
     return PipelineModel(stages=stages)
+
+
+def feature_names(model: PipelineModel, categories: Sequence[str], amounts: Sequence[str], flags: Sequence[str]) -> list[str]:
+    """The name of each place of ``features``: category=value, amount, flag, then the terms of the text if it takes part."""
+    labels = model.stages[0].labelsArray
+    names = [f"{c}={value}" for c, values in zip(categories, labels, strict=True) for value in list(values)[:-1]]
+    terms = next((s.vocabulary for s in model.stages if hasattr(s, "vocabulary")), [])
+    return [*names, *amounts, *flags, *terms]

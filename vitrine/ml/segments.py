@@ -48,6 +48,8 @@ def named_clusters(model: PipelineModel) -> dict[int, str]:
     centres = [c.tolist() for c in model.stages[2].clusterCenters()]
     gap = lambda c, p: sum((a - b) ** 2 for a, b in zip(c, p))
     names = list(PROFILES)
+    if len(centres) > len(names):
+        raise ValueError(f"there are {len(names)} published profiles, so at most that many clusters can be named")
     best = min(permutations(names, len(centres)), key=lambda order: sum(gap(c, PROFILES[n]) for c, n in zip(centres, order)))
     return dict(enumerate(best))
 

@@ -6,8 +6,11 @@ import json
 import math
 import posixpath
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.functions import vector_to_array
@@ -84,7 +87,7 @@ def train(rows: DataFrame, params: dict, **bounds) -> PipelineModel:
     shaped = rows
     for stage in stages:
         shaped = stage.transform(shaped)
-    shaped = shaped.select("label", "features").persist()
+    shaped = shaped.select("label", "features").hint("rebalance").persist()
     try:
         model = logistic(shaped, params.get("C", 1.0), params.get("max_iter", 1000), params.get("class_weight"))
     finally:
@@ -180,30 +183,40 @@ def trial_params(trials: int = TRIALS, seed: int = SEED, feature_steps: Sequence
     return out
 
 
-def search(rows: DataFrame, params: list[dict], folds: int = FOLDS, **bounds) -> DataFrame:
+def search(rows: DataFrame, params: list[dict], folds: int = FOLDS, at_once: int = 8, fit: Callable[..., object] | None = None, **bounds) -> DataFrame:
     """Macro F1 of every (trial, fold); ``rows`` has text, label and fold.
 
-    The vocabulary is learnt on each training part. A fold's vectors are built once per
-    vocabulary size and shared by all trials of that size; every fit runs on the cluster.
+    A fold's vocabulary is learnt once, at the largest size asked for: its terms come most frequent first, so a smaller vocabulary is its
+    beginning. Vectors are built once per fold and size and shared by the trials of that size; up to ``at_once`` fits run side by side,
+    each on the cluster. ``fit(train, params)`` gives the model, logistic regression unless told otherwise.
     """
-    results = []
-    sizes = sorted({p.get("max_features", bounds.get("size", words.VOCABULARY)) for p in params})
+    fit = fit or (lambda train, p: logistic(train, p["C"], p["max_iter"], p["class_weight"]))
+    default = bounds.get("size", words.VOCABULARY)
+    by_size: dict[int, list[dict]] = {}
+    for p in params:
+        by_size.setdefault(p.get("max_features", default), []).append(p)
     limits = {k: v for k, v in bounds.items() if k != "size"}
     rows = rows.select("review_text", "label", "fold").persist()
+
+    def judged(shaped: DataFrame, fold: int, size: int, p: dict) -> tuple:
+        model = fit(shaped.filter(F.col("fold") != fold), p)
+        value = macro_f1(model.transform(shaped.filter(F.col("fold") == fold)))
+        return p["trial"], fold, p.get("C"), p.get("max_iter"), p.get("class_weight") or "none", size, value
+
+    results = []
     try:
-        for fold in range(folds):
-            for size in sizes:
-                stages = words.vectorizer(rows.filter(F.col("fold") != fold), size=size, **limits)
-                shaped = PipelineModel(stages=stages).transform(rows).select("label", "fold", "features").persist()
-                try:
-                    for p in params:
-                        if p.get("max_features", bounds.get("size", words.VOCABULARY)) != size:
-                            continue
-                        model = logistic(shaped.filter(F.col("fold") != fold), p["C"], p["max_iter"], p["class_weight"])
-                        value = macro_f1(model.transform(shaped.filter(F.col("fold") == fold)))
-                        results.append((p["trial"], fold, p["C"], p["max_iter"], p["class_weight"] or "none", size, value))
-                finally:
-                    shaped.unpersist()
+        with ThreadPoolExecutor(at_once) as pool:
+            for fold in range(folds):
+                terms = words.vocabulary(rows.filter(F.col("fold") != fold), size=max(by_size), **limits).collect()
+                for size, trials in sorted(by_size.items()):
+                    stages = words.vectorizer_of(terms[:size])
+                    # a fit is many short passes: rebalancing leaves them no more tasks than the bytes ask for
+                    shaped = PipelineModel(stages=stages).transform(rows).select("label", "fold", "features").hint("rebalance").persist()
+                    try:
+                        shaped.count()  # so that the fits do not all build it
+                        results += pool.map(inheritable_thread_target(rows.sparkSession)(partial(judged, shaped, fold, size)), trials)
+                    finally:
+                        shaped.unpersist()
     finally:
         rows.unpersist()
     return rows.sparkSession.createDataFrame(results, "trial int, fold int, C double, max_iter int, class_weight string, max_features int, macro_f1 double")
@@ -243,6 +256,11 @@ def importance(model: PipelineModel, top: int = 20) -> DataFrame:
     return _top_features(list(zip(vocabulary, weights)), top)
 
 
+def coefficients(names: Sequence[str], model, top: int = 20) -> DataFrame:
+    """Named features with the largest coefficients of a logistic model."""
+    return _top_features(list(zip(names, model.coefficients.toArray().tolist(), strict=True)), top)
+
+
 def mean_difference(names: Sequence[str], means, top: int = 20) -> DataFrame:
     """Features whose class means differ most (Gaussian model)."""
     matrix = means.toArray()

@@ -100,7 +100,11 @@ def vectorizer(train: DataFrame, column: str = "review_text", out: str = "featur
 
     Only the vocabulary (at most its size limit) comes to the driver.
     """
-    known = vocabulary(train, column, **bounds).collect()
+    return vectorizer_of(vocabulary(train, column, **bounds).collect(), column, out)
+
+
+def vectorizer_of(known: Sequence, column: str = "review_text", out: str = "features") -> list:
+    """The same stages from a vocabulary already learnt: rows with ``term`` and ``idf``."""
     listed = SQLTransformer(statement=_TERMS_SQL.replace("{column}", column))
     counted = CountVectorizerModel.from_vocabulary([r["term"] for r in known], inputCol="terms", outputCol="term_counts")
     weighted = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in known]), inputCol="term_counts", outputCol="term_weights")

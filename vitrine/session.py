@@ -54,12 +54,6 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Redistribute rows of a source that splits into fewer tasks than there are cores.
-
-    For a plain scan, before work that is heavy per row on a few unsplittable files (asking
-    for the partitions of a plan with shuffles would run it). A source with splits enough is
-    returned as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Deal rows evenly to ``tasks`` tasks (default: the session's parallelism), before work that is heavy per row on files that do not split."""
+    return df.repartition(tasks or df.sparkSession.sparkContext.defaultParallelism)

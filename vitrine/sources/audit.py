@@ -7,13 +7,14 @@ import posixpath
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 LOG_SCHEMA = (
     "batch_id string, layer_name string, table_name string, procedure_name string, batch_start_time timestamp, "
     "batch_end_time timestamp, load_start_time timestamp, load_end_time timestamp, load_duration_sec int, "
     "source_row_count bigint, rows_inserted bigint, target_row_count bigint, status string, error_message string, "
-    "error_number int, error_state int, created_at timestamp"
+    "error_class string, sql_state string, created_at timestamp"
 )
 BATCH = "BATCH"
 
@@ -22,6 +23,11 @@ def _now() -> dt.datetime:
     return dt.datetime.now(dt.timezone.utc)
 
 
+def _told(error: BaseException, what: str) -> str | None:
+    """What a Spark error says of itself; other errors have neither class nor state."""
+    return getattr(error, what)() if isinstance(error, PySparkException) else None
+
+
 class LoadBatch:
     """One run of one layer.
 
@@ -57,7 +63,8 @@ class LoadBatch:
     def __exit__(self, kind, error, trace) -> bool:
         ended = _now()
         if error is not None:
-            self._append(table_name=self.table, status="FAILED", error_message=str(error)[:4000], error_number=0, error_state=0)
+            self._append(table_name=self.table, status="FAILED", error_message=str(error), error_class=_told(error, "getCondition"),
+                         sql_state=_told(error, "getSqlState"))
         self._append(table_name=BATCH, batch_end_time=ended, status="FAILED" if error else "SUCCESS")
         return False
 
