@@ -127,6 +127,25 @@ def test_failed_refresh_keeps_previous_table(spark, tmp_path):
     assert store.replace_table(spark.range(2), base, "t") == 2 and store.read_table(spark, base, "t").count() == 2
 
 
+def test_broken_off_replacement_is_put_right(spark, tmp_path):
+    base = str(tmp_path)
+    store.replace_table(spark.range(5), base, "t")
+    (tmp_path / "t").rename(tmp_path / "_previous_t")  # as left by a crash between the two renames
+    assert store.read_table(spark, base, "t").count() == 5
+    (tmp_path / "t").rename(tmp_path / "_previous_t")
+    assert store.replace_table(spark.range(2), base, "t") == 2 and store.read_table(spark, base, "t").count() == 2
+
+
+def test_whole_error_and_its_class_are_logged(spark, tmp_path):
+    with pytest.raises(Exception), audit.LoadBatch(spark, str(tmp_path), "Bronze", "land") as batch:  # noqa: B017, PT011
+        batch.load("t", lambda: spark.sql("SELECT nothing_here").count())
+    with pytest.raises(ValueError), audit.LoadBatch(spark, str(tmp_path), "Bronze", "land") as batch:
+        batch.load("u", lambda: (_ for _ in ()).throw(ValueError("x" * 9000)))
+    rows = {r.table_name: r for r in audit.read_log(spark, str(tmp_path)).filter("status = 'FAILED'").collect()}
+    assert rows["t"].error_class.startswith("UNRESOLVED_COLUMN") and rows["t"].sql_state == "42703"
+    assert len(rows["u"].error_message) == 9000 and rows["u"].error_class is None
+
+
 def test_missing_file_is_an_error(spark, tmp_path):
     with pytest.raises(Exception):
         bronze.read_local_csv(spark, str(tmp_path / "none.csv"))

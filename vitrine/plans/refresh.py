@@ -46,16 +46,25 @@ def model(spark: SparkSession, lake: str, calendar: tuple[dt.date, dt.date] = go
 
 
 def publish(spark: SparkSession, lake: str) -> dict[str, DataFrame]:
-    """Register the star tables and the four KPI views."""
+    """Register the star tables and the four KPI views; each view is logged, and a failure leaves a FAILED row."""
     tables = {name: store.read_table(spark, lake, name) for name in checks.PRIMARY_KEYS}
-    views = {
-        "overview_kpis": kpi.overview_view(tables["fact_orders"], tables["fact_order_items"], tables["dim_date"]),
-        "sales_kpis": kpi.sales_view(tables["fact_order_items"], tables["fact_orders"], tables["dim_date"], tables["dim_products"], tables["dim_sellers"]),
-        "marketing_kpis": kpi.marketing_view(tables["fact_marketing_funnel"], tables["fact_order_items"], tables["fact_orders"], tables["dim_date"], tables["dim_sellers"]),
-        "customer_kpis": kpi.customer_view(tables["fact_orders"], tables["dim_customers"], tables["dim_date"]),
+    build = {
+        "overview_kpis": lambda: kpi.overview_view(tables["fact_orders"], tables["fact_order_items"], tables["dim_date"]),
+        "sales_kpis": lambda: kpi.sales_view(tables["fact_order_items"], tables["fact_orders"], tables["dim_date"], tables["dim_products"], tables["dim_sellers"]),
+        "marketing_kpis": lambda: kpi.marketing_view(tables["fact_marketing_funnel"], tables["fact_order_items"], tables["fact_orders"], tables["dim_date"], tables["dim_sellers"]),
+        "customer_kpis": lambda: kpi.customer_view(tables["fact_orders"], tables["dim_customers"], tables["dim_date"]),
     }
-    for name, df in {**tables, **views}.items():
+    for name, df in tables.items():
         store.define_view(df, name)
+    views: dict[str, DataFrame] = {}
+
+    def define(name: str) -> None:
+        views[name] = build[name]()
+        store.define_view(views[name], name)
+
+    with audit.LoadBatch(spark, lake, "Gold_Views", "publish") as batch:
+        for name in build:
+            batch.load(name, lambda n=name: define(n))
     return {**tables, **views}
 
 

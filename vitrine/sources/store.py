@@ -13,9 +13,18 @@ def _fs(spark: SparkSession, path: str):
 
 
 def read_table(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """The table; if a replacement broke off between its two renames, the previous table is put back first."""
+    _recover(spark, base, name)
     return spark.read.parquet(posixpath.join(base, name))
 
 
+def _recover(spark: SparkSession, base: str, name: str) -> None:
+    fs, target = _fs(spark, posixpath.join(base, name))
+    _, previous = _fs(spark, posixpath.join(base, f"_previous_{name}"))
+    if not fs.exists(target) and fs.exists(previous) and not fs.rename(previous, target):
+        raise IOError(f"cannot put the previous {name} back")
+
+
 def read_query(spark: SparkSession, statement: str, **frames: DataFrame) -> DataFrame:
     """SQL over the catalogue, with given frames reachable as ``{name}``."""
     return spark.sql(statement, **frames)
@@ -46,6 +55,7 @@ def replace_table(df: DataFrame, base: str, name: str, partition_by: str | None
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(staging)
+    _recover(spark, base, name)
     fs, target_path = _fs(spark, target)
     _, staging_path = _fs(spark, staging)
     old_path = _fs(spark, posixpath.join(base, f"_previous_{name}"))[1]
