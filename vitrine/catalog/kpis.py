@@ -27,6 +27,7 @@ _NONE = "CAST(NULL AS VARCHAR)"
 _SOLD = f"""sold AS (SELECT i.*, year_number, review_score, order_status FROM fact_order_items i JOIN fact_orders USING (order_id) JOIN dim_date ON date_key = purchase_date_key WHERE {_SALE})"""
 _SELL = "sy AS (SELECT year_number, count(DISTINCT seller_id) AS sellers, round(CAST(sum(freight_value) AS DOUBLE) / nullif(CAST(sum(total_item_value) AS DOUBLE), 0) * 100, 2) AS fp FROM sold GROUP BY 1)"
 
+# KPI names and labels in the check SQL of the four families below are those that results must carry.
 _OVERVIEW = {
     "gmv": _select("yy", name="Gross Merchandise Value (GMV)", value="round(gmv, 2)", meaning="Total transaction value processed", logic="SUM(total_payment)", label="YoY Growth", detail="printf('%.1f', pct) || '%'",
                    verdict="CASE WHEN pct >= 20 THEN 'Strong growth' WHEN pct >= 0 THEN 'Marginal growth' WHEN pct IS NULL THEN 'No prior year comparison' ELSE 'Decline' END"),
