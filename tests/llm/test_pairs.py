@@ -197,3 +197,21 @@ def test_audit_counts_found_and_lists_missing(spark):
     linked = spark.createDataFrame([(0, 0), (1, 0)], "node long, root long")
     for roots, want in ((linked, (2, 0)), (linked.limit(0), (0, 2))):
         assert near_vectors.audit(nodes, roots, 3, 0.9).agg(F.sum("found"), F.count("a")).first() == want
+
+
+@pytest.fixture
+def without_audit(monkeypatch):
+    """What the search finds by itself: the audit picks nobody."""
+    real = near_vectors.audit
+    monkeypatch.setattr(near_vectors, "audit", lambda *args, **more: real(*args, most=0, **more))
+
+
+def test_clumps_that_fill_their_lists_are_joined(spark, without_audit):
+    rng = np.random.default_rng(11)
+    vectors = list(rng.normal(size=(300, 64)))
+    for _ in range(6):  # two clumps of 20, closer inside than across
+        one, away = np.linalg.qr(rng.normal(size=(64, 2)))[0].T
+        for centre in (one, np.cos(0.33) * one + np.sin(0.33) * away):
+            vectors += [centre + rng.normal(size=64) * 0.006 for _ in range(20)]
+    rows = [(int(k), [float(np.float32(x)) for x in v], 1) for k, v in zip(rng.permutation(len(vectors)), vectors, strict=True)]
+    check_vectors(near_vectors.near_duplicates(vector_frame(spark, rows)).collect(), brute_vectors(rows))

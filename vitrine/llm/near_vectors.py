@@ -90,32 +90,71 @@ def forest(nodes: DataFrame, seed: int, bits: int, trees: int = TREES, span: int
     return placed.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(compare, _EDGE).filter("a != b")
 
 
-def lists(edges: DataFrame, size: int = LIST) -> DataFrame:
-    """The ``size`` nearest of the listed neighbours of each node, in both directions: ``a``, ``b``, ``near``, ``fresh``."""
+def lists(edges: DataFrame, size: int = LIST, roots: DataFrame | None = None) -> DataFrame:
+    """The ``size`` nearest of the listed neighbours of each node, in both directions: ``a``, ``b``, ``near``, ``fresh``.
+
+    With ``roots`` (``node``, ``root``) each node has two lists, one inside its component and one (column ``out``) of other components, so
+    that a crowd of near members never pushes a neighbour in another component off.
+    """
     ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # not a union, which would work out ``edges`` twice
     both = edges.select(F.explode(ways).alias("way"), "near", "fresh").select("way.a", "way.b", "near", "fresh")
     once = both.groupBy("a", "b").agg(F.max("near").alias("near"), F.every("fresh").alias("fresh"))
-    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.col("near").desc(), "b"))
+    if roots is not None:
+        for end in ("a", "b"):
+            once = once.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+        out = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+        once = once.select("a", "b", "near", "fresh", out.alias("out"))
+    rank = F.row_number().over(Window.partitionBy("a", *["out"] * (roots is not None)).orderBy(F.col("near").desc(), "b"))
     return durable(once.withColumn("rank", rank).filter(F.col("rank") <= size).drop("rank"))
 
 
-def descend(now: DataFrame, nodes: DataFrame, tasks: int, size: int = LIST, floor: float = FLOOR) -> DataFrame:
+def _joining(pairs: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """The ``pairs`` (places in ``root``) that join what earlier ones have not: all of them join no more than these do."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in up:
+            x = up[x]
+        return x
+
+    kept = []
+    for i, j in pairs.tolist():
+        x, y = top(int(root[i])), top(int(root[j]))
+        if x != y:
+            up[x] = y
+            kept.append((i, j))
+    return np.array(kept, np.int64).reshape(-1, 2)
+
+
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """``roots`` after ``edges`` join them."""
+    return components(edges.select("a", "b").unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def descend(now: DataFrame, nodes: DataFrame, tasks: int, size: int = LIST, floor: float = FLOOR, roots: DataFrame | None = None, least: float = LEAST) -> DataFrame:
     """One round: around each node, its neighbours and those that list it are compared with each other, if one of the two is fresh.
 
     Nodes that many list are met in parts of about twice ``size``, dealt by hash, so nobody is left out and no part is large. A pair is
-    proposed to a node only if it is nearer than the last of its list, the ``size`` best of a part at most.
+    proposed to a node only if it is nearer than the last of its list, the ``size`` best of a part and list at most. Pairs of ``least``
+    or more that join components are proposed whatever the lists hold, except those that join what pairs of the same part joined.
     """
     listed_by = now.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / (2 * size)).alias("parts"))
     ahead = now.select(F.col("a").alias("at"), F.lit(0).alias("part"), F.col("b").alias("node"), "fresh")
     back = now.join(listed_by, "b").select(F.col("b").alias("at"), F.pmod(F.xxhash64("a", "b"), F.col("parts")).cast("int").alias("part"), F.col("a").alias("node"), "fresh")
-    bars = now.groupBy("a").agg(F.when(F.count(F.lit(1)) >= size, F.min("near")).otherwise(F.lit(floor)).alias("bar")).withColumnRenamed("a", "node")
+    now = now if roots is not None else now.withColumn("out", F.lit(False))
+    bar = lambda own: F.when(F.count_if(own) >= size, F.min(F.when(own, F.col("near")))).otherwise(F.lit(floor))
+    bars = now.groupBy(F.col("a").alias("node")).agg(bar(~F.col("out")).alias("bar"), bar(F.col("out")).alias("out_bar"))
+    placed = nodes.select("node", "v", F.lit(0).cast("long").alias("root"))
+    if roots is not None:
+        placed = nodes.select("node", "v").join(roots, "node", "left").select("node", "v", F.coalesce("root", "node").alias("root"))
     met = ahead.unionAll(back).groupBy("at", "part", "node").agg(F.max("fresh").alias("fresh"))
-    met = met.join(bars, "node").join(nodes.select("node", "v"), "node").withColumn("task", F.pmod(F.xxhash64("at", "part"), F.lit(tasks)))
+    met = met.join(bars, "node").join(placed, "node").withColumn("task", F.pmod(F.xxhash64("at", "part"), F.lit(tasks)))
 
     def around(table: pa.Table) -> pa.Table:
         table = table.sort_by([("at", "ascending"), ("part", "ascending")])
         at, part = np.array(table.column("at")), np.array(table.column("part"))
-        ids, bar, fresh, raw = np.array(table.column("node")), np.array(table.column("bar")), np.array(table.column("fresh")), table.column("v").to_pylist()
+        ids, bar, out_bar, fresh, root = (np.array(table.column(c)) for c in ("node", "bar", "out_bar", "fresh", "root"))
+        raw = table.column("v").to_pylist()
         ends = np.flatnonzero((at[1:] != at[:-1]) | (part[1:] != part[:-1])) + 1
         a, b, near = [], [], []
         for begin, end in zip([0, *ends.tolist()], [*ends.tolist(), len(at)], strict=True):
@@ -125,12 +164,17 @@ def descend(now: DataFrame, nodes: DataFrame, tasks: int, size: int = LIST, floo
             alike = x @ x.T
             alike[~(fresh[begin:end, None] | fresh[None, begin:end])] = -2
             np.fill_diagonal(alike, -2)
-            alike[alike <= bar[begin:end, None]] = -2
-            best = np.argsort(-alike, axis=1, kind="stable")[:, :size]
-            row, rank = np.nonzero(np.take_along_axis(alike, best, 1) > -2)
-            a.append(ids[begin:end][row])
-            b.append(ids[begin:end][best[row, rank]])
-            near.append(alike[row, best[row, rank]])
+            out, here = root[begin:end, None] != root[None, begin:end], ids[begin:end]
+            picks = [_joining(np.argwhere(np.triu(out & (alike >= least))), root[begin:end])]
+            for own, least_near in ((~out, bar), (out, out_bar)):
+                some = np.where(own & (alike > least_near[begin:end, None]), alike, -2)
+                best = np.argsort(-some, axis=1, kind="stable")[:, :size]
+                row, rank = np.nonzero(np.take_along_axis(some, best, 1) > -2)
+                picks.append(np.column_stack([row, best[row, rank]]))
+            i, j = np.concatenate(picks).T
+            a.append(here[i])
+            b.append(here[j])
+            near.append(alike[i, j])
         return pa.Table.from_batches([_edges(a, b, near)])
 
     return met.groupBy("task").applyInArrow(around, _EDGE)
@@ -171,9 +215,11 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     precision), ``component_id`` (the smallest key that links lead to, itself included) and ``kept`` (it is that one).
 
     Equal vectors of a label are one node. A random forest gives each node a first list of neighbours; rounds of NN-descent refine the
-    lists until hardly any changes. Edges of at least ``least`` stay. A list all of whose entries are kept is saturated and says nothing
-    about how many more there are, so lists are then enlarged to their whole component, and members of a component are compared in
-    tiles. An audit of picked nodes against all others adds what it finds missing; below the target recall a new forest joins.
+    lists until hardly any changes. Every pair of at least ``least`` that forest or rounds meet joins components, whether or not a list
+    has room for it, and each node lists the nearest of other components apart from those of its own. Whenever rounds join components,
+    lists are dealt anew and rounds go on, so at the end no list of other components holds a link, nor is full of them. Members of a
+    component are then compared in tiles. An audit of picked nodes against all others adds what it finds missing; below the target
+    recall a new forest joins.
 
     Null labels, null keys, and vectors that are null, empty, zero or not finite link with nothing and are components of their own;
     vectors of different length are not compared. Repeated rows count as other rows to each other. Other columns are ignored.
@@ -186,24 +232,30 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     total, largest = sizes[0] or 0, sizes[1] or 0
     bits = min(30, max(1, math.ceil(math.log2(max(2, largest / (2 * SPAN))))))
     tasks = max(1, total // 2000)
-    now, extra = None, None
+    now, roots = None, None
     for seed in range(TRIES):
-        start = forest(nodes, seed, bits).withColumn("fresh", F.lit(True))
-        now = lists(start if now is None else now.withColumn("fresh", F.lit(False)).unionAll(start))
-        for _ in range(ROUNDS):
-            known, before = now.withColumn("fresh", F.lit(False)), now.count()
-            now = lists(known.unionAll(descend(now, nodes, tasks).withColumn("fresh", F.lit(True))))
-            if now.filter("fresh").count() <= 0.001 * before:
+        start = durable(forest(nodes, seed, bits).withColumn("fresh", F.lit(True)))
+        links = start.filter(F.col("near") >= least)
+        roots = components(links) if roots is None else joined(roots, links)
+        now = start if now is None else now.select("a", "b", "near", F.lit(False).alias("fresh")).unionAll(start)
+        while True:
+            now, strong = lists(now, roots=roots), start.limit(0).select("a", "b")
+            for _ in range(ROUNDS):
+                before = now.count()
+                step = durable(descend(now, nodes, tasks, roots=roots, least=least))
+                strong = strong.unionAll(step.filter(F.col("near") >= least).select("a", "b"))
+                now = lists(now.select("a", "b", "near", F.lit(False).alias("fresh")).unionAll(step.withColumn("fresh", F.lit(True))), roots=roots)
+                if now.filter("fresh").count() <= 0.001 * before:
+                    break
+            if now.filter(F.col("out") & (F.col("near") >= least)).isEmpty():  # a link to another component would head a list
                 break
-        strong = now.filter(F.col("near") >= least).select("a", "b")
-        roots = components(strong if extra is None else strong.unionAll(extra))
+            roots = joined(roots, strong)
+            now = now.select("a", "b", "near", F.lit(True).alias("fresh"))
         seen = durable(audit(nodes, roots, total, least))
         found, missing = seen.agg(F.sum("found"), F.count("a")).first()
         if not missing:
             break
-        lost = seen.filter("a is not null").select("a", "b")
-        extra = lost if extra is None else extra.unionAll(lost)
-        roots = components(strong.unionAll(extra))
+        roots = joined(roots, seen.filter("a is not null"))
         if found >= RECALL * (found + missing):
             break
 
