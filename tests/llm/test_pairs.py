@@ -1,9 +1,11 @@
 """The n-gram join against brute force."""
 
+import math
 import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +217,25 @@ def test_clumps_that_fill_their_lists_are_joined(spark, without_audit):
             vectors += [centre + rng.normal(size=64) * 0.006 for _ in range(20)]
     rows = [(int(k), [float(np.float32(x)) for x in v], 1) for k, v in zip(rng.permutation(len(vectors)), vectors, strict=True)]
     check_vectors(near_vectors.near_duplicates(vector_frame(spark, rows)).collect(), brute_vectors(rows))
+
+
+def test_isolated_pairs_of_a_larger_table_are_found(spark, without_audit):
+    rng = np.random.default_rng(12)
+    one, other = rng.normal(size=(2, 10_000, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (one * other).sum(1, keepdims=True) * one
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    pairs = spark.createDataFrame(pa.table({
+        "vec_id": np.arange(20_000), "embedding": list(np.concatenate([one, 0.931 * one + math.sqrt(1 - 0.931 ** 2) * other])), "label": np.ones(20_000, np.int32)}))
+    found = near_vectors.near_duplicates(pairs).filter("n_links = 1 and component_id = pmod(vec_id, 10000)").count()
+    assert found >= 0.998 * 20_000
+
+
+def test_a_crowd_does_not_hide_lost_pairs(spark):
+    x = np.concatenate([np.ones((300, 1)) * np.eye(8)[0] + 1e-3 * np.random.default_rng(2).random((300, 8)), np.eye(8)[[1, 1, 2, 2]] + 1e-3 * np.arange(32).reshape(4, 8)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    nodes = spark.createDataFrame([(i, "k", bytes(v.tobytes())) for i, v in enumerate(x)], "node long, kin string, v binary")
+    roots = spark.createDataFrame([(i, 0) for i in range(300)] + [(300, 300), (301, 300)], "node long, root long")
+    seen = near_vectors.audit(nodes, roots, 304, 0.93)
+    assert seen.agg(F.sum("found"), F.count("a")).first() == (300 * 299 + 2, 2)
+    assert near_vectors.recall_of(seen) == 0.5

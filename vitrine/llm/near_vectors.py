@@ -3,22 +3,24 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vitrine.llm.common import durable
+from vitrine.llm.common import bounded_sample, durable
 from vitrine.llm.grouping import components, in_blocks, tiles_of
 
 LEAST = 0.93
-#: Length of neighbour lists, trees of a starting forest, and how many neighbours in the order of a tree a vector is compared with.
+#: Length of neighbour lists, least trees of a starting forest (see ``trees_for``), and how many neighbours in the order of a tree a vector is compared with.
 LIST, TREES, SPAN = 8, 12, 6
 #: Vectors less alike than this lead nowhere and are not listed.
 FLOOR = 0.5
-ROUNDS, TRIES = 3, 3
-#: Vectors that the audit compares with all others, and the share of their links that must have been found.
+#: Rounds after a forest or a join of components; forests at most, after which a recall below the target is warned of.
+ROUNDS, TRIES = 3, 12
+#: Vectors of each class of component size that an audit compares with all others, and the share of its links that a node must have found.
 AUDIT, RECALL = 512, 0.999
 BLOCK = 1024
 _EDGE = "a long, b long, near double"
@@ -49,6 +51,15 @@ def _edges(a: list, b: list, near: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([join(a, pa.int64()), join(b, pa.int64()), join(near, pa.float64())], ["a", "b", "near"])
 
 
+def trees_for(bits: int, least: float = LEAST, recall: float = RECALL) -> int:
+    """Trees in which a pair of exactly ``least`` without other neighbours meets with probability ``recall``.
+
+    It lies on one side of each of ``bits`` planes with probability 1 - angle / pi, and then within the span in about nine of ten trees.
+    """
+    met = 0.9 * (1 - math.acos(least) / math.pi) ** bits
+    return max(TREES, math.ceil(math.log(1 - recall) / math.log(1 - met)))
+
+
 def forest(nodes: DataFrame, seed: int, bits: int, trees: int = TREES, span: int = SPAN, floor: float = FLOOR) -> DataFrame:
     """Starting edges: every tree sorts the vectors of a group by the sides of random planes on which they lie, then along a random line;
     each vector is compared with the ``span`` next in that order. A range-partitioned sort, so a dense place is spread over tasks."""
@@ -180,34 +191,55 @@ def descend(now: DataFrame, nodes: DataFrame, tasks: int, size: int = LIST, floo
     return met.groupBy("task").applyInArrow(around, _EDGE)
 
 
-def audit(nodes: DataFrame, roots: DataFrame, total: int, least: float, most: int = AUDIT) -> DataFrame:
-    """Links of about ``most`` nodes, picked by hash and compared with all nodes: ``a``, ``b`` of each link not found, and one row per
-    batch (``a``, ``b`` null) with the number found. Only the picked vectors, at most twice ``most``, go to every task."""
-    known = nodes.join(roots, "node", "left").select("node", "kin", "v", F.coalesce("root", "node").alias("root"))
-    share = most / max(1, total)
-    picked = known.filter(F.pmod(F.xxhash64("node", F.lit("audit")), F.lit(1 << 30)) / float(1 << 30) < share).limit(2 * most).collect()
+def audit(nodes: DataFrame, roots: DataFrame, total: int, least: float, most: int = AUDIT, seed: int = 0) -> DataFrame:
+    """Links of picked nodes, compared with all nodes: ``a``, ``b`` of each link not found, and one row per picked node, batch of others
+    and ``stratum`` (``a``, ``b`` null) with the number found; ``node`` is the picked one.
+
+    About ``most`` nodes of each stratum are picked, other ones for every ``seed``: components of at most 2 nodes, larger ones, and those
+    of more than a hundredth of all ``total``. Only the picked vectors, at most twice ``most`` a stratum, go to every task.
+    """
+    sizes = roots.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    known = nodes.join(roots, "node", "left").select("node", "kin", "v", F.coalesce("root", "node").alias("root")).join(sizes, "root", "left")
+    size = F.coalesce("size", F.lit(1))
+    known = durable(known.select("node", "kin", "v", "root", F.when(size <= 2, 0).when(size <= max(2, total // 100), 1).otherwise(2).alias("stratum")))
+    picked = bounded_sample(known.withColumn("pick", F.xxhash64("node", F.lit(seed))), "pick", "stratum", most).collect()
     by_kin: dict[str, tuple] = {}
     for kin in {r.kin for r in picked}:
         own = [r for r in picked if r.kin == kin]
-        by_kin[kin] = (np.array([r.node for r in own]), np.array([r.root for r in own]), np.frombuffer(b"".join(bytes(r.v) for r in own), float).reshape(len(own), -1))
+        x = np.frombuffer(b"".join(bytes(r.v) for r in own), float).reshape(len(own), -1)
+        by_kin[kin] = (*(np.array([r[c] for r in own]) for c in ("node", "root", "stratum")), x)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kin, a, b, found = np.array(batch.column("kin").to_pylist(), object), [], [], 0
+            kin, parts = np.array(batch.column("kin").to_pylist(), object), [[np.empty(0, np.int64)] for _ in range(5)]
             for k in set(kin.tolist()) & set(by_kin):
-                rows = np.flatnonzero(kin == k)
-                ids, root, x = by_kin[k]
-                part = batch.take(pa.array(rows))
+                ids, root, stratum, x = by_kin[k]
+                part = batch.take(pa.array(np.flatnonzero(kin == k)))
                 own, group = np.array(part.column("node")), np.array(part.column("root"))
                 i, j = np.nonzero(x @ _matrix(part.column("v")).T >= least)
                 i, j = i[ids[i] != own[j]], j[ids[i] != own[j]]
                 same = root[i] == group[j]
-                found += int(same.sum())
-                a += ids[i[~same]].tolist()
-                b += own[j[~same]].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([*a, None], pa.int64()), pa.array([*b, None], pa.int64()), pa.array([0] * len(a) + [found], pa.int64())], ["a", "b", "found"])
+                found = np.bincount(i[same], minlength=len(ids))
+                seen, i, j = np.flatnonzero(found), i[~same], j[~same]
+                both = np.concatenate([i, seen])
+                other = np.concatenate([own[j], np.full(len(seen), -1)])
+                for out, column in zip(parts, (ids[both], other, np.concatenate([0 * i, found[seen]]), stratum[both], np.arange(len(both)) < len(i)), strict=True):
+                    out.append(column)
+            node, other, found, stratum, lost = map(np.concatenate, parts)
+            hide = ~lost.astype(bool)
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64(), mask=hide), pa.array(other, pa.int64(), mask=hide), *(pa.array(c, pa.int64()) for c in (found, node, stratum))],
+                                             ["a", "b", "found", "node", "stratum"])
 
-    return known.mapInArrow(look, "a long, b long, found long")
+    return known.mapInArrow(look, "a long, b long, found long, node long, stratum long")
+
+
+def recall_of(seen: DataFrame) -> float:
+    """The mean share of its links that an audited node has found, in the stratum where it is smallest; 1 without links.
+
+    Each node counts once, so a crowd with many links a node does not cover up what isolated pairs have lost.
+    """
+    nodes = seen.groupBy("stratum", "node").agg((F.sum("found") / (F.sum("found") + F.count("a"))).alias("share"))
+    return nodes.groupBy("stratum").agg(F.avg("share").alias("share")).agg(F.coalesce(F.min("share"), F.lit(1.0))).first()[0]
 
 
 def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = LEAST) -> DataFrame:
@@ -218,8 +250,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     lists until hardly any changes. Every pair of at least ``least`` that forest or rounds meet joins components, whether or not a list
     has room for it, and each node lists the nearest of other components apart from those of its own. Whenever rounds join components,
     lists are dealt anew and rounds go on, so at the end no list of other components holds a link, nor is full of them. Members of a
-    component are then compared in tiles. An audit of picked nodes against all others adds what it finds missing; below the target
-    recall a new forest joins.
+    component are then compared in tiles. An audit of picked nodes against all others adds what it finds missing; while its recall is below
+    the target in any class of component size, a new forest joins and other nodes are audited, ``TRIES`` times before a warning.
 
     Null labels, null keys, and vectors that are null, empty, zero or not finite link with nothing and are components of their own;
     vectors of different length are not compared. Repeated rows count as other rows to each other. Other columns are ignored.
@@ -231,10 +263,10 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     sizes = nodes.groupBy("kin").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
     total, largest = sizes[0] or 0, sizes[1] or 0
     bits = min(30, max(1, math.ceil(math.log2(max(2, largest / (2 * SPAN))))))
-    tasks = max(1, total // 2000)
+    trees, tasks = trees_for(bits, least), max(1, total // 2000)
     now, roots = None, None
     for seed in range(TRIES):
-        start = durable(forest(nodes, seed, bits).withColumn("fresh", F.lit(True)))
+        start = durable(forest(nodes, seed, bits, trees).withColumn("fresh", F.lit(True)))
         links = start.filter(F.col("near") >= least)
         roots = components(links) if roots is None else joined(roots, links)
         now = start if now is None else now.select("a", "b", "near", F.lit(False).alias("fresh")).unionAll(start)
@@ -251,13 +283,15 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
                 break
             roots = joined(roots, strong)
             now = now.select("a", "b", "near", F.lit(True).alias("fresh"))
-        seen = durable(audit(nodes, roots, total, least))
-        found, missing = seen.agg(F.sum("found"), F.count("a")).first()
-        if not missing:
-            break
-        roots = joined(roots, seen.filter("a is not null"))
-        if found >= RECALL * (found + missing):
+        seen = durable(audit(nodes, roots, total, least, seed=seed))
+        recall = recall_of(seen)
+        lost = seen.filter("a is not null")
+        if not lost.isEmpty():
+            roots = joined(roots, lost)
+        if recall >= RECALL:
             break
+    else:
+        warnings.warn(f"near-duplicate vectors: audited recall {recall:.5f} after {TRIES} forests, below {RECALL}", stacklevel=2)
 
     blocks = durable(in_blocks(roots, ["root", "node"], BLOCK))
     tiles = tiles_of(blocks.select(F.col("root").alias("key"), "block"))
