@@ -155,3 +155,12 @@ def test_the_faster_library_gives_the_same_ids(library):
     texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 200))) for _ in range(2000)]
     for text, made in zip(texts, library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
         assert fast(text).tolist() == made.ids, repr(text[:80])
+
+
+@pytest.mark.parametrize("run", [" ", "\n"])
+def test_very_long_runs_of_white_space(spark, make_docs, library, run):
+    texts = ["one" + run * 2_000_000 + "two three", "short"]
+    want = [len(library.encode(t, add_special_tokens=False).ids) for t in texts]
+    docs = make_docs(texts)
+    assert [r.n_tokens for r in counting.token_counts(docs).orderBy("doc_id").collect()] == want
+    check_pieces(packing.pack(docs).collect(), dict(enumerate(texts)), library)

@@ -18,6 +18,9 @@ from vitrine.llm.common import tokenizer_path
 BATCH_CHARS = 1 << 18
 #: A single space between two word characters. Pre-tokens hold a space only at their start, so the text may be cut before it.
 _SAFE = re.compile(r"(?<=\w) (?=\w)")
+#: White space that the faster library is not trusted with; it fails at about ten times as much.
+LONG_RUN = 100_000
+_LONG_RUN = re.compile(rf"\s{{{LONG_RUN}}}")
 
 
 @lru_cache(maxsize=4)
@@ -25,7 +28,8 @@ def encoder(path: str) -> Callable[[str], Sequence[int]]:
     """A function from a text to its token ids as the library for ``path`` gives them, without added special tokens.
 
     Strings of special tokens inside texts are special. For the byte-level vocabulary that lies beside the same one in the other
-    library's format, that library gives the same ids several times faster, as arrays (the tests hold one against the other).
+    library's format, that library gives the same ids several times faster, as arrays (the tests hold one against the other). It fails
+    on very long runs that its pattern must go back over, so a text with such a run, or one that it fails on, goes to the named library.
     """
     if path.endswith(".model"):
         import sentencepiece
@@ -43,7 +47,22 @@ def encoder(path: str) -> Callable[[str], Sequence[int]]:
         with open(path, encoding="utf-8") as lines:
             special = {a["content"]: a["id"] for a in json.load(lines)["added_tokens"]}
         made = tiktoken.Encoding("twin", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-        return partial(made.encode_to_numpy, allowed_special="all")
+
+        def encode(text: str) -> Sequence[int]:
+            if len(text) < LONG_RUN or not _LONG_RUN.search(text):
+                try:
+                    return made.encode_to_numpy(text, allowed_special="all")
+                except ValueError:  # out of stack
+                    pass
+            return named_library(path)(text)
+
+        return encode
+    return named_library(path)
+
+
+@lru_cache(maxsize=4)
+def named_library(path: str) -> Callable[[str], Sequence[int]]:
+    """The encoder of the tokenizers library for ``path``."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core; Spark runs tasks side by side
     from tokenizers import Tokenizer
 
