@@ -153,3 +153,18 @@ def test_shards_of_odd_rows(spark, make_docs):
     assert len(rows) == 5 and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert len({r.shard for r in rows if r.doc_id is None}) == 1
     assert sharding.place(docs.limit(0), sharding.even_tree(2)).count() == 0
+
+
+def test_a_small_sample_gives_the_verdicts_of_all_rows(spark):
+    """One in seven is poor; of the rows of 100 words four fifths are, too few to reject them, but over nine tenths in a balanced sample."""
+    rng = np.random.default_rng(6)
+    poor = np.arange(7000) % 7 == 0
+    long, marked = np.where(poor, rng.random(7000) < 0.7, rng.random(7000) < 0.03), poor & (rng.random(7000) < 0.3)
+    words = np.where(long, 100, 50)
+    rows = [(i, int(words[i]), int(words[i]) * 5, *[0] * 5, 20 if marked[i] else 0, 1, 40, 0, False) for i in range(7000)]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marks", "n_lines", "n_distinct", "n_same"]
+    measured = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean")
+    labels = spark.createDataFrame([(i, int(not poor[i])) for i in range(7000)], "doc_id long, quality int")
+    whole, sampled = (quality_rules.fit_rules(measured, labels, per_class=n) for n in (20_000, 300))
+    said = measured.select("n_words", quality_rules.verdict(whole).alias("a"), quality_rules.verdict(sampled).alias("b"))
+    assert said.filter("a != b").count() == 0 and said.filter("not a").count() > 0

@@ -107,21 +107,22 @@ def _met(values: np.ndarray, conditions: Sequence[tuple[int, str, float]]) -> np
     return met
 
 
-def _best_condition(values: np.ndarray, bad: np.ndarray, met: np.ndarray) -> tuple | None:
-    """The threshold condition with the largest information gain for rejecting, among rows already met."""
-    p, n = int(bad[met].sum()), int((~bad[met]).sum())
-    if not p or not n:
+def _best_condition(values: np.ndarray, bad: np.ndarray, met: np.ndarray, weight: np.ndarray) -> tuple | None:
+    """The threshold condition with the largest information gain for rejecting, among rows already met, which count ``weight`` each."""
+    if not bad[met].any() or bad[met].all():
         return None
+    p, n = float(weight[met & bad].sum()), float(weight[met & ~bad].sum())
     before, best = np.log2(p / (p + n)), None
     for f in range(values.shape[1]):
         order = np.argsort(values[met, f], kind="stable")
-        x, is_bad = values[met, f][order], bad[met][order]
+        x, heavy = values[met, f][order], weight[met][order]
+        heavy_bad = heavy * bad[met][order]
         ends = np.flatnonzero(x[1:] > x[:-1])
         if not len(ends):
             continue
-        left_bad, left = np.cumsum(is_bad)[ends], ends + 1
-        for sign, hit, total in (("<=", left_bad, left), (">", p - left_bad, p + n - left)):
-            gain = np.where(hit > 0, hit * (np.log2(np.maximum(hit, 1) / total) - before), 0)
+        (left_bad, right_bad), (left, right) = ((np.cumsum(w)[ends], np.cumsum(w[::-1])[len(w) - 2 - ends]) for w in (heavy_bad, heavy))
+        for sign, hit, total in (("<=", left_bad, left), (">", right_bad, right)):
+            gain = np.where(hit > 0, hit * (np.log2(np.where(hit > 0, hit, 1) / total) - before), 0)
             at = int(np.argmax(gain))
             if gain[at] > 1e-9 and (best is None or gain[at] > best[0]):
                 best = (float(gain[at]), (f, sign, float((x[ends[at]] + x[ends[at] + 1]) / 2)))
@@ -129,20 +130,23 @@ def _best_condition(values: np.ndarray, bad: np.ndarray, met: np.ndarray) -> tup
 
 
 def learn_rules(values: np.ndarray, bad: np.ndarray, names: Sequence[str], most_rules: int = 12, most_conditions: int = 4,
-                least_precision: float = 0.9, least_covered: int = 8) -> list[Rule]:
+                least_precision: float = 0.9, least_covered: int = 8, weight: np.ndarray | None = None) -> list[Rule]:
     """A decision list for rejecting, by sequential covering.
 
     A rule grows on two thirds of the rows by adding the condition of largest information gain until it covers no row to keep, is then
     pruned on the other third (trailing conditions go while precision there does not fall), and is taken while its precision over all
     rows not yet covered is at least ``least_precision``; the rows it covers leave. The last rule, without condition, keeps.
+
+    A row stands for ``weight`` rows (1) in gain, pruning and precision; ``least_covered`` and the numbers in the rules count rows given.
     """
+    weight = np.ones(len(bad)) if weight is None else weight
     left, rules = np.ones(len(bad), bool), []
     prune_part = np.arange(len(bad)) % 3 == 2
     while len(rules) < most_rules and bad[left].sum() >= least_covered:
         grow, check = left & ~prune_part, left & prune_part
         conditions: list[tuple[int, str, float]] = []
         met = grow.copy()
-        while len(conditions) < most_conditions and (found := _best_condition(values, bad, met)):
+        while len(conditions) < most_conditions and (found := _best_condition(values, bad, met, weight)):
             conditions.append(found)
             met = grow & _met(values, conditions)
         if not conditions:
@@ -150,13 +154,13 @@ def learn_rules(values: np.ndarray, bad: np.ndarray, names: Sequence[str], most_
 
         def worth(some: list) -> float:
             hit = check & _met(values, some)  # noqa: B023  used at once
-            return (bad[hit].sum() + 0.5) / (hit.sum() + 1)
+            return (weight[hit & bad].sum() + 0.5) / (weight[hit].sum() + 1)
 
         while len(conditions) > 1 and worth(conditions[:-1]) >= worth(conditions):
             conditions.pop()
         hit = left & _met(values, conditions)
         covered, wrong = int(hit.sum()), int((hit & ~bad).sum())
-        if covered < least_covered or 1 - wrong / covered < least_precision:
+        if covered < least_covered or 1 - weight[hit & ~bad].sum() / weight[hit].sum() < least_precision:
             break
         rules.append(Rule(tuple((names[f], s, t) for f, s, t in conditions), False, covered, wrong))
         left &= ~hit
@@ -176,13 +180,18 @@ def fit_rules(measured: DataFrame, labels: DataFrame, label: str = "quality", pe
     """Learn from the statistics of labelled documents outside fold 0 of 5 that the base does not reject already.
 
     Bound: about ``per_class`` rows of each label value are read to the driver, a few numbers each. Ids whose labels disagree are left out.
+    A row weighs as many rows of its label as there are for each one read, so class shares are those of all rows.
     """
     known = agreed(labels, label, 5, 0)
     rows = measured.filter("not base_failed").join(known, F.col("doc_id") == F.col("_id")).select("_id", "_label", *[F.expr(v).alias(f) for f, v in FEATURES.items()])
+    rows = durable(rows)
+    totals = dict(rows.groupBy("_label").agg(F.count(F.lit(1))).collect())
     sample = bounded_sample(rows, "_id", "_label", per_class).orderBy("_id").collect()
     if not sample:
         return [Rule((), True, 0, 0)]
-    return learn_rules(np.array([r[2:] for r in sample], float), np.array([r[1] == 0 for r in sample]), list(FEATURES))
+    read = Counter(r[1] for r in sample)
+    weight = np.array([totals[r[1]] / read[r[1]] for r in sample])
+    return learn_rules(np.array([r[2:] for r in sample], float), np.array([r[1] == 0 for r in sample]), list(FEATURES), weight=weight)
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality") -> tuple[DataFrame, list[Rule]]:
