@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vitrine.llm import bpe, langid, near_vectors, ngram_join, packing, quality_classifier, quality_rules, sharding, token_counts as counting, toxicity
+from vitrine.llm import (
+    bpe, html_extraction, langid, merkle, near_vectors, ngram_join, oracle_sql, packing, quality_classifier, quality_rules, resampling, sharding,
+    token_counts as counting, toxicity,
+)
 from vitrine.llm.common import fold_of, ship, table
 
 
@@ -63,11 +66,25 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", (fold_of("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.document_proofs(table(spark, folder, "documents"))
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = resampling.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_extraction.extract(pages, html_extraction.fit(pages))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_embedding_dedup, op3_packing, op4_language_id, op5_toxicity, op6_token_counts, op7_ngram_join, op8_sharding,
-        op9_bpe, op10_quality_classifier,
+        op9_bpe, op10_quality_classifier, op11_merkle_manifest, op12_importance_resampling, op13_html_extraction,
     )
 }
 
@@ -84,5 +101,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracles() -> dict[str, str]:
-    """No operator here is expressible in SQL as a whole; ``tests/llm`` holds each against a brute-force version or a library."""
-    return {}
+    """SQL of the operators that it can express; ``tests/llm`` holds the others against a brute-force version or a library."""
+    return {"op11_merkle_manifest": oracle_sql.MERKLE, "op12_importance_resampling": oracle_sql.RESAMPLING}
