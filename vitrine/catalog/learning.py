@@ -76,16 +76,34 @@ def m08(m):
     return sentiment.importance(model, top=words.VOCABULARY)
 
 
+def _training_folds(rows, doc):
+    """Training rows of the stratified split, with folds that are even within each label."""
+    return sentiment.folded(sentiment.split(rows, doc).filter("not is_test").drop("is_test"), doc)
+
+
 @query("m09_search")
 def m09(m):
-    rows = sentiment.folded(words.with_label(_prepared(m)).select("doc_id", "review_text", "label"), "doc_id")
-    return sentiment.trial_scores(sentiment.search(rows, sentiment.trial_params()))
+    """50 trials of logistic regression over the texts, each judged on five folds of the training rows."""
+    rows = words.with_label(_prepared(m)).select("doc_id", "review_text", "label")
+    return sentiment.search(_training_folds(rows, "doc_id"), {"logistic": sentiment.LOGISTIC}).drop("var_smoothing")
+
+
+def _reviewed_orders(m):
+    """Order facts whose review is the labelled document of the same number: mixed features, content words, 0/1 label."""
+    orders = m.fact_orders().drop("review_score", "review_text", "customer_unique_id", "purchase_date_key")
+    reviews = m.reviews().select(F.col("doc_id").alias("order_id"), "review_score", words.content_words("review_text", _STOPS).alias("review_text"))
+    rows = orders.join(reviews, "order_id").withColumn("primary_payment_type", F.concat(F.lit("type "), (F.col("order_id") % 4).cast("string")))
+    rows = mixed.complete_rows(rows.withColumn("is_invalid_payment", F.col("total_payment") <= 0)).filter("review_text <> ''")
+    rows = rows.withColumn("label", (F.col("review_score") >= 4).cast("double")).withColumn("total_payment", F.col("total_payment").cast("double"))
+    return mixed.flags_as_numbers(rows, ["is_late_delivery", "is_invalid_payment"])
 
 
 @query("m17_feature_search")
 def m17(m):
-    rows = sentiment.folded(words.with_label(_prepared(m)).select("doc_id", "review_text", "label"), "doc_id")
-    return sentiment.trial_scores(sentiment.search(rows, sentiment.trial_params(seed=7, feature_steps=sentiment.FEATURE_STEPS)))
+    """50 trials of logistic regression and 50 of Gaussian naive Bayes over the mixed features, vocabulary size among the choices."""
+    spaces = {"logistic": sentiment.LOGISTIC | sentiment.FEATURES, "naive_bayes": sentiment.BAYES | sentiment.FEATURES}
+    rows = _training_folds(_reviewed_orders(m), "order_id")
+    return sentiment.search(rows, spaces, categories=_MIXED[0], amounts=_MIXED[1], flags=_MIXED[2])
 
 
 _CELLS = "c AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (y = p)::DOUBLE AS ok, " + ", ".join(

@@ -3,29 +3,26 @@
 from __future__ import annotations
 
 import json
-import math
 import posixpath
-import random
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import partial
+from collections.abc import Sequence
 
-from pyspark import inheritable_thread_target
+import numpy as np
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vitrine.functions import numbers
-from vitrine.ml import words
+from vitrine.ml import search as search_, words
 from vitrine.operators.ordered import numbered, running_totals, tile_of
 
 # Seed, test share, folds and search ranges.
 SEED, TEST_SHARE, FOLDS, TRIALS = 30, 0.2, 5, 50
-C_RANGE, ITER_RANGE, WEIGHTS = (0.01, 10.0), (1000, 3000), ("balanced", None)
+LOGISTIC = {"C": search_.Range(0.01, 10.0, log=True), "max_iter": search_.Range(1000, 3000, step=1), "class_weight": ("balanced", None)}
+FEATURES = {"max_features": search_.Range(500, 2500, step=500)}
+BAYES = {"var_smoothing": search_.Range(1e-12, 1e-6, log=True)}
 # Fixed value: relative change at which fitting stops.
 TOLERANCE = 1e-4
-FEATURE_STEPS = (500, 1000, 1500, 2000, 2500)
 
 
 def _shuffle_key(doc: str, seed: int) -> Column:
@@ -142,11 +139,6 @@ def report(predictions: DataFrame, names: Sequence[str] = words.LABELS, label: s
                                                   F.col(f"f1{i}").alias("f1"), F.col(f"was{i}").cast("bigint").alias("support")) for i, n in enumerate(names)])))
 
 
-def macro_f1(predictions: DataFrame, names: Sequence[str] = words.LABELS) -> float:
-    row = metrics(predictions, names).filter("metric = 'macro_f1'").first()
-    return 0.0 if row is None or row["value"] is None or math.isnan(row["value"]) else row["value"]
-
-
 def roc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Points of the ROC curve, best score first, one per distinct score."""
     merged = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
@@ -170,62 +162,29 @@ def leaderboard(spark: SparkSession, scored: dict[str, DataFrame]) -> DataFrame:
 
 # ---------------------------------------------------------------- search
 
-def trial_params(trials: int = TRIALS, seed: int = SEED, feature_steps: Sequence[int] | None = None) -> list[dict]:
-    """Seeded random draws: C log-uniform, iteration limit uniform, class weight on or off."""
-    draw = random.Random(seed)
-    out = []
-    for i in range(trials):
-        low, high = (math.log(v) for v in C_RANGE)
-        params = {"trial": i, "C": math.exp(draw.uniform(low, high)), "max_iter": draw.randint(*ITER_RANGE), "class_weight": draw.choice(WEIGHTS)}
-        if feature_steps:
-            params["max_features"] = draw.choice(list(feature_steps))
-        out.append(params)
-    return out
+_RESULT = "model string, trial int, C double, max_iter int, class_weight string, var_smoothing double, max_features int, scores array<double>, mean_f1 double, objective double"
 
 
-def search(rows: DataFrame, params: list[dict], folds: int = FOLDS, at_once: int = 8, fit: Callable[..., object] | None = None, **bounds) -> DataFrame:
-    """Macro F1 of every (trial, fold); ``rows`` has text, label and fold.
+def search(rows: DataFrame, spaces: dict[str, search_.Space], trials: int = TRIALS, seed: int = SEED, at_once: int = 10, size: int = words.VOCABULARY,
+           categories: Sequence[str] = (), amounts: Sequence[str] = (), flags: Sequence[str] = (), text: str | None = "review_text", folds: int = FOLDS,
+           **bounds) -> DataFrame:
+    """Macro F1 of every trial on every fold, best objective first; ``rows`` has label, fold and the named columns.
 
-    A fold's vocabulary is learnt once, at the largest size asked for: its terms come most frequent first, so a smaller vocabulary is its
-    beginning. Vectors are built once per fold and size and shared by the trials of that size; up to ``at_once`` fits run side by side,
-    each on the cluster. ``fit(train, params)`` gives the model, logistic regression unless told otherwise.
+    ``spaces`` gives, by model (``logistic``, ``naive_bayes``), what its trials choose from. All models share the packed rows; everything a
+    pipeline learns is learnt without the fold it is judged on.
     """
-    fit = fit or (lambda train, p: logistic(train, p["C"], p["max_iter"], p["class_weight"]))
-    default = bounds.get("size", words.VOCABULARY)
-    by_size: dict[int, list[dict]] = {}
-    for p in params:
-        by_size.setdefault(p.get("max_features", default), []).append(p)
-    limits = {k: v for k, v in bounds.items() if k != "size"}
-    rows = rows.select("review_text", "label", "fold").persist()
-
-    def judged(shaped: DataFrame, fold: int, size: int, p: dict) -> tuple:
-        model = fit(shaped.filter(F.col("fold") != fold), p)
-        value = macro_f1(model.transform(shaped.filter(F.col("fold") == fold)))
-        return p["trial"], fold, p.get("C"), p.get("max_iter"), p.get("class_weight") or "none", size, value
-
-    results = []
+    kept = rows.select("label", "fold", *categories, *amounts, *flags, *([text] if text else [])).persist()
+    largest = max([size, *[int(s["max_features"].high) for s in spaces.values() if "max_features" in s]])
+    prepared = search_.prepare(kept, folds, largest, categories, amounts, flags, text, **bounds)
+    packed = search_.blocks(kept, prepared, text)
     try:
-        with ThreadPoolExecutor(at_once) as pool:
-            for fold in range(folds):
-                terms = words.vocabulary(rows.filter(F.col("fold") != fold), size=max(by_size), **limits).collect()
-                for size, trials in sorted(by_size.items()):
-                    stages = words.vectorizer_of(terms[:size])
-                    # a fit is many short passes: rebalancing leaves them no more tasks than the bytes ask for
-                    shaped = PipelineModel(stages=stages).transform(rows).select("label", "fold", "features").hint("rebalance").persist()
-                    try:
-                        shaped.count()  # so that the fits do not all build it
-                        results += pool.map(inheritable_thread_target(rows.sparkSession)(partial(judged, shaped, fold, size)), trials)
-                    finally:
-                        shaped.unpersist()
+        found = [(model, t) for model, space in spaces.items() for t in search_.run(packed, prepared, model, space, trials, seed, at_once, size)]
     finally:
-        rows.unpersist()
-    return rows.sparkSession.createDataFrame(results, "trial int, fold int, C double, max_iter int, class_weight string, max_features int, macro_f1 double")
-
-
-def trial_scores(results: DataFrame) -> DataFrame:
-    """Objective of each trial: mean macro F1 less half its population deviation over folds."""
-    return results.groupBy("trial", "C", "max_iter", "class_weight", "max_features").agg(
-        F.avg("macro_f1").alias("mean_f1"), (F.avg("macro_f1") - 0.5 * F.stddev_pop("macro_f1")).alias("objective")).orderBy(F.col("objective").desc(), "trial")
+        packed.unpersist()
+        kept.unpersist()
+    lines = [(model, t["trial"], t.get("C"), t.get("max_iter"), (t["class_weight"] or "none") if "class_weight" in t else None, t.get("var_smoothing"), t["max_features"],
+              t["scores"], float(np.mean(t["scores"])), t["objective"]) for model, t in found]
+    return rows.sparkSession.createDataFrame(lines, _RESULT).orderBy(F.col("objective").desc(), "model", "trial")
 
 
 # ---------------------------------------------------------------- scoring and storage

@@ -15,7 +15,7 @@ MIN_DOCS, MAX_SHARE, VOCABULARY, MIN_WORDS = 7, 0.8, 2000, 3
 # Label names by code.
 LABELS = ("Negative", "Positive")
 
-_TERMS_SQL = r"""SELECT *, get(transform(array(regexp_extract_all({column}, '(?U)\\b\\w\\w+\\b', 0)), w -> concat(w,
+TERMS_SQL = r"""SELECT *, get(transform(array(regexp_extract_all({column}, '(?U)\\b\\w\\w+\\b', 0)), w -> concat(w,
     if(size(w) > 1, transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])), slice(w, 1, 0)))), 0) AS terms FROM __THIS__"""
 
 
@@ -62,7 +62,7 @@ def term_counts(df: DataFrame, doc: str, column: str = "review_text") -> DataFra
     return df.select(doc, F.explode(terms(column)).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def _tallies(listed: Column) -> Column:
+def tallies(listed: Column) -> Column:
     """Each occurrence of a term as one use, each distinct term as one document, and one line for the document."""
     line = lambda use, doc: lambda t: F.struct(t.alias("term"), F.lit(use).alias("use"), F.lit(doc).alias("doc"))
     itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("use"), F.lit(1).alias("doc")))
@@ -77,7 +77,7 @@ def vocabulary(df: DataFrame, column: str = "review_text", min_docs: int = MIN_D
     term, whose total is the number of documents; reading it from the same totals spares
     a second pass over the texts.
     """
-    lines = df.select(F.explode(text.bound(terms(column), _tallies)).alias("_e"))
+    lines = df.select(F.explode(text.bound(terms(column), tallies)).alias("_e"))
     totals = lines.groupBy(F.col("_e.term").alias("term")).agg(F.sum("_e.doc").alias("df"), F.sum("_e.use").alias("tf"))
     docs = totals.agg(F.max(F.when(F.col("term").isNull(), F.struct("df", "tf"))).alias("d")).scalar()["df"]
     both = totals.withColumn("_docs", docs).filter("term is not null")
@@ -105,7 +105,7 @@ def vectorizer(train: DataFrame, column: str = "review_text", out: str = "featur
 
 def vectorizer_of(known: Sequence, column: str = "review_text", out: str = "features") -> list:
     """The same stages from a vocabulary already learnt: rows with ``term`` and ``idf``."""
-    listed = SQLTransformer(statement=_TERMS_SQL.replace("{column}", column))
+    listed = SQLTransformer(statement=TERMS_SQL.replace("{column}", column))
     counted = CountVectorizerModel.from_vocabulary([r["term"] for r in known], inputCol="terms", outputCol="term_counts")
     weighted = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in known]), inputCol="term_counts", outputCol="term_weights")
     return [listed, counted, weighted, Normalizer(p=2.0, inputCol="term_weights", outputCol=out)]
