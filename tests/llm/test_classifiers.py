@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD
-from vitrine.llm import quality_classifier as quality, toxicity
+from vitrine.llm import quality_classifier as quality, quality_rules, toxicity
 from vitrine.llm.queries import queries
 
 SF2 = "/root/testdata/sf0.01"
@@ -119,3 +119,16 @@ def test_dual_descent_meets_the_optimum_conditions():
     w1 = np.append(w[:40], bias)
     primal = lambda v: v @ v / 2 + np.maximum(0, 1 - y * (scaled @ v)).sum()
     assert all(primal(w1) <= primal(w1 + 0.01 * rng.normal(size=41)) + 1e-6 for _ in range(200))
+
+
+def test_held_out_labels_are_not_read(spark):
+    """Turning round every label of the held-out fold changes nothing that quality scores are made from."""
+    docs = spark.read.parquet(f"{SF2}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF2}/labels.parquet")
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    turned = labels.withColumn("quality", F.when(held, 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert turned.exceptAll(labels).count() > 0
+    one, other = (quality.fit_documents(docs, x) for x in (labels, turned))
+    assert np.array_equal(one.weights, other.weights) and (one.bias, one.slope, one.shift) == (other.bias, other.slope, other.shift)
+    rules = [quality_rules.apply_rules(docs, x)[1] for x in (labels, turned)]
+    assert rules[0] == rules[1]

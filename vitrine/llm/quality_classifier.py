@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from vitrine.llm.common import labelled_sample
+from vitrine.llm.common import agreed, labelled_sample
 from vitrine.llm.features import WordKeys, gram_keys, mixed
 
 #: Hashed indicators: shapes of characters, repetition of words, words and pairs of words each have a range of their own.
@@ -150,8 +150,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, label: str = "quality", fo
     places = F.arrow_udf("array<int>")(_places)
     sample = labelled_sample(docs, labels, label, folds, held_out, per_class).select("_id", "_label", places("_text").alias("_at")).collect()
     sample.sort(key=lambda r: r._id)
-    known = labels.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
-    return fit([np.array(r._at, np.int64) for r in sample], [r._label for r in sample], {int(r[0]): r.n for r in known})
+    known = agreed(labels, label, folds, held_out).groupBy("_label").agg(F.count(F.lit(1)).alias("n")).collect()
+    return fit([np.array(r._at, np.int64) for r in sample], [r._label for r in sample], {int(r._label): r.n for r in known})
 
 
 def _places(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
