@@ -37,11 +37,11 @@ def words(text: Column) -> Column:
 
 def grams(listed: Column, longest: int) -> Column:
     """All runs of 1 to ``longest`` consecutive words, joined by one space, repeats included."""
-    runs = [listed]
-    for n in range(2, longest + 1):
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(listed) - n + 1, F.lit(1))), lambda i, n=n: i + n - 1 <= F.size(listed))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(listed, i, n), " ")))
-    return runs[0] if longest == 1 else F.concat(*runs)
+    def of_length(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(listed) - n + 1, F.lit(1))), lambda i: i + n - 1 <= F.size(listed))
+        return F.transform(starts, lambda i: F.array_join(F.slice(listed, i, n), " "))
+
+    return listed if longest == 1 else F.concat(listed, *[of_length(n) for n in range(2, longest + 1)])
 
 
 def bucket_of(gram: Column, buckets: int) -> Column:
