@@ -412,7 +412,7 @@ def main_blocks(blocks: Sequence[Block], parents: Sequence[int], depths: Sequenc
             edges.append((i, hub, _UNIT // 2))
         if i:
             steps = _apart(blocks[i - 1].element, block.element, parents, depths)
-            edges.append((i - 1, i, 2 * _UNIT // (1 + steps)))
+            edges.append((i - 1, i, 3 * _UNIT // (1 + steps)))
     return minimum_cut(len(source), source, sink, edges)[: len(blocks)]
 
 
