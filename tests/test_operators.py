@@ -3,10 +3,11 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import impute, keyed, ordered, profile
+from vitrine.operators import impute, keyed, neighbours, ordered, profile
 
 
 @pytest.fixture(scope="module")
@@ -108,7 +109,7 @@ def test_knn_is_exact(spark, seed, hot):
         a, b = (0.25, 0.5) if hot and i % 3 else (draw.random(), draw.random())
         rows.append((i, [a, b, draw.choice([None, round(draw.random(), 2)]), None if i % 6 == 0 else round(draw.random(), 2)]))
     df = spark.createDataFrame([(i, *[None if v is None else float(v) for v in f]) for i, f in rows], "id int, a double, b double, c double, t double")
-    got = {r["id"]: r["t"] for r in impute.knn_filled(df, features, "t", ["a", "b"], 5).collect()}
+    got = {r["id"]: r["t"] for r in impute.knn_filled(df, features, "t", 5).collect()}
     want = _sklearn_style(rows, features, "t", 5)
     assert len(got) == 400
     for i, value in want.items():
@@ -132,6 +133,56 @@ def test_min_max_round_trip(spark):
     assert {(r["a"], r["a_scaled"], r["b_scaled"], r["back"]) for r in got} == {(1.0, 0.0, 0.0, 1.0), (3.0, 1.0, 0.0, 3.0), (None, None, 0.0, None)}
 
 
-def test_only_unknown_anchor_counts_are_refused(spark):
-    with pytest.raises(ValueError):
-        impute.knn_filled(spark.createDataFrame([(1.0, None)], "a double, t double"), ["a", "t"], "t", [])
+def test_targets_must_be_features(spark):
+    for targets in ([], ["u"]):
+        with pytest.raises(ValueError):
+            impute.knn_filled(spark.createDataFrame([(1.0, None)], "a double, t double"), ["a", "t"], targets)
+
+
+@pytest.mark.parametrize("leaf_rows", [4, 64, 10_000])
+@pytest.mark.parametrize("crowded", [False, True])
+def test_several_targets_by_any_partition(spark, monkeypatch, leaf_rows, crowded):
+    """Every coordinate may be missing; a crowded leaf is met in parts by many tasks."""
+    draw = random.Random(leaf_rows + crowded)
+    features = ["a", "b", "c"]
+    rows = []
+    for i in range(300):
+        point = [0.25, 0.5, round(draw.random(), 3)] if crowded and i % 3 else [round(draw.random(), 2) for _ in features]
+        rows.append((i, [None if draw.random() < 0.2 else v for v in point]))
+    rows += [(300 + i, [None, None, None] if i else [0.0, 1.0, None]) for i in range(3)]
+    df = spark.createDataFrame([(i, *f) for i, f in rows], "id int, a double, b double, c double")
+    monkeypatch.setattr(neighbours, "LEAF_ROWS", leaf_rows)
+    monkeypatch.setattr(neighbours, "PART_ROWS", 10)
+    monkeypatch.setattr(neighbours.nearest, "__defaults__", (5, leaf_rows))
+    got = {r["id"]: r for r in impute.knn_filled(df, features, ["c", "a"], 5).collect()}
+    assert len(got) == 303 and all(got[i]["b"] == f[1] for i, f in rows)
+    for target in ("a", "c"):
+        at = features.index(target)
+        mean = [f[at] for _, f in rows if f[at] is not None]
+        want = _sklearn_style([r for r in rows if any(v is not None for v in r[1])], features, target, 5)
+        for i, f in rows:
+            expected = f[at] if f[at] is not None else want.get(i, sum(mean) / len(mean))
+            assert got[i][target] == pytest.approx(expected, abs=1e-9), (i, target)
+
+
+def test_bounds_are_below_every_distance():
+    rng = np.random.default_rng(5)
+    donors = np.where(rng.random((500, 3)) < 0.1, np.nan, rng.random((500, 3)))
+    tree = neighbours.split(donors, 32)
+    leaf = tree.leaf_of(donors)
+    assert tree.leaves == 32 and set(leaf) == set(range(32))
+    tree.low, tree.high = (np.array([[np.nan if np.isnan(donors[leaf == x, f]).any() else end(donors[leaf == x, f]) for f in range(3)] for x in range(32)]) for end in (np.min, np.max))
+    queries = np.where(rng.random((200, 3)) < 0.3, np.nan, rng.random((200, 3)))
+    bounds = tree.bounds(queries)
+    for q, bound in zip(queries, bounds, strict=True):
+        gap = (q - donors) ** 2
+        shared = (~np.isnan(gap)).sum(1)
+        apart = np.sqrt(np.nansum(gap, 1) * 3 / np.maximum(shared, 1))
+        assert (bound[leaf][shared > 0] <= apart[shared > 0] + 1e-12).all()
+    assert (bounds > 0).mean() > 0.5
+
+
+def test_no_donors_leave_gaps_and_no_gaps_leave_rows(spark):
+    df = spark.createDataFrame([(1, None, 2.0), (2, None, 3.0)], "id int, a double, b double")
+    assert [r["a"] for r in impute.knn_filled(df, ["a", "b"], "a").collect()] == [None, None]
+    assert sorted(r["b"] for r in impute.knn_filled(df, ["a", "b"], ["b"]).collect()) == [2.0, 3.0]

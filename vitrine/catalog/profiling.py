@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitrine.catalog.registry import query
 from vitrine.functions import numbers
 from vitrine.operators import impute, profile
+from vitrine.plans import imputed
 
 # ---------------------------------------------------------------- profiling
 
@@ -163,10 +164,65 @@ def i05(m):
     part = m.table("part").select("p_partkey", "p_type", "p_brand", "p_retailprice", F.when(F.col("p_partkey") % 7 != 0, F.col("p_size")).alias("p_size"))
     coded = impute.encoded(part, ["p_type", "p_brand"])
     scaled, ends = impute.min_max(coded, ["p_type_encoded", "p_brand_encoded", "p_retailprice", "p_size"])
-    filled = impute.knn_filled(scaled, _KNN, "p_size_scaled", _KNN[:3])
+    filled = impute.knn_filled(scaled, _KNN, "p_size_scaled")
     return filled.select("p_partkey", F.round(impute.unscaled(F.col("p_size_scaled"), ends, "p_size"), 6).alias("p_size"))
 
 
+def _knn_sql(rows: str, key: str, categories: list[str], numbers: list[str], targets: list[str], outputs: str, k: int = 5) -> str:
+    """Every row that lacks a target beside every row that has it."""
+    columns = [*categories, *numbers]
+    codes = ", ".join([f"CASE WHEN {c} IS NOT NULL THEN dense_rank() OVER (ORDER BY {c} NULLS LAST) - 1 END::DOUBLE AS {c}" for c in categories] + [f"{n}::DOUBLE AS {n}" for n in numbers])
+    ends = ", ".join(f"min({c}) AS {c}_low, max({c}) - min({c}) AS {c}_wide" for c in columns)
+    scaled = ", ".join(f"({c} - {c}_low) / CASE WHEN {c}_wide = 0 THEN 1 ELSE {c}_wide END AS {c}" for c in columns)
+    total = " + ".join(f"coalesce(pow(q.{c} - d.{c}, 2), 0)" for c in columns)
+    shared = " + ".join(f"(q.{c} IS NOT NULL AND d.{c} IS NOT NULL)::INT" for c in columns)
+    pairs = " UNION ALL ".join(f"SELECT q.{key}, '{t}' AS target, d.{t} AS v, round(sqrt(({total}) * {len(columns)} / nullif({shared}, 0)), 12) AS dist FROM x q, x d "
+                               f"WHERE q.{t} IS NULL AND d.{t} IS NOT NULL" for t in targets)
+    back = ", ".join(f"coalesce(p.{t}::DOUBLE, coalesce(w_{t}, m_{t}) * CASE WHEN {t}_wide = 0 THEN 1 ELSE {t}_wide END + {t}_low) AS {t}" for t in targets)
+    return f"""WITH p AS ({rows}), c AS (SELECT {key}, {codes} FROM p), e AS (SELECT {ends} FROM c), x AS (SELECT {key}, {scaled} FROM c, e),
+m AS (SELECT {", ".join(f"avg({t}) AS m_{t}" for t in targets)} FROM x), d AS (SELECT * FROM ({pairs}) WHERE dist IS NOT NULL),
+k AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY {key}, target ORDER BY dist, v) <= {k}),
+w AS (SELECT {key}, target, CASE WHEN min(dist) = 0 THEN avg(v) FILTER (dist = 0) ELSE sum(v / nullif(dist, 0)) / sum(1 / nullif(dist, 0)) END AS v FROM k GROUP BY 1, 2),
+b AS (SELECT {key}, {", ".join(f"max(v) FILTER (target = '{t}') AS w_{t}" for t in targets)} FROM w GROUP BY 1),
+r AS (SELECT p.{key}, {back} FROM p LEFT JOIN b USING ({key}), e, m)
+SELECT {key}, {outputs} FROM r"""
+
+
+# Measures of a part, some of them made from its key, with gaps of several kinds.
+_MEASURES = {
+    "category_name_pt": "CASE WHEN p_partkey % 19 <> 0 THEN p_type END", "category_name_en": "p_brand", "name_length": "CASE WHEN p_partkey % 11 <> 0 THEN length(p_name) END",
+    "description_length": "CASE WHEN p_partkey % 11 <> 0 THEN p_partkey % 97 + 3 END", "photo_count": "CASE WHEN p_partkey % 11 <> 0 THEN p_size % 6 END",
+    "weight_g": "CASE WHEN p_partkey % 13 <> 0 THEN p_retailprice END", "length_cm": "CASE WHEN p_partkey % 17 <> 0 THEN p_size END",
+    "height_cm": "CASE WHEN p_partkey % 17 <> 0 THEN p_partkey % 41 END", "width_cm": "CASE WHEN p_partkey % 17 <> 0 THEN (p_partkey * 7) % 53 END",
+}
+_WHOLE = ", ".join(f"round_even({c}, 0) AS {c}" for c in imputed.WHOLE_MEASURES)
+
+
+@query("i05_product_measures", _knn_sql(
+    "SELECT p_partkey AS product_id, " + ", ".join(f"{v} AS {n}" for n, v in _MEASURES.items()) + " FROM part", "product_id", ["category_name_pt", "category_name_en"],
+    list(imputed.PRODUCT_MEASURES), list(imputed.PRODUCT_MEASURES),
+    f"{_WHOLE}, " + ", ".join(f"round({c}, 6) AS {c}" for c in imputed.PRODUCT_MEASURES[3:]) + ", round(length_cm * height_cm * width_cm, 3) AS volume_cm3"))
+def i05_products(m):
+    rows = m.table("part").select(F.col("p_partkey").alias("product_id"), *[F.expr(v).alias(n) for n, v in _MEASURES.items()])
+    done = imputed.complete_products(rows)
+    return done.select("product_id", *imputed.WHOLE_MEASURES, *[F.round(c, 6).alias(c) for c in imputed.PRODUCT_MEASURES[3:]], F.round("volume_cm3", 3).alias("volume_cm3"))
+
+
+_PLACES = {"city": "concat('city ', CAST(s_suppkey % 13 AS VARCHAR(20)))", "zip_code": "CAST(s_suppkey * 37 % 9999 AS VARCHAR(20))",
+           "latitude": "CASE WHEN s_suppkey % 5 <> 0 THEN CAST(s_nationkey AS DOUBLE) + s_suppkey % 7 / 10.0 - 30 END",
+           "longitude": "CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 7 <> 0 THEN CAST(s_suppkey % 11 AS DOUBLE) / 10.0 - 50 END"}
+
+
+@query("i05_seller_places", _knn_sql(
+    "SELECT s_suppkey AS seller_id, n_name AS state, " + ", ".join(f"{f'CAST({v} AS DOUBLE)' if n == 'zip_code' else v} AS {n}" for n, v in _PLACES.items())
+    + " FROM supplier JOIN nation ON s_nationkey = n_nationkey", "seller_id", ["state", "city"], ["zip_code", "latitude", "longitude"], ["latitude", "longitude"],
+    "round(latitude, 6) AS latitude, round(longitude, 6) AS longitude"))
+def i05_sellers(m):
+    nation = m.table("nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("state"))
+    rows = m.table("supplier").join(nation, "s_nationkey").select(F.col("s_suppkey").alias("seller_id"), "state", *[F.expr(v).alias(n) for n, v in _PLACES.items()])
+    return imputed.complete_sellers(rows).select("seller_id", F.round("latitude", 6).alias("latitude"), F.round("longitude", 6).alias("longitude"))
+
+
 @query("i06_forest")
 def i06(m):
     rows = impute.encoded(m.dim_customers(), ["state", "city"]).select("customer_unique_id", F.col("customer_unique_id").cast("double").alias("zip_number"), "state_encoded", "city_encoded", "latitude", "longitude")
