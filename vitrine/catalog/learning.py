@@ -7,8 +7,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from vitrine.catalog.registry import query
-from vitrine.functions import rules, text
-from vitrine.ml import mixed, segments, sentiment, words
+from vitrine.functions import text
+from vitrine.ml import lemma, mixed, segments, sentiment, words
 from vitrine.plans import dashboards
 from vitrine.session import durable, scratch_path
 
@@ -91,7 +91,7 @@ def m09(m):
 def _reviewed_orders(m):
     """Order facts whose review is the labelled document of the same number: mixed features, content words, 0/1 label."""
     orders = m.fact_orders().drop("review_score", "review_text", "customer_unique_id", "purchase_date_key")
-    reviews = m.reviews().select(F.col("doc_id").alias("order_id"), "review_score", words.content_words("review_text", _STOPS).alias("review_text"))
+    reviews = m.reviews().select(F.col("doc_id").alias("order_id"), "review_score", words.content_words("review_text").alias("review_text"))
     rows = orders.join(reviews, "order_id").withColumn("primary_payment_type", F.concat(F.lit("type "), (F.col("order_id") % 4).cast("string")))
     rows = mixed.complete_rows(rows.withColumn("is_invalid_payment", F.col("total_payment") <= 0)).filter("review_text <> ''")
     rows = rows.withColumn("label", (F.col("review_score") >= 4).cast("double")).withColumn("total_payment", F.col("total_payment").cast("double"))
@@ -229,14 +229,22 @@ def m18(m):
     return mixed.complete_rows(m.fact_orders(), ["purchase_date_key", "delivery_days_actual"])
 
 
-_STOPS = sorted({w for known in rules.FUNCTION_WORDS.values() for w in known})
-_STOP_SQL = ", ".join(f"'{w}'" for w in _STOPS if w != "não")
+def _values(name: str, columns: str, rows) -> str:
+    """A small table of text and numbers."""
+    literal = lambda v: str(v) if isinstance(v, int) else f"'{v}'"
+    return f"{name}({columns}) AS (VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + ")"
 
 
-@query("m19_content_words", rf"""WITH t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents))
-SELECT doc_id, md5(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (word NOT IN ({_STOP_SQL}) AND length(word) >= 3), '')) AS h FROM t GROUP BY 1""")
+@query("m19_content_words", rf"""WITH {_values("closed", "word", [(w,) for w in lemma.CLOSED_CLASSES if w != "não"])}, {_values("odd", "word, form", lemma.EXCEPTIONS.items())},
+{_values("endings", "ending, put, least", lemma.ENDINGS)},
+t AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents)),
+v AS (SELECT DISTINCT word FROM t WHERE length(word) >= 3 AND word NOT IN (SELECT word FROM closed)),
+cut AS (SELECT word, left(word, length(word) - length(ending)) || put AS form FROM v JOIN endings ON ends_with(word, ending) AND length(word) - length(ending) >= least
+    QUALIFY row_number() OVER (PARTITION BY word ORDER BY length(ending) DESC) = 1),
+forms AS (SELECT word, coalesce(odd.form, cut.form, word) AS form FROM v LEFT JOIN odd USING (word) LEFT JOIN cut USING (word))
+SELECT doc_id, md5(coalesce(string_agg(form, ' ' ORDER BY i) FILTER (form IS NOT NULL), '')) AS h FROM t LEFT JOIN forms USING (word) GROUP BY 1""")
 def m19(m):
-    return m.table("documents").select("doc_id", F.md5(words.content_words("text", _STOPS)).alias("h"))
+    return m.table("documents").select("doc_id", F.md5(words.content_words("text")).alias("h"))
 
 
 def _behaviour(m):

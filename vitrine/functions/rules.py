@@ -6,8 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vitrine.functions.text import bound
-
 # Order states that do not count as a sale.
 NOT_A_SALE = ("created", "approved", "canceled", "unavailable")
 # States left out of the daily trend and of the review average.
@@ -74,27 +72,6 @@ def intent_of(message: Column, platform: str = "vitrine") -> Column:
     return F.when(message.rlike(about), "platform_info").when(message.rlike(asks), "sql").otherwise("general")
 
 
-#: Frequent function words per language: a parameter of the language gate, to be replaced
-#: for other languages.
-FUNCTION_WORDS = {
-    "de": ("der", "die", "das", "und", "ist", "mit", "den", "von", "auf", "nicht"),
-    "en": ("the", "and", "is", "of", "with", "that", "was", "by", "on", "are"),
-    "es": ("el", "los", "las", "y", "con", "una", "por", "del", "que", "es"),
-    "fr": ("le", "les", "et", "des", "dans", "qui", "est", "une", "pour", "avec"),
-    "pt": ("o", "os", "uma", "com", "não", "para", "em", "do", "da", "e"),
-}
-
-
-def with_language(df: DataFrame, text: str, as_name: str = "language", words: dict[str, Sequence[str]] = FUNCTION_WORDS) -> DataFrame:
-    """Add the language with most function words in the whole text: the first by code on a tie, NULL when none occurs."""
-    hits = lambda tokens, known: F.size(F.filter(tokens, lambda t: t.isin(list(known))))
-    scores = lambda tokens: F.array_max(F.array(*[F.struct(hits(tokens, known).alias("hits"), F.lit(-i).alias("rank"), F.lit(lang).alias("lang"))
-                                                  for i, (lang, known) in enumerate(sorted(words.items()))]))
-    best = F.col("_best")
-    told = df.withColumn("_best", bound(F.split(F.lower(text), r"[^\p{L}]+"), scores))
-    return told.withColumn(as_name, F.when(best["hits"] > 0, best["lang"])).drop("_best")
-
-
 def passes_language_gate(guess: Column, text: Column, wanted: str = "pt") -> Column:
     """Keep the wanted language; text no language can be told for passes from five characters on."""
     return F.when(guess.isNotNull(), guess == wanted).otherwise(F.length(F.btrim(text)) >= 5)

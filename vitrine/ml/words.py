@@ -9,6 +9,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine.functions import rules, text
+from vitrine.ml import lemma
 
 # Vocabulary bounds and shortest review.
 MIN_DOCS, MAX_SHARE, VOCABULARY, MIN_WORDS = 7, 0.8, 2000, 3
@@ -50,11 +51,12 @@ def terms(column: str) -> Column:
         F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(w[i], F.lit(" "), w[i + 1]))).otherwise(F.slice(w, 1, 0))))
 
 
-def content_words(column: str, stop_words: Sequence[str], kept: Sequence[str] = ("não",), shortest: int = 3) -> Column:
-    """Text without stop words (save the kept ones) and without short words."""
-    words = F.split(F.btrim(F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}]+", " ")), " ")
+def content_words(column: str, stop_words: Sequence[str] = lemma.CLOSED_CLASSES, kept: Sequence[str] = ("não",), shortest: int = 3) -> Column:
+    """Dictionary forms of the words of open classes, without stop words (save the kept ones) and without short words."""
+    found = F.split(F.btrim(F.regexp_replace(F.lower(column), r"[^\p{L}\p{N}]+", " ")), " ")
     dropped = [w for w in stop_words if w not in kept]
-    return F.array_join(F.filter(words, lambda w: ~w.isin(dropped) & (F.length(w) >= shortest)), " ")
+    open_class = F.filter(found, lambda w: ~w.isin(dropped) & (F.length(w) >= shortest))
+    return F.array_join(F.transform(open_class, lambda w: lemma.lemma(w)), " ")
 
 
 def term_counts(df: DataFrame, doc: str, column: str = "review_text") -> DataFrame:
