@@ -2,18 +2,7 @@
 
 from __future__ import annotations
 
-#: Unsigned CRC-32 of a text's UTF-8 bytes; ``crc_table`` is one row with the table of the reflected polynomial.
-_CRC = """crc_table AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)),
-    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
-hexes AS (SELECT '0123456789abcdef' AS digits)"""
-
-
-def _crc(text: str) -> str:
-    """CRC of an expression of type VARCHAR; needs ``crc_table`` and ``hexes`` in the same FROM."""
-    byte = f"(instr(digits, lower(hex(encode({text})))[2 * i + 1]) - 1) * 16 + instr(digits, lower(hex(encode({text})))[2 * i + 2]) - 1"
-    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode({text}))), lambda i: ({byte})::BIGINT)), "
-            f"lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)")
-
+from vitrine.catalog.hashing import CRC_TABLES, crc
 
 _FRAMED = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
 _LEAF = "sha256(" + " || ".join(_FRAMED.format(c) for c in ("doc_id", "source", "lang", "n_chars")) + " || " + _FRAMED.format("{0}") + ")"
@@ -48,9 +37,9 @@ def _merkle(steps: int = 7, top_steps: int = 3) -> str:
         folds.append(f"f{i} AS (SELECT *, CASE WHEN e{i} THEN {before} ELSE sha256(l{i} || {before} || r{i}) END AS c{i} FROM {f'f{i - 1}' if i else 'found'})")
         before = f"c{i}"
     parts = ", ".join(f"{left} AS l{i}, {right} AS r{i}, {ended} AS e{i}" for i, (left, right, ended) in enumerate(sides))
-    return f"""WITH {_CRC},
+    return f"""WITH {CRC_TABLES},
 d0 AS (SELECT doc_id, coalesce('=' || lang, '-') AS g, {_LEAF.format('text')} AS leaf, {_LEAF.format(f"translate(text, '{_UPPER}', '{_LOWER}')")} AS lowered,
-    {_crc("CAST(doc_id AS VARCHAR)")} % 3 = 0 AS hit FROM documents, crc_table, hexes),
+    {crc("CAST(doc_id AS VARCHAR)")} % 3 = 0 AS hit FROM documents, crc_table, hexes),
 d AS (SELECT doc_id, g, leaf, CASE WHEN hit THEN lowered ELSE leaf END AS changed, row_number() OVER (PARTITION BY g ORDER BY doc_id, leaf) - 1 AS pos,
     count(*) OVER (PARTITION BY g) AS n FROM d0),
 {_levels('t', '(SELECT g, pos, leaf AS digest, n FROM d)', steps)},
@@ -65,12 +54,12 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, {before} AS folded_root, {befo
 
 MERKLE = _merkle()
 
-RESAMPLING = rf"""WITH {_CRC},
+RESAMPLING = rf"""WITH {CRC_TABLES},
 w AS (SELECT doc_id, row_number() OVER () AS row_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
 e AS (SELECT row_id, unnest(words) AS word FROM w),
 distinct_words AS (SELECT DISTINCT word FROM (SELECT word FROM e UNION ALL SELECT word FROM b)),
-coded AS (SELECT word, {_crc("word")} % 10000 AS bucket FROM distinct_words, crc_table, hexes),
+coded AS (SELECT word, {crc("word")} % 10000 AS bucket FROM distinct_words, crc_table, hexes),
 sc AS (SELECT bucket, count(*) AS s FROM e JOIN coded USING (word) GROUP BY 1),
 tc AS (SELECT bucket, count(*) AS t FROM b JOIN coded USING (word) GROUP BY 1),
 sums AS (SELECT (SELECT count(*) FROM e) AS all_s, (SELECT count(*) FROM b) AS all_t),
