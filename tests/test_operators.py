@@ -78,6 +78,26 @@ def test_constant_histogram_and_quantiles(spark):
     assert ordered.exact_quantiles(df, ["v"], (0.25,)).first()["p25"] == 5.0
 
 
+def test_quantiles_of_awkward_values(spark):
+    """Far outliers, infinities, ties, tiny and huge ranges, NULL groups; nothing is written."""
+    draw = random.Random(11)
+    series = {"flat": [7.0] * 50, "far": [*[draw.random() for _ in range(400)], 1e300, -1e300], "ends": [float("-inf"), float("inf"), 1.0, 2.0], "one": [3.5], None: [0.0, -0.0, 5e-324],
+              "close": [1.0 + i * 2**-52 for i in range(300)], "steps": [float(draw.choice([1, 2, 2, 3, 1e9])) for _ in range(999)]}
+    df = spark.createDataFrame([(g, v, -v) for g, vs in series.items() for v in vs] + [("far", None, None)], "g string, v double, w double").repartition(5)
+    out = ordered.exact_quantiles(df, ["v", "w"], (0.0, 0.25, 0.5, 0.99, 1.0), ["g"])
+    assert "Sort" not in [x.split()[0] for x in out._jdf.queryExecution().optimizedPlan().toString().replace(":", " ").replace("+-", " ").splitlines() if x.split()]
+    got = {(r["g"], r["column_name"]): r for r in out.collect()}
+    assert len(got) == 2 * len(series)
+    for g, vs in series.items():
+        for name, sign in (("v", 1), ("w", -1)):
+            xs = sorted(sign * v for v in vs)
+            for p in (0.0, 0.25, 0.5, 0.99, 1.0):
+                at = (len(xs) - 1) * p
+                lo, hi = xs[math.floor(at)], xs[math.ceil(at)]
+                want = lo if lo == hi else lo + (hi - lo) * (at - math.floor(at))
+                assert got[g, name][f"p{round(p * 100)}"] == want or math.isnan(want), (g, name, p)
+
+
 def test_moving_average_waits_for_full_window(spark):
     out = keyed.moving_average(spark.createDataFrame([(i, float(i)) for i in range(10)], "d int, v double"), "d", "v", 7).orderBy("d").collect()
     assert [r["moving_avg"] for r in out[:6]] == [None] * 6 and out[6]["moving_avg"] == 3.0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
@@ -88,13 +89,49 @@ def vocabulary(df: DataFrame, column: str = "review_text", min_docs: int = MIN_D
     return kept.orderBy(F.col("tf").desc(), "term").limit(size).select("term", "df", "tf", idf.alias("idf"))
 
 
+#: Slots of the table in which a row looks its terms up.
+_SLOTS = 4096
+
+
+def _slot(term: Column) -> Column:
+    return (F.crc32(term.cast("binary")) % _SLOTS).cast("int")
+
+
+def _slots(known: DataFrame) -> Column:
+    """The vocabulary as one literal: for each slot the terms that hash to it, with their idf. Its lines, at most its size limit, come to
+    the driver."""
+    slots: list[list[dict]] = [[] for _ in range(_SLOTS)]
+    for r in known.select("term", "idf", _slot(F.col("term")).alias("slot")).collect():
+        slots[r["slot"]].append({"term": r["term"], "idf": r["idf"]})
+    return F.from_json(F.lit(json.dumps(slots)), "array<array<struct<term:string,idf:double>>>")  # folded when the query is planned
+
+
+def _runs(ordered: Column) -> Column:
+    """Of a sorted list of (term, idf), each once with its number times its idf."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(ordered)), lambda i: (i == F.size(ordered)) | (i == 0) | (F.get(ordered, i)["term"] != F.get(ordered, i - 1)["term"]))
+    count = lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda start, k: F.struct(
+        F.get(ordered, start)["term"].alias("term"), ((F.get(at, k + 1) - start) * F.get(ordered, start)["idf"]).alias("w")))
+    return text.bound(starts, count)
+
+
 def tfidf(df: DataFrame, doc: str, column: str = "review_text", **bounds) -> DataFrame:
-    """Unit-length TF-IDF weights, one line per (document, vocabulary term)."""
-    # At most ``size`` rows, so a broadcast is bounded and frequent terms need no shuffle.
-    words = F.broadcast(vocabulary(df, column, **bounds).select("term", "idf"))
-    weighted = term_counts(df, doc, column).join(words, "term").withColumn("_w", F.col("tf") * F.col("idf"))
-    length = weighted.groupBy(doc).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_len"))
-    return weighted.join(length, doc).select(doc, "term", (F.col("_w") / F.col("_len")).alias("weight"))
+    """Unit-length TF-IDF weights, one line per (document, vocabulary term).
+
+    Terms are looked up, counted, weighted and normalised inside their row; lines leave it last, and nothing but the vocabulary is
+    shuffled. Each row is a document of its own.
+    """
+    slots = _slots(vocabulary(df, column, **bounds))
+
+    def found(listed: Column) -> Column:
+        looked_up = F.transform(listed, lambda t: F.get(F.filter(F.get(slots, _slot(t)), lambda e: e["term"] == t), F.lit(0)))
+        return F.array_sort(F.filter(looked_up, lambda e: e.isNotNull()))
+
+    def unit(runs: Column) -> Column:
+        length = F.sqrt(F.aggregate(runs, F.lit(0.0), lambda acc, r: acc + r["w"] * r["w"]))
+        return text.bound(length, lambda n: F.transform(runs, lambda r: F.struct(r["term"].alias("term"), (r["w"] / n).alias("weight"))))
+
+    weighted = text.bound(found(terms(column)), lambda ordered: F.when(F.size(ordered) > 0, text.bound(_runs(ordered), unit)))
+    return df.select(doc, F.inline(weighted))
 
 
 def vectorizer(train: DataFrame, column: str = "review_text", out: str = "features", **bounds) -> list:

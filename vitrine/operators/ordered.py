@@ -108,29 +108,62 @@ def tiled(df: DataFrame, tiles: int, order: Sequence[Column], group: Sequence[st
     return out.withColumn(as_name, tile_of(F.col("_no"), F.col("_of"), tiles)).drop("_no", "_of")
 
 
+#: Bins of a round, and rounds, of the search for a quantile.
+_BINS, _ROUNDS = 4096, 2
+
+
+def _bin(x: Column, low: Column, high: Column) -> Column:
+    """Which of ``_BINS`` equal parts of [low, high] holds ``x``; halved, so that the width of the range is always a number."""
+    bounded = lambda c: F.greatest(F.least(c, F.lit(1.7e308)), F.lit(-1.7e308)) / 2
+    share = (bounded(x) - bounded(low)) / F.nullif(bounded(high) - bounded(low), F.lit(0.0))
+    return F.least(F.coalesce(F.floor(share * _BINS), F.lit(0)), F.lit(_BINS - 1)).cast("int")
+
+
+def _within(values: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each value beside the span that holds it; the spans of one group do not overlap."""
+    named = spans.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    same = (F.col("_x") >= F.col("_low")) & (F.col("_x") <= F.col("_high"))
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return values.join(named, same).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
+def _holding(counted: DataFrame, part: Sequence[str], along: str) -> DataFrame:
+    """Lines of ``counted`` (number ``_n``) that hold a wanted place, with ``_before`` and ``_places`` narrowed to the line."""
+    so_far = Window.partitionBy(*part).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(so_far), F.lit(0)))
+    inside = F.filter("_places", lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_n")))
+    return placed.withColumn("_places", inside).filter(F.size("_places") > 0)
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[float], group: Sequence[str] = ()) -> DataFrame:
-    """Linear-interpolated quantiles, one row per (group, column), without holding a group in memory.
+    """Linear-interpolated quantiles, one row per (group, column), exact and without sorting or copying the rows.
 
-    Equal values are merged first, so a frequent value costs one row; the rest is a
-    running count over distinct values.
+    Values are counted in bins between their least and greatest; the next round counts only what lies in the bins that hold a wanted
+    place, between the values that occur there. What is left after the rounds is merged by value and counted up. Each round is one scan with
+    map-side counts; a line a bin is shuffled. NaN counts as infinity.
     """
     values = df.select(*group, F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("_x")) for c in columns])))
-    merged = values.filter("_x is not null").groupBy(*group, "column_name", "_x").agg(F.count(F.lit(1)).alias("_copies"))
+        F.struct(F.lit(c).alias("column_name"), F.nanvl(F.col(c).cast("double"), F.lit(float("inf"))).alias("_x")) for c in columns]))).filter("_x IS NOT NULL")
     keys = [*group, "column_name"]
-    upto = running_totals(merged, {"_copies": "_upto"}, [F.col("_x").asc()], keys, totals_as={"_copies": "_all"})
-    since = F.col("_upto") - F.col("_copies")
-
-    def value_at(index: Column) -> Column:
-        return F.max(F.when((index >= since) & (index < F.col("_upto")), F.col("_x")))
-
-    picks = []
-    for i, p in enumerate(points):
-        spot = (F.col("_all") - 1) * F.lit(float(p))
-        picks += [value_at(F.floor(spot)).alias(f"_lo{i}"), value_at(F.ceil(spot)).alias(f"_hi{i}")]
-    found = upto.groupBy(*keys).agg(F.max("_all").alias("n"), *picks)
+    spot = lambda n, p: (n - 1) * F.lit(float(p))
+    places = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(spot(F.col("_all"), p)), F.ceil(spot(F.col("_all"), p))) for p in points])))
+    whole = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
+    spans = whole.select(*keys, "_low", "_high", "_all", F.lit(0).cast("long").alias("_before"), places.alias("_places"))
+    held = [F.first(c).alias(c) for c in ("_before", "_places", "_all")]
+    for _ in range(_ROUNDS):
+        bins = _within(values, spans, keys).groupBy(*keys, F.col("_low").alias("_span"), _bin(F.col("_x"), F.col("_low"), F.col("_high")).alias("_bin"))
+        counted = bins.agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"), *held)
+        spans = _holding(counted, [*keys, "_span"], "_bin").select(*keys, "_low", "_high", "_all", "_before", "_places")
+    merged = _within(values, spans, keys).groupBy(*keys, F.col("_low").alias("_span"), "_x").agg(F.count(F.lit(1)).alias("_n"), *held)
+    found = _holding(merged, [*keys, "_span"], "_x").select(*keys, "_all", "_x", F.explode("_places").alias("_place"))
+    at = lambda place: F.max(F.when(F.col("_place") == place, F.col("_x")))
+    ends = [e for i, p in enumerate(points) for e in (at(F.floor(spot(F.col("_all"), p))).alias(f"_lo{i}"), at(F.ceil(spot(F.col("_all"), p))).alias(f"_hi{i}"))]
+    table = found.groupBy(*keys).agg(F.max("_all").alias("n"), *ends)
     outs = []
     for i, p in enumerate(points):
-        spot = (F.col("n") - 1) * F.lit(float(p))
-        outs.append((F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (spot - F.floor(spot))).alias(f"p{round(p * 100)}"))
-    return found.select(*keys, "n", *outs)
+        here = spot(F.col("n"), p)
+        # equal ends need no way between them, which infinity would not survive
+        outs.append(F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}")).otherwise(
+            F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (here - F.floor(here))).alias(f"p{round(p * 100)}"))
+    return table.select(*keys, "n", *outs)
