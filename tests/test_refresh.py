@@ -3,6 +3,7 @@
 import csv
 import datetime as dt
 import os
+import threading
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,14 +129,65 @@ def test_failed_refresh_keeps_previous_table(spark, tmp_path):
 
 
 def test_broken_off_replacement_is_put_right(spark, tmp_path):
+    """A table of the layout without pointers, as left by a crash between two renames."""
     base = str(tmp_path)
-    store.replace_table(spark.range(5), base, "t")
-    (tmp_path / "t").rename(tmp_path / "_previous_t")  # as left by a crash between the two renames
+    spark.range(5).write.parquet(f"{base}/_previous_t")
     assert store.read_table(spark, base, "t").count() == 5
-    (tmp_path / "t").rename(tmp_path / "_previous_t")
     assert store.replace_table(spark.range(2), base, "t") == 2 and store.read_table(spark, base, "t").count() == 2
 
 
+def test_readers_inside_a_swap_see_old_or_new(spark, tmp_path):
+    base, stop, seen = str(tmp_path), threading.Event(), []
+    store.replace_table(spark.range(1), base, "t")
+
+    def watch():
+        while not stop.is_set():
+            with store.pinned(spark, base, "t") as df:
+                seen.append((df.count(), df.agg(F.max("id")).first()[0]))
+
+    readers = [threading.Thread(target=watch) for _ in range(3)]
+    for r in readers:
+        r.start()
+    for n in range(2, 9):
+        store.replace_table(spark.range(n), base, "t")
+    stop.set()
+    for r in readers:
+        r.join()
+    assert len(seen) > 3 and all(n == top + 1 and 1 <= n <= 8 for n, top in seen)
+    assert store.read_table(spark, base, "t").count() == 8
+
+
+def test_a_frame_keeps_its_snapshot(spark, tmp_path):
+    base = str(tmp_path)
+    store.replace_table(spark.range(3), base, "t")
+    before = store.read_table(spark, base, "t")
+    store.replace_table(spark.range(5), base, "t")
+    assert before.count() == 3 and store.read_table(spark, base, "t").count() == 5
+
+
+def test_a_killed_swap_leaves_the_table_and_is_cleaned_up(spark, tmp_path):
+    base = str(tmp_path)
+    store.replace_table(spark.range(5), base, "t")
+    spark.range(9).write.parquet(f"{base}/t/_snapshots/halfway")  # written, never published
+    assert store.read_table(spark, base, "t").count() == 5
+    assert store.clean_up(spark, base, "t") == [] and store.clean_up(spark, base, "t", stale_hours=-1) == ["halfway"]
+    assert store.read_table(spark, base, "t").count() == 5
+
+
+def test_clean_up_spares_the_newest_and_the_pinned(spark, tmp_path):
+    base = str(tmp_path)
+    folder = lambda: len(os.listdir(f"{base}/t/_snapshots"))
+    store.replace_table(spark.range(1), base, "t")
+    with store.pinned(spark, base, "t") as first:
+        for n in range(2, 7):
+            store.replace_table(spark.range(n), base, "t")
+        assert first.count() == 1 and folder() == 3
+    assert len(store.clean_up(spark, base, "t")) == 1 and folder() == 2
+    assert len(store.clean_up(spark, base, "t", keep=1)) == 1 and store.read_table(spark, base, "t").count() == 6
+    with pytest.raises(FileNotFoundError), store.pinned(spark, base, "other"):
+        pass
+
+
 def test_whole_error_and_its_class_are_logged(spark, tmp_path):
     with pytest.raises(Exception), audit.LoadBatch(spark, str(tmp_path), "Bronze", "land") as batch:  # noqa: B017, PT011
         batch.load("t", lambda: spark.sql("SELECT nothing_here").count())
