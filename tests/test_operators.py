@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import impute, keyed, neighbours, ordered, profile
+from vitrine.operators import impute, keyed, neighbours, ordered, placed, profile
 
 
 @pytest.fixture(scope="module")
@@ -25,9 +25,12 @@ def by_group(rows):
     return {g: sorted(x) for g, x in out.items()}
 
 
-def test_numbering_is_dense_per_group(skewed):
+@pytest.mark.parametrize("how", ["durable", "placed", "one part", "many parts"])
+def test_numbering_is_dense_per_group(skewed, how):
     rows, df = skewed
-    got = {r["id"]: (r["no"], r["of"]) for r in ordered.numbered(df, [F.col("v"), F.col("id")], ["g"], "no", "of").collect()}
+    parts = {"one part": 1, "many parts": 64}.get(how)
+    out = ordered.numbered(df, [F.col("v"), F.col("id")], ["g"], "no", "of") if how == "durable" else placed.numbered(df, ["v", "id"], ["g"], "no", "of", parts)
+    got = {r["id"]: (r["no"], r["of"]) for r in out.collect()}
     for members in by_group(rows).values():
         for place, (_, i) in enumerate(members, 1):
             assert got[i] == (place, len(members))
@@ -35,13 +38,14 @@ def test_numbering_is_dense_per_group(skewed):
 
 def test_global_numbering_with_equal_rows(spark):
     df = spark.createDataFrame([(1,)] * 500 + [(0,)] * 3, "v int")
-    numbers = sorted((r["row_no"], r["v"]) for r in ordered.numbered(df, [F.col("v")]).collect())
-    assert [n for n, _ in numbers] == list(range(1, 504)) and [v for _, v in numbers[:4]] == [0, 0, 0, 1]
+    for out in (ordered.numbered(df, [F.col("v")]), placed.numbered(df, ["v"])):
+        numbers = sorted((r["row_no"], r["v"]) for r in out.collect())
+        assert [n for n, _ in numbers] == list(range(1, 504)) and [v for _, v in numbers[:4]] == [0, 0, 0, 1]
 
 
 def test_running_totals(skewed):
     rows, df = skewed
-    got = {r["id"]: (r["run"], r["all"]) for r in ordered.running_totals(df, {"v": "run"}, [F.col("v").desc(), F.col("id")], ["g"], totals_as={"v": "all"}).collect()}
+    got = {r["id"]: (r["run"], r["all"]) for r in placed.running_totals(df, {"v": "run"}, [("v", "desc"), "id"], ["g"], totals_as={"v": "all"}).collect()}
     for members in by_group(rows).values():
         total, so_far = sum(v for v, _ in members), 0
         for v, i in sorted(members, key=lambda m: (-m[0], m[1])):
@@ -49,12 +53,44 @@ def test_running_totals(skewed):
             assert got[i] == (so_far, total)
 
 
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp", "decimal(12,2)", "double", "boolean", "bigint", "binary"])
+def test_every_type_in_both_directions(spark, kind):
+    """Against Spark's own order, NULLs and prefixes included."""
+    from pyspark.sql import Window
+
+    values = {"string": "concat(repeat('ab', id % 3), char(97 + id % 5), if(id % 4 = 0, 'é', ''))", "date": "date_add(DATE'1960-01-01', cast(id * 97 % 30000 as int))",
+              "timestamp": "timestamp_micros(id * 7919 - 100000)", "decimal(12,2)": "(id * 37 % 101) / 4 - 10", "double": "sin(id)", "boolean": "id % 2 = 0",
+              "bigint": "if(id = 7, -9223372036854775808, id * 31 % 53)", "binary": "cast(concat('x', id % 9) as binary)"}
+    df = spark.range(200).withColumn("v", F.when(F.col("id") % 11 != 0, F.expr(values[kind]).cast(kind)))
+    for way, order in (("asc", F.col("v").asc()), ("desc", F.col("v").desc())):
+        want = df.withColumn("want", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order, "id")))
+        got = placed.numbered(want, [("v", way), "id"], parts=16)
+        assert got.filter("want <> row_no").count() == 0
+    with pytest.raises(ValueError):
+        placed.numbered(df, [("v", "up")])
+
+
+def test_placing_writes_nothing_and_spreads_a_hot_group(skewed, tmp_path):
+    _, df = skewed
+    out = placed.numbered(df, ["v", "id"], ["g"], parts=16)
+    plan = out._jdf.queryExecution().toString()
+    assert "ExistingRDD" not in plan.replace("LogicalRDD", "").split("Physical")[0] and "Checkpoint" not in plan
+    joined, _ = placed._in_parts(df, ["v", "id"], ["g"], (), 16)
+    sizes = [r["count"] for r in joined.filter("g = 'hot'").groupBy("_part").count().collect()]
+    assert len(sizes) > 6 and max(sizes) < 700
+
+
+def test_placing_no_rows(spark):
+    df = spark.createDataFrame([], "g string, v int")
+    assert placed.numbered(df, ["v"], ["g"]).count() == 0 and placed.running_totals(df, {"v": "s"}, ["v"]).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 10, 11])
 def test_tiles_match_ntile(spark, n):
     from pyspark.sql import Window
 
     df = spark.range(n).withColumn("want", F.ntile(4).over(Window.partitionBy(F.lit(1)).orderBy("id")))
-    assert ordered.tiled(df, 4, [F.col("id")]).filter("want <> tile").count() == 0
+    assert placed.tiled(df, 4, ["id"]).filter("want <> tile").count() == 0
 
 
 def test_quantiles_match_percentile(skewed):

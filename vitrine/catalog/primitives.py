@@ -8,7 +8,7 @@ from vitrine.catalog.hashing import CRC_TABLES, crc
 from vitrine.catalog.registry import query
 from vitrine.functions import dates, numbers, rules, text
 from vitrine.ml import language
-from vitrine.operators import keyed, ordered
+from vitrine.operators import keyed, placed
 from vitrine.operators.profile import cross_tab, frequencies
 from vitrine.plans import gold
 from vitrine.session import scratch_path
@@ -485,7 +485,7 @@ def w04(m):
 @query("w05_ntile", """SELECT y, c, ntile(4) OVER (PARTITION BY y ORDER BY v, c) AS tile FROM (SELECT year(o_orderdate) AS y, o_custkey AS c, sum(CAST(o_totalprice AS DECIMAL(12,2))) AS v FROM orders GROUP BY 1, 2)""")
 def w05(m):
     per = m.table("orders").groupBy(F.year("o_orderdate").cast("bigint").alias("y"), F.col("o_custkey").alias("c")).agg(F.sum(numbers.money(F.col("o_totalprice"))).alias("v"))
-    return ordered.tiled(per, 4, [F.col("v").asc(), F.col("c")], ["y"]).select("y", "c", F.col("tile").cast("bigint").alias("tile"))
+    return placed.tiled(per, 4, ["v", "c"], ["y"]).select("y", "c", F.col("tile").cast("bigint").alias("tile"))
 
 
 @query("w06_running_sum", """SELECT y, p, CAST(sum(v) OVER (PARTITION BY y ORDER BY v DESC, p ROWS UNBOUNDED PRECEDING) AS DOUBLE) AS running
@@ -493,7 +493,7 @@ FROM (SELECT year(o_orderdate) AS y, l_partkey AS p, sum(CAST(l_extendedprice AS
 def w06(m):
     o = m.table("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.year("o_orderdate").cast("bigint").alias("y"))
     per = m.table("lineitem").select("l_orderkey", "l_partkey", numbers.money(F.col("l_extendedprice")).alias("price")).join(o, "l_orderkey").groupBy("y", F.col("l_partkey").alias("p")).agg(F.sum("price").alias("v"))
-    return ordered.running_totals(per, {"v": "running"}, [F.col("v").desc(), F.col("p")], ["y"]).select("y", "p", F.col("running").cast("double").alias("running"))
+    return placed.running_totals(per, {"v": "running"}, [("v", "desc"), "p"], ["y"]).select("y", "p", F.col("running").cast("double").alias("running"))
 
 
 @query("w07_group_totals", f"SELECT y, c, CAST(sum(r) OVER (PARTITION BY y) AS DOUBLE) AS total, count(*) OVER (PARTITION BY y) AS categories FROM ({_YEAR_TYPE})", _YEAR_ROLES)
@@ -507,9 +507,9 @@ _LINE = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "
 
 @query("w08_global_number", f"SELECT row_number() OVER (ORDER BY CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARCHAR), {', '.join(_LINE[2:])}) AS order_item_key, l_orderkey, l_linenumber, l_partkey FROM lineitem")
 def w08(m):
-    rows = m.table("lineitem").select(*_LINE)
-    order = [F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), *[F.col(c) for c in _LINE[2:]]]
-    return ordered.numbered(rows, order, as_name="order_item_key").select("order_item_key", "l_orderkey", "l_linenumber", "l_partkey")
+    as_text = {f"{c}_text": F.col(c).cast("string") for c in _LINE[:2]}
+    rows = m.table("lineitem").select(*_LINE).withColumns(as_text)
+    return placed.numbered(rows, [*as_text, *_LINE[2:]], as_name="order_item_key").select("order_item_key", "l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("w09_moving_average", """SELECT d, n, CASE WHEN row_number() OVER (ORDER BY d) >= 7 THEN avg(n) OVER (ORDER BY d ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) END AS ma

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vitrine.catalog.registry import query
-from vitrine.operators.ordered import numbered
+from vitrine.operators.placed import numbered
 from vitrine.plans import checks, gold
 
 # ---------------------------------------------------------------- cleaned tables
@@ -122,7 +122,7 @@ SELECT order_item_key, order_id, l_partkey AS product_id, l_suppkey AS seller_id
 CAST(price + freight_value AS DECIMAL(12,2)) AS total_item_value FROM v JOIN tidy ON order_id = l_orderkey WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 10)
 AND l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)""")
 def g06(m):
-    raw = numbered(m.table("lineitem").select(*_ITEM), [F.col(c) for c in _ITEM], as_name="order_item_key")
+    raw = numbered(m.table("lineitem").select(*_ITEM), _ITEM, as_name="order_item_key")
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     items = raw.select("order_item_key", F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("seller_id"), price.alias("price"),
                        (price * F.col("l_tax").cast("decimal(12,2)")).cast("decimal(12,2)").alias("freight_value"))

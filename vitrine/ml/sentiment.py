@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from vitrine.functions import numbers
 from vitrine.ml import search as search_, words
-from vitrine.operators.ordered import numbered, running_totals, tile_of
+from vitrine.operators.ordered import tile_of
+from vitrine.operators.placed import numbered, running_totals
 
 # Seed, test share, folds and search ranges.
 SEED, TEST_SHARE, FOLDS, TRIALS = 30, 0.2, 5, 50
@@ -37,7 +38,7 @@ def _parts(df: DataFrame, doc: str, label: str, seed: int, part: Column) -> Colu
     comparing a row's key with those lines gives its part.
     """
     keys = df.select(F.col(label).alias("_label"), _shuffle_key(doc, seed).alias("_key"))
-    placed = numbered(keys, [F.col("_key")], ["_label"], "_no", "_of")
+    placed = numbered(keys, ["_key"], ["_label"], "_no", "_of")
     ends = placed.groupBy("_label", part.alias("_part")).agg(F.max("_key").alias("_end")).collect()
     key, out = _shuffle_key(doc, seed), F.lit(None).cast("int")
     for row in sorted(ends, key=lambda r: (str(r["_label"]), -r["_part"])):
@@ -142,7 +143,7 @@ def report(predictions: DataFrame, names: Sequence[str] = words.LABELS, label: s
 def roc(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Points of the ROC curve, best score first, one per distinct score."""
     merged = scored.groupBy(score).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) != 1).alias("neg"))
-    run = running_totals(merged, {"pos": "tp", "neg": "fp"}, [F.col(score).desc()], totals_as={"pos": "_p", "neg": "_n"})
+    run = running_totals(merged, {"pos": "tp", "neg": "fp"}, [(score, "desc")], totals_as={"pos": "_p", "neg": "_n"})
     return run.select(score, "pos", "neg", "tp", "fp", numbers.ratio(F.col("tp"), F.col("_p")).alias("tpr"), numbers.ratio(F.col("fp"), F.col("_n")).alias("fpr"))
 
 

@@ -1,9 +1,10 @@
 """Order-dependent results over groups of any size.
 
-A plain window over few groups (or none) sends each group to one task. Here rows are
-range-partitioned on (group, order), sorted and written durably; each task then knows
-the places of its own rows, and only one line of totals per (group, partition) is
-combined across tasks.
+A plain window over few groups (or none) sends each group to one task. For numbering, rows
+are range-partitioned on (group, order), sorted and written durably; each task then knows
+the places of its own rows, and only one line of totals per (group, partition) is combined
+across tasks. Use it for frames that must not be computed twice; ``placed`` numbers all
+others without writing. Quantiles are found by counting, without any order.
 """
 
 from __future__ import annotations
@@ -31,13 +32,12 @@ def _laid_out(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> D
     return durable(placed)
 
 
-def _with_totals(rows: DataFrame, group: Sequence[str], values: Sequence[str] = ()) -> DataFrame:
+def _with_totals(rows: DataFrame, group: Sequence[str]) -> DataFrame:
     """Attach, per (group, partition), the first place and what came before in the group.
 
     The totals have at most one line per partition plus one per group.
     """
     sums = [F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first")]
-    sums += [F.sum(v).alias(f"_v{i}") for i, v in enumerate(values)]
     per_part = rows.groupBy(*group, "_part").agg(*sums)
     within = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
     before = within.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -48,8 +48,6 @@ def _with_totals(rows: DataFrame, group: Sequence[str], values: Sequence[str] =
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows_before"),
         F.sum("_n").over(within).alias("_group_rows"),
     ]
-    for i in range(len(values)):
-        columns += [F.sum(f"_v{i}").over(before).alias(f"_before{i}"), F.sum(f"_v{i}").over(within).alias(f"_total{i}")]
     totals = per_part.select(*columns)
     match = F.col("_part") == F.col("_p")
     for i, g in enumerate(group):
@@ -74,25 +72,6 @@ def numbered(df: DataFrame, order: Sequence[Column], group: Sequence[str] = (),
     return out.drop(*_SCRATCH)
 
 
-def running_totals(df: DataFrame, values: dict[str, str], order: Sequence[Column], group: Sequence[str] = (),
-                   number_as: str | None = None, totals_as: dict[str, str] | None = None) -> DataFrame:
-    """Running sums along ``order`` within each group: ``values`` maps a column to the name of its running sum,
-    ``totals_as`` to the name of its group total."""
-    names = list(values)
-    out = _with_totals(_laid_out(df, group, order), group, names)
-    here = Window.partitionBy(*group, "_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    added = {}
-    for i, v in enumerate(names):
-        so_far, before = F.sum(v).over(here), F.col(f"_before{i}")
-        added[values[v]] = F.when(before.isNull(), so_far).otherwise(before + F.coalesce(so_far, F.lit(0)))
-        if totals_as and v in totals_as:
-            added[totals_as[v]] = F.col(f"_total{i}")
-    if number_as:
-        added[number_as] = _place()
-    scratch = [f"_{kind}{i}" for kind in ("before", "total") for i in range(len(names))]
-    return out.select("*", *[c.alias(n) for n, c in added.items()]).drop(*_SCRATCH, *scratch)
-
-
 def tile_of(place: Column, rows: Column, tiles: int) -> Column:
     """NTILE from a row's place: the first ``rows mod tiles`` tiles hold one row more."""
     small = F.floor(rows / tiles)
@@ -103,11 +82,6 @@ def tile_of(place: Column, rows: Column, tiles: int) -> Column:
     ).cast("int")
 
 
-def tiled(df: DataFrame, tiles: int, order: Sequence[Column], group: Sequence[str] = (), as_name: str = "tile") -> DataFrame:
-    out = numbered(df, order, group, "_no", "_of")
-    return out.withColumn(as_name, tile_of(F.col("_no"), F.col("_of"), tiles)).drop("_no", "_of")
-
-
 #: Bins of a round, and rounds, of the search for a quantile.
 _BINS, _ROUNDS = 4096, 2
 

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vitrine.functions import numbers, rules
 from vitrine.operators.keyed import first_per_key, leaders
-from vitrine.operators.ordered import numbered, tile_of
+from vitrine.operators.ordered import tile_of
+from vitrine.operators.placed import numbered
 
 
 def _row(name: str, value: Column, meaning: str, logic: str, label: str, detail: Column | None, verdict: Column | str) -> Column:
@@ -279,7 +280,7 @@ def product_concentration(items: DataFrame, fact_orders: DataFrame, dim_date: Da
     """
     sold = sold_items(items, fact_orders, dim_date, ["product_id"])
     per_product = sold.groupBy("year_number", "product_id").agg(F.sum("price").alias("revenue"))
-    placed = numbered(per_product, [F.col("revenue").desc(), F.col("product_id")], ["year_number"], "place", "products")
+    placed = numbered(per_product, [("revenue", "desc"), "product_id"], ["year_number"], "place", "products")
     kept = F.col("place") <= F.floor(F.col("products") * F.lit(share))
     covered = placed.groupBy("year_number").agg(
         F.count_if(kept).alias("top"), F.sum(F.when(kept, F.col("revenue"))).alias("top_revenue"), F.sum("revenue").alias("all_revenue")
@@ -459,7 +460,7 @@ def worst_state(history: DataFrame, least: int = 20) -> DataFrame:
 def top_quartile(history: DataFrame) -> DataFrame:
     """Spend share of the top quarter of customers per year, numbered without one task per year."""
     placed = numbered(history.select("year_number", "customer_unique_id", "spend"),
-                      [F.col("spend").asc_nulls_first(), F.col("customer_unique_id")], ["year_number"], "place", "of")
+                      ["spend", "customer_unique_id"], ["year_number"], "place", "of")
     tile = tile_of(F.col("place"), F.col("of"), 4)
     quarters = placed.withColumn("tile", tile).groupBy("year_number").agg(
         F.count_if(F.col("tile") == 4).alias("customers"), F.sum(F.when(F.col("tile") == 4, F.col("spend"))).alias("top"), F.sum("spend").alias("total"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitrine.functions import dates, numbers, text
 from vitrine.operators.keyed import first_per_key
-from vitrine.operators.ordered import numbered
+from vitrine.operators.placed import numbered
 
 LOADED = "load_date_timestamp"
 
@@ -81,7 +81,7 @@ def clean_geolocation(raw: DataFrame, keep_spaces: bool = False, stamp: bool = T
 
 def clean_order_items(raw: DataFrame, stamp: bool = True, with_key: bool = True) -> DataFrame:
     """Typed items; the key numbers them by order and by item id compared as text ('10' before '2')."""
-    rows = numbered(raw, [F.col("order_id"), F.col("order_item_id"), F.col("product_id"), F.col("seller_id")],
+    rows = numbered(raw, ["order_id", "order_item_id", "product_id", "seller_id"],
                     as_name="order_item_key") if with_key else raw.withColumn("order_item_key", F.lit(None).cast("bigint"))
     return stamped(rows.select(
         "order_id",
