@@ -106,6 +106,24 @@ def m17(m):
     return sentiment.search(rows, spaces, categories=_MIXED[0], amounts=_MIXED[1], flags=_MIXED[2])
 
 
+_MOMENTS = ("total_payment", "delivery_days_actual", "is_late_delivery")
+
+
+@query("m17_moments", """WITH r AS (SELECT order_id % 5 AS fold, CASE WHEN review_score >= 4 THEN 1 ELSE 0 END AS label, CAST(total_payment AS DECIMAL(18,4)) AS total_payment,
+CAST(delivery_days_actual AS DECIMAL(18,4)) AS delivery_days_actual, CAST(is_late_delivery::INT AS DECIMAL(18,4)) AS is_late_delivery
+FROM fact_orders WHERE delivery_days_actual IS NOT NULL AND is_late_delivery IS NOT NULL AND review_score IS NOT NULL),
+u AS (UNPIVOT r ON total_payment, delivery_days_actual, is_late_delivery INTO NAME feature VALUE x),
+g AS (SELECT label, CAST(f AS INTEGER) AS held_out, feature, count(*) AS n, sum(x)::DOUBLE AS total, sum(CAST(x AS DECIMAL(19,4)) * CAST(x AS DECIMAL(19,4)))::DOUBLE AS square
+    FROM u JOIN (SELECT unnest(range(5)) AS f) ON fold <> f GROUP BY 1, 2, 3)
+SELECT *, round(total / n, 6) AS mean, round(square / n - total / n * (total / n), 3) AS variance FROM g""", "fact_orders")
+def m17_moments(m):
+    """What Gaussian naive Bayes learns from the features that need no fitting: moments by fold and class."""
+    rows = m.fact_orders().dropna(subset=["delivery_days_actual", "is_late_delivery", "review_score"])
+    rows = rows.select((F.col("order_id") % 5).alias("fold"), (F.col("review_score") >= 4).cast("int").alias("label"), *[F.col(c).cast("int").cast("decimal(18,4)").alias(c) if c.startswith("is_") else
+                       F.col(c).cast("decimal(18,4)").alias(c) for c in _MOMENTS])
+    return sentiment.fold_moments(rows, _MOMENTS).withColumns({"mean": F.round("mean", 6), "variance": F.round("variance", 3)})
+
+
 _CELLS = "c AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (y = p)::DOUBLE AS ok, " + ", ".join(
     f"count(*) FILTER (y = {i} AND p = {i})::DOUBLE AS t{i}, count(*) FILTER (p = {i})::DOUBLE AS s{i}, count(*) FILTER (y = {i})::DOUBLE AS w{i}" for i in (0, 1)) + \
     " FROM (SELECT quality AS y, CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE 1 END AS p FROM labels))"

@@ -188,6 +188,23 @@ def search(rows: DataFrame, spaces: dict[str, search_.Space], trials: int = TRIA
     return rows.sparkSession.createDataFrame(lines, _RESULT).orderBy(F.col("objective").desc(), "model", "trial")
 
 
+def fold_moments(rows: DataFrame, features: Sequence[str], folds: int = FOLDS, label: str = "label", fold: str = "fold") -> DataFrame:
+    """Number, sum and sum of squares of each feature among the training rows of every fold and label, with mean and variance.
+
+    For features that no fold learns. One grouped pass over all rows; a fold's training rows are all rows less its own.
+    """
+    kept = [e for f in features for e in (F.sum(f).alias(f"s_{f}"), F.sum(F.col(f) * F.col(f)).alias(f"q_{f}"))]
+    per = rows.groupBy(label, fold).agg(F.count(F.lit(1)).alias("n"), *kept)
+    names = ["n", *[f"{k}_{f}" for f in features for k in ("s", "q")]]
+    less = lambda name, i: (F.sum(name) - F.coalesce(F.sum(F.when(F.col(fold) == i, F.col(name))), F.lit(0))).alias(f"{name}_{i}")
+    wide = per.groupBy(label).agg(*[less(name, i) for name in names for i in range(folds)])
+    line = lambda i, f: F.struct(F.lit(i).alias("held_out"), F.lit(f).alias("feature"), F.col(f"n_{i}").alias("n"), F.col(f"s_{f}_{i}").cast("double").alias("total"),
+                                 F.col(f"q_{f}_{i}").cast("double").alias("square"))
+    long = wide.select(label, F.inline(F.array(*[line(i, f) for i in range(folds) for f in features])))
+    mean = numbers.ratio(F.col("total"), F.col("n"))
+    return long.withColumns({"mean": mean, "variance": numbers.ratio(F.col("square"), F.col("n")) - mean * mean})
+
+
 # ---------------------------------------------------------------- scoring and storage
 
 def scored(model: PipelineModel, df: DataFrame, names: Sequence[str] = words.LABELS) -> DataFrame:

@@ -64,15 +64,15 @@ def iqr_flagged(df: DataFrame, value: str, as_name: str = "is_outlier") -> DataF
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50, log_scale: bool = False) -> DataFrame:
-    """Equal-width bins from the least to the greatest value, the last one closed; empty bins count 0."""
+    """Equal-width bins from the least to the greatest value, the last one closed; empty bins count 0. Two scans, one for the ends and one
+    that counts bins inside the map task."""
     x = F.col(value).cast("double")
     values = df.filter(x > 0 if log_scale else x.isNotNull()).select((F.log10(x) if log_scale else x).alias("_x"))
-    merged = values.groupBy("_x").agg(F.count(F.lit(1)).alias("_copies"))
-    ends = merged.agg(F.struct(F.min("_x").alias("low"), F.max("_x").alias("high")).alias("e")).scalar()
+    ends = values.agg(F.struct(F.min("_x").alias("low"), F.max("_x").alias("high")).alias("e")).scalar()
     width = (F.col("_ends.high") - F.col("_ends.low")) / bins
     slot = F.when(width == 0, 0).otherwise(F.least(F.lit(bins - 1), F.floor((F.col("_x") - F.col("_ends.low")) / F.nullif(width, F.lit(0.0)))))
-    counted = merged.withColumn("_ends", ends).groupBy(slot.cast("int").alias("bin")).agg(F.sum("_copies").alias("n"))
-    frame = merged.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).withColumn("_ends", ends)
+    counted = values.withColumn("_ends", ends).groupBy(slot.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    frame = values.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin")).withColumn("_ends", ends)
     return frame.join(counted, "bin", "left").select(
         "bin", (F.col("_ends.low") + F.col("bin") * width).alias("from_value"), (F.col("_ends.low") + (F.col("bin") + 1) * width).alias("to_value"),
         F.coalesce("n", F.lit(0)).alias("n"))
