@@ -31,7 +31,8 @@ CASE WHEN k = 'late_delivery_rate' THEN {_pct('kpi_value')} ELSE 'R$ ' || format
 {_tone('context_meaning')} AS trend_tone, kpi_meaning AS meaning FROM c WHERE k IS NOT NULL
 UNION ALL SELECT year_number, 'yoy', 'YoY Revenue Growth', g, {_pct('g', '+')}, context_name, context_meaning, {_tone('context_meaning')}, 'Year-over-year GMV change' FROM c WHERE k = 'gmv'""", kpis._ALL)
 def d01(m):
-    return dashboards.overview_cards(kpi.overview_view(m.fact_orders(), m.fact_order_items(), m.dim_date()))
+    """Every card comes from a KPI of the orders, so the items are not read."""
+    return dashboards.overview_cards(kpi.overview_view(m.fact_orders(), None, m.dim_date()))
 
 
 _LATEST = """WITH v AS (SELECT year_number, review_score FROM fact_orders JOIN dim_date ON date_key = purchase_date_key WHERE review_score IS NOT NULL AND order_status NOT IN ('created', 'approved')),

@@ -180,10 +180,13 @@ def overview_kpi(which: str, fact_orders: DataFrame, items: DataFrame, dim_date:
     return _unfold(years.join(sellers, "year_number"), [_SELLER_ROWS[which]()])
 
 
-def overview_view(fact_orders: DataFrame, items: DataFrame, dim_date: DataFrame) -> DataFrame:
-    """All eight overview KPIs from one aggregate of the orders and one of the items."""
-    years = overview_by_year(fact_orders, dim_date).join(sellers_by_year(items, fact_orders, dim_date), "year_number", "left")
+def overview_view(fact_orders: DataFrame, items: DataFrame | None, dim_date: DataFrame) -> DataFrame:
+    """All eight overview KPIs from one aggregate of the orders and one of the items; without ``items`` the six that orders tell alone."""
+    years = overview_by_year(fact_orders, dim_date)
     rows = F.array(*[make() for make in _ORDER_ROWS.values()])
+    if items is None:
+        return years.select("year_number", F.inline(rows))
+    years = years.join(sellers_by_year(items, fact_orders, dim_date), "year_number", "left")
     seller_rows = F.when(F.col("active_sellers").isNotNull(), F.array(*[make() for make in _SELLER_ROWS.values()]))
     none = F.slice(rows, 1, 0)
     return years.select("year_number", F.inline(F.concat(rows, F.coalesce(seller_rows, none))))
