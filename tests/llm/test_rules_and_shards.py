@@ -1,11 +1,13 @@
 """Quality rules, language identification and sharding."""
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import ODD
@@ -131,30 +133,82 @@ def test_shards_of_the_given_table(spark, shards):
     assert 0.06 < np.mean([r.grown_shard == 8 for r in shards]) < 0.17
 
 
-def test_movement_stays_in_changed_subtrees(spark):
-    keys = spark.range(20000)
-    old = {"r0": {"a": {0: 1.0, 1: 1.0}, "b": {2: 2.0}}, "r1": {"c": {3: 1.0, 4: 3.0}}}
-    new = {"r0": {"a": {0: 1.0, 1: 1.0}, "b": {2: 2.0}}, "r1": {"c": {3: 1.0, 4: 5.0}}}
-    rows = keys.select(sharding.shard_of(F.col("id"), old).alias("a"), sharding.shard_of(F.col("id"), new).alias("b")).collect()
-    assert all(r.a == r.b or r.b == 4 for r in rows)
-    count = Counter(r.a for r in rows)
-    assert all(abs(count[s] / 20000 - w / 8) < 0.02 for s, w in {0: 1, 1: 1, 2: 2, 3: 1, 4: 3}.items())
-    gone = {"r0": {"a": {0: 1.0, 1: 1.0}, "b": {2: 0.0}}, "r1": {"c": {3: 1.0, 4: 3.0}}}
-    moved = keys.select(sharding.shard_of(F.col("id"), old).alias("a"), sharding.shard_of(F.col("id"), gone).alias("b")).collect()
-    assert all(r.a == r.b or r.a == 2 for r in moved) and all(r.b != 2 for r in moved)
+def plain_descent(key, tree, path=""):
+    """Region, rack and shard of a key, one level after the other."""
+    weight = lambda n: sum(map(weight, n.values())) if isinstance(n, dict) else n
+    while isinstance(tree, dict):
+        draws = []
+        for name, child in tree.items():
+            if weight(child) > 0:
+                first = xxhash.xxh64_intdigest(key.encode(), 42)
+                u = ((xxhash.xxh64_intdigest(f"{path}/{name}".encode(), first) >> 11) + 0.5) / 2**53
+                draws.append((-math.log(u) / weight(child), name))
+        best = min(d for d, _ in draws)
+        name = next(n for d, n in draws if d == best)
+        tree, path = tree[name], f"{path}/{name}"
+    return name
+
+
+OLD = {"r0": {"a": {0: 1.0, 1: 1.0}, "b": {2: 2.0}}, "r1": {"c": {3: 1.0, 4: 3.0}, "d": {5: 4.0, 6: 0.0}}, "r2": {"e": {7: 1.0}}}
+
+
+def test_every_level_decides_as_in_a_plain_descent(spark):
+    keys = spark.range(3000)
+    for tree in (OLD, sharding.even_tree(8), sharding.even_tree(9), sharding.even_tree(1)):
+        got = keys.select("id", sharding.shard_of(F.col("id"), tree).alias("s")).collect()
+        assert all(r.s == plain_descent(str(r.id), tree) for r in got)
+    # a flat choice among the leaves would differ
+    flat = {s: w for racks in OLD.values() for rack in racks.values() for s, w in rack.items()}
+    assert any(plain_descent(str(i), OLD) != plain_descent(str(i), flat) for i in range(100))
+
+
+def test_shards_get_their_share(spark):
+    count = Counter(r.s for r in spark.range(26000).select(sharding.shard_of(F.col("id"), OLD).alias("s")).collect())
+    assert all(abs(count[s] / 26000 - w / 13) < 0.02 for s, w in {0: 1, 1: 1, 2: 2, 3: 1, 4: 3, 5: 4, 6: 0, 7: 1}.items())
+
+
+WHERE = {s: (region, rack) for region, racks in OLD.items() for rack, shards in racks.items() for s in shards}
+
+
+@pytest.mark.parametrize(("region", "rack", "shard", "weight"), [("r1", "c", 4, 6.0), ("r1", "d", 6, 2.0), ("r0", "b", 2, 5.0), ("r0", "a", 1, 0.25), ("r2", "e", 7, 0.0)])
+def test_movement_stays_in_changed_subtrees(spark, region, rack, shard, weight):
+    """On each level keys move only to the node that grew, or only from the one that shrank; nothing moves between untouched nodes."""
+    new = {**OLD, region: {**OLD[region], rack: {**OLD[region][rack], shard: weight}}}
+    grows = weight > OLD[region][rack][shard]
+    rows = spark.range(15000).select(sharding.shard_of(F.col("id"), OLD).alias("a"), sharding.shard_of(F.col("id"), new).alias("b")).collect()
+    moved = [(r.a, r.b) for r in rows if r.a != r.b]
+    assert moved
+    for a, b in moved:
+        here, there = (b, a) if grows else (a, b)
+        assert WHERE[here][0] == region
+        if WHERE[there][0] == region:
+            assert WHERE[here][1] == rack
+            if WHERE[there][1] == rack:
+                assert here == shard
 
 
 def test_shards_of_odd_rows(spark, make_docs):
-    docs = make_docs([(None, "a"), (None, None), (3, ""), (3, ""), (4, "x")]).withColumn("shard", F.lit("clash"))
-    rows = sharding.place(docs, sharding.even_tree(2), parts=4).collect()
-    slots = defaultdict(list)
+    docs = make_docs([(None, "a"), (None, None), (3, ""), (3, ""), (4, "x")])
+    docs = docs.withColumns({c: F.lit(f"clash {c}") for c in ("shard", "_at", "_shard", "_part", "_row", "_before", "at", "part", "row", "known", "order", "before", "n")})
+    out = sharding.place(docs, sharding.even_tree(2), parts=4)
+    rows, slots = out.collect(), defaultdict(list)
     for r in rows:
         slots[r.shard].append(r.slot)
+        assert r["_at"] == "clash _at" and r["at"] == "clash at" and r["row"] == "clash row"
+    assert out.columns == [c for c in docs.columns if c != "shard"] + ["shard", "grown_shard", "slot"]
     assert len(rows) == 5 and all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert len({r.shard for r in rows if r.doc_id is None}) == 1
     assert sharding.place(docs.limit(0), sharding.even_tree(2)).count() == 0
 
 
+def test_rows_of_one_key_are_spread(spark):
+    docs = spark.range(4000).select(F.lit(7).cast("long").alias("doc_id"), F.col("id").alias("size"))
+    out = sharding.place(docs, sharding.even_tree(8))
+    assert [r.slot for r in out.orderBy("slot").collect()] == list(range(4000)) and out.select("shard").distinct().count() == 1
+    parts = docs.select(F.pmod(F.xxhash64(F.lit("part"), F.col("doc_id"), "doc_id", "size"), F.lit(sharding.PARTS)).alias("p")).distinct().count()
+    assert parts > 1000
+
+
 def test_a_small_sample_gives_the_verdicts_of_all_rows(spark):
     """One in seven is poor; of the rows of 100 words four fifths are, too few to reject them, but over nine tenths in a balanced sample."""
     rng = np.random.default_rng(6)

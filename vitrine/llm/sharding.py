@@ -25,36 +25,35 @@ def _weight(node: Mapping | float) -> float:
     return sum(map(_weight, node.values())) if isinstance(node, Mapping) else float(node)
 
 
-def _draws(key: Column, node: Mapping | float, path: str) -> Column:
-    """The draw of a subtree: exponentially distributed at the rate of its weight, so the smaller wins.
+def _draw(key: Column, path: str, weight: float) -> Column:
+    """A node's own draw, exponentially distributed at the rate of its weight, so the smallest of its siblings' wins in proportion.
 
-    A shard draws ``-ln(u) / weight`` with ``u`` hashed from key and path; a subtree's draw is the smallest in it (the minimum of
-    exponentials has the sum of their rates). A weight that grows therefore only pulls keys into the subtree that holds it, on every level.
+    ``u`` is hashed from key and path alone, so a node's draw changes with its own weight and nothing else: a node that grows only pulls
+    keys to itself, one that shrinks only gives keys up.
     """
-    if isinstance(node, Mapping):
-        below = [_draws(key, child, f"{path}/{name}") for name, child in node.items() if _weight(child) > 0]
-        return F.least(*below) if len(below) > 1 else below[0]
     u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(path)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    return -F.log(u) / F.lit(float(node))
+    return -F.log(u) / F.lit(weight)
 
 
 def _descend(key: Column, node: Mapping | float, path: str, shard: int | None = None) -> Column:
-    """The shard reached by choosing the child with the smallest draw, level by level; equal draws go to the child named first."""
+    """The shard reached by choosing the child with the smallest draw, level by level; equal draws go to the child named first.
+
+    A level draws for the children of the chosen node only.
+    """
     if not isinstance(node, Mapping):
         return F.lit(shard)
     children = [(name, child) for name, child in node.items() if _weight(child) > 0]
     if not children:
         raise ValueError("a tree needs a shard with a positive weight")
-    draws = [_draws(key, child, f"{path}/{name}") for name, child in children]
-    out = None
-    for i in reversed(range(len(children))):
-        name, child = children[i]
-        deeper = _descend(key, child, f"{path}/{name}", name if not isinstance(child, Mapping) else None)
-        if out is None:
-            out = deeper
-        else:
-            wins = draws[i] <= (F.least(*draws[i + 1:]) if len(draws) - i > 2 else draws[i + 1])
-            out = F.when(wins, deeper).otherwise(out)
+    below = [_descend(key, child, f"{path}/{name}", name if not isinstance(child, Mapping) else None) for name, child in children]
+    if len(children) == 1:
+        return below[0]
+    draws = F.array(*[_draw(key, f"{path}/{name}", _weight(child)) for name, child in children])
+    # the draws of a level are worked out once and searched for the least
+    chosen = F.get(F.transform(F.array(draws), lambda d: F.array_position(d, F.array_min(d))), F.lit(0))
+    out = below[-1]
+    for at in reversed(range(len(children) - 1)):
+        out = F.when(chosen == at + 1, below[at]).otherwise(out)
     return out
 
 
@@ -66,18 +65,20 @@ def shard_of(key: Column, tree: Tree) -> Column:
 def place(docs: DataFrame, tree: Tree, key: str = "doc_id", grown: Tree | None = None, parts: int = PARTS) -> DataFrame:
     """Add ``shard``, ``slot`` (its place in the shard, gapless from 0) and ``grown_shard`` (the shard in ``grown``, else null).
 
-    Slots run by part (a hash of the key), then key, so no task numbers a whole shard: a part's rows are numbered together, and one line
-    of totals per shard and part tells how many rows come before. Rows with one key stay in one part; repeated rows get slots of their own,
-    a null key counts as empty text. Columns of the three names are replaced; an empty table gives an empty result.
+    Slots run by part, then key, so no task numbers a whole shard: a part's rows are numbered together, and one line of totals per shard
+    and part tells how many rows come before. The part is a hash of the key and the row's other numbers and texts, so that rows which share
+    a key are spread; rows equal in all of them stay together. Repeated rows get slots of their own, a null key counts as empty text.
+    Columns of the three names are replaced, all others pass whatever their names; an empty table gives an empty result.
     """
-    known = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    part = F.pmod(F.xxhash64(known, F.lit("part")), F.lit(parts)).cast("int")
     rest = docs.drop("shard", "slot", "grown_shard")
-    placed = rest.withColumns({"shard": shard_of(F.col(key), tree), "grown_shard": shard_of(F.col(key), grown) if grown else F.lit(None).cast("int"), "_part": part})
-    earlier = Window.partitionBy("_shard").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
-    totals = docs.select(shard_of(F.col(key), tree).alias("_shard"), part.alias("_at")).groupBy("_shard", "_at").agg(F.count(F.lit(1)).alias("_n"))
-    totals = totals.select("_shard", "_at", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("shard", "_part").orderBy(known, *[F.col(c) for c, t in rest.dtypes if c != key and t in ("bigint", "int", "string")])
-    numbered = placed.withColumn("_row", F.row_number().over(inside) - 1)
-    joined = numbered.join(totals, (F.col("shard") == F.col("_shard")) & (F.col("_part") == F.col("_at")))
-    return joined.withColumn("slot", (F.col("_before") + F.col("_row")).cast("long")).drop("_shard", "_at", "_before", "_row", "_part")
+    plain = [F.col(c) for c, t in rest.dtypes if t in ("bigint", "int", "smallint", "tinyint", "string", "boolean", "date", "timestamp")]
+    grown_shard = shard_of(F.col(key), grown) if grown else F.lit(None).cast("int")
+    rows = rest.select(F.struct(*rest.columns).alias("row"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("known"), F.struct(F.lit(0), *plain).alias("order"),
+                       shard_of(F.col(key), tree).alias("shard"), grown_shard.alias("grown_shard"),
+                       F.pmod(F.xxhash64(F.lit("part"), F.col(key), *plain), F.lit(parts)).cast("int").alias("part"))
+    earlier = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    totals = totals.select("shard", "part", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("shard", "part").orderBy("known", "order")) - 1
+    joined = rows.withColumn("at", inside).join(totals, ["shard", "part"])
+    return joined.select("row.*", "shard", "grown_shard", (F.col("before") + F.col("at")).cast("long").alias("slot"))
