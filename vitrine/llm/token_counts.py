@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache, partial
 
 import numpy as np
@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from vitrine.llm.common import tokenizer_path
 
-#: One encode call gets texts of about this many characters; a longer text is split.
-BATCH_CHARS = 1 << 18
+#: One encode call gets texts of about this many UTF-8 bytes; a longer text is split.
+BATCH_BYTES = 1 << 18
 #: A single space between two word characters. Pre-tokens hold a space only at their start, so the text may be cut before it.
 _SAFE = re.compile(r"(?<=\w) (?=\w)")
 #: White space that the faster library is not trusted with; it fails at about ten times as much.
@@ -72,46 +72,71 @@ def named_library(path: str) -> Callable[[str], Sequence[int]]:
     return lambda text: np.asarray(library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
-def safe_pieces(text: str, size: int = BATCH_CHARS) -> list[str]:
-    """``text`` cut into pieces of about ``size`` characters whose token counts add up to that of the whole.
+@lru_cache(maxsize=4)
+def batch_counter(path: str) -> Callable[[list[str]], list[int]]:
+    """A function from a batch of texts to their numbers of tokens, by one call of the library for ``path``, without added special tokens."""
+    if path.endswith(".model"):
+        import sentencepiece
+
+        encode = partial(sentencepiece.SentencePieceProcessor(model_file=path).encode, num_threads=1)
+        return lambda batch: list(map(len, encode(batch)))
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core; Spark runs tasks side by side
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    return lambda batch: list(map(len, library.encode_batch_fast(batch, add_special_tokens=False)))
+
+
+def safe_pieces(text: str, size: int = BATCH_BYTES) -> list[str]:
+    """``text`` cut into pieces of about ``size`` UTF-8 bytes whose token counts add up to that of the whole.
 
     Cuts lie before a single space between word characters. A run without such a place stays whole.
     """
+    if len(text) * 4 <= size or len(text.encode()) <= size:
+        return [text]
     pieces, begin = [], 0
-    while len(text) - begin > size:
-        found = _SAFE.search(text, begin + size)
+    while begin < len(text):
+        # as many characters as the bytes allow: no character has fewer than one byte
+        window = text[begin : begin + size].encode()
+        if len(window) <= size and begin + size >= len(text):
+            break
+        reach = len(window[:size].decode(errors="ignore"))
+        found = _SAFE.search(text, begin + reach)
         if not found:
             break
-        pieces.append(text[begin:found.start()])
+        pieces.append(text[begin : found.start()])
         begin = found.start()
     pieces.append(text[begin:])
     return pieces
 
 
-def count_texts(texts: list[str | None], path: str, size: int = BATCH_CHARS) -> list[int]:
-    """Tokens of each text, encoded in batches of about ``size`` characters whatever the lengths of the texts."""
-    encode, counts = encoder(path), [0] * len(texts)
+def count_texts(texts: Iterable[str | None], path: str, size: int = BATCH_BYTES) -> list[int]:
+    """Tokens of each text, encoded in batches of about ``size`` bytes whatever the lengths of the texts; no more than a batch is held."""
+    count, counts = batch_counter(path), []
     splits = not path.endswith(".model")  # sentencepiece joins words across spaces, so its texts stay whole
     batch: list[str] = []
     owners: list[int] = []
+    held = 0
 
     def flush() -> None:
-        for owner, n in zip(owners, map(len, map(encode, batch)), strict=True):
+        for owner, n in zip(owners, count(batch) if batch else [], strict=True):
             counts[owner] += n
         batch.clear()
         owners.clear()
 
-    held = 0
     for i, text in enumerate(texts):
+        counts.append(0)
         for piece in safe_pieces(text or "", size) if splits else [text or ""]:
-            if held and held + len(piece) > size:
+            weight = len(piece.encode())
+            if held and held + weight > size:
                 flush()
                 held = 0
             batch.append(piece)
             owners.append(i)
-            held += len(piece)
-    if batch:
-        flush()
+            held += weight
+    flush()
     return counts
 
 
@@ -126,7 +151,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text: str = "text", l
     @F.arrow_udf("long")
     def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array(count_texts(texts.to_pylist(), path), pa.int64())
+            yield pa.array(count_texts((t.as_py() for t in texts), path), pa.int64())
 
     whole = F.coalesce(F.col(text), F.lit(""))
     counted = docs.withColumns({"n_bytes": F.octet_length(whole).cast("long"), "n_tokens": lengths(F.col(text))})
