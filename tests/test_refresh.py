@@ -41,7 +41,7 @@ def lake(spark, tmp_path_factory):
         folder.mkdir(exist_ok=True)
         with open(folder / f"{table}.csv", "w", newline="", encoding="utf8") as handle:
             writer = csv.writer(handle)
-            writer.writerow(bronze.COLUMNS[table].split())
+            writer.writerow(bronze.COLUMNS[table])
             writer.writerows(rows)
     return str(source), target, refresh.run_refresh(spark, str(source), target)
 

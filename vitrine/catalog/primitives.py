@@ -21,9 +21,9 @@ from vitrine.sources import bronze, store
 def s01(m):
     """Write the orders as landing files, read them back as strings."""
     path = scratch_path(m.spark, "landing")
-    cols = [F.lit("") if c not in ("order_id", "customer_id", "order_status") else F.col(c) for c in bronze.COLUMNS["orders"].split()]
+    cols = [F.lit("") if c not in ("order_id", "customer_id", "order_status") else F.col(c) for c in bronze.COLUMNS["orders"]]
     o = m.table("orders").select(F.col("o_orderkey").alias("order_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderstatus").alias("order_status"))
-    o.select(*[c.cast("string").alias(n) for c, n in zip(cols, bronze.COLUMNS["orders"].split())]).write.option("header", True).csv(path)
+    o.select(*[c.cast("string").alias(n) for c, n in zip(cols, bronze.COLUMNS["orders"])]).write.option("header", True).csv(path)
     return bronze.read_raw(m.spark, "orders", path, {"orders": ""}).select("order_id", "customer_id", "order_status")
 
 
@@ -31,7 +31,7 @@ def s01(m):
 def s02(m):
     """Write whole documents as quoted fields with line breaks, read them back."""
     path = scratch_path(m.spark, "reviews")
-    names = bronze.COLUMNS["order_reviews"].split()
+    names = list(bronze.COLUMNS["order_reviews"])
     filled = {"review_id": F.col("doc_id").cast("string"), "review_comment_message": F.col("text")}
     m.table("documents").select(*[filled.get(n, F.lit("x")).alias(n) for n in names]).write.option("header", True).option("escape", '"').option(
         "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
