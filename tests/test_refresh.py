@@ -6,6 +6,7 @@ import os
 import threading
 
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from vitrine.functions import rules
@@ -233,6 +234,14 @@ def test_null_categories_have_no_prior_year(spark):
     assert [(r["year_number"], r["context_meaning"]) for r in kpi.fastest_growing_category(df).collect()] == [(2018, "a trending upward")]
 
 
+def test_models_score_in_a_session_that_observed_something(spark, tmp_path):
+    store.replace_table(spark.range(3), str(tmp_path), "t")  # its row count is an observation
+    rows = spark.createDataFrame([(float(i % 2), [float(i % 2), float(i % 5)]) for i in range(40)], "label double, x array<double>")
+    shaped = rows.select("label", array_to_vector("x").alias("features"))
+    model = sentiment.logistic(shaped)
+    assert not model.hasSummary and model.transform(shaped).filter("prediction = label").count() == 40
+
+
 def test_model_round_trip(spark, tmp_path):
     good, bad = "produto bom chegou rápido gostei muito", "produto ruim chegou quebrado não gostei"
     rows = spark.createDataFrame([(i, f"{good if i % 2 else bad} caso {i % 5}", 5 if i % 2 else 1) for i in range(120)], "id int, review_text string, review_score int")

@@ -72,8 +72,11 @@ def logistic(train: DataFrame, C: float = 1.0, max_iter: int = 1000, class_weigh
              tol: float = TOLERANCE):
     """Fit L2 logistic regression whose penalty equals strength ``C`` on the summed loss."""
     rows, n = _weighted(train, label, class_weight == "balanced")
-    return LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight", regParam=1.0 / (C * n), elasticNetParam=0.0,
-                              maxIter=max_iter, tol=tol, standardization=False).fit(rows)
+    model = LogisticRegression(featuresCol=features, labelCol=label, weightCol="weight", regParam=1.0 / (C * n), elasticNetParam=0.0,
+                               maxIter=max_iter, tol=tol, standardization=False).fit(rows)
+    # The training summary holds on to the session, which tasks cannot be sent once anything in it was observed.
+    model._java_obj.setSummary(train.sparkSession.sparkContext._jvm.scala.Option.empty())
+    return model
 
 
 def naive_bayes(train: DataFrame, label: str = "label", features: str = "features"):
