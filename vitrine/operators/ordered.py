@@ -94,19 +94,22 @@ def _bin(x: Column, low: Column, high: Column) -> Column:
 
 
 def _within(values: DataFrame, spans: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Each value beside the span that holds it; the spans of one group do not overlap."""
-    named = spans.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    """Each value beside the span that holds it; the spans of one group do not overlap.
+
+    Spans go to the values, not values to their group's task: a group (often the only one) has a line a wanted place at most.
+    """
+    named = F.broadcast(spans.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)}))
     same = (F.col("_x") >= F.col("_low")) & (F.col("_x") <= F.col("_high"))
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     return values.join(named, same).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
-def _holding(counted: DataFrame, part: Sequence[str], along: str) -> DataFrame:
-    """Lines of ``counted`` (number ``_n``) that hold a wanted place, with ``_before`` and ``_places`` narrowed to the line."""
+def _holding(counted: DataFrame, part: Sequence[str], along: str, places: Column) -> DataFrame:
+    """Lines of ``counted`` (number ``_n``) that hold a wanted place, with ``_before`` and their ``_places``."""
     so_far = Window.partitionBy(*part).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(so_far), F.lit(0)))
-    inside = F.filter("_places", lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_n")))
+    inside = F.filter(places, lambda p: (p >= F.col("_before")) & (p < F.col("_before") + F.col("_n")))
     return placed.withColumn("_places", inside).filter(F.size("_places") > 0)
 
 
@@ -115,7 +118,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[floa
 
     Values are counted in bins between their least and greatest; the next round counts only what lies in the bins that hold a wanted
     place, between the values that occur there. What is left after the rounds is merged by value and counted up. Each round is one scan with
-    map-side counts; a line a bin is shuffled. NaN counts as infinity.
+    map-side counts; a line a bin is shuffled. Counts carry plain numbers only, as a list among them would have every value sorted first.
+    NaN counts as infinity.
     """
     values = df.select(*group, F.inline(F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.nanvl(F.col(c).cast("double"), F.lit(float("inf"))).alias("_x")) for c in columns]))).filter("_x IS NOT NULL")
@@ -123,14 +127,14 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], points: Sequence[floa
     spot = lambda n, p: (n - 1) * F.lit(float(p))
     places = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(spot(F.col("_all"), p)), F.ceil(spot(F.col("_all"), p))) for p in points])))
     whole = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all"), F.min("_x").alias("_low"), F.max("_x").alias("_high"))
-    spans = whole.select(*keys, "_low", "_high", "_all", F.lit(0).cast("long").alias("_before"), places.alias("_places"))
-    held = [F.first(c).alias(c) for c in ("_before", "_places", "_all")]
+    spans = whole.select(*keys, "_low", "_high", "_all", F.lit(0).cast("long").alias("_before"))
+    held = [F.max(c).alias(c) for c in ("_before", "_all")]
     for _ in range(_ROUNDS):
         bins = _within(values, spans, keys).groupBy(*keys, F.col("_low").alias("_span"), _bin(F.col("_x"), F.col("_low"), F.col("_high")).alias("_bin"))
         counted = bins.agg(F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_low"), F.max("_x").alias("_high"), *held)
-        spans = _holding(counted, [*keys, "_span"], "_bin").select(*keys, "_low", "_high", "_all", "_before", "_places")
+        spans = _holding(counted, [*keys, "_span"], "_bin", places).select(*keys, "_low", "_high", "_all", "_before")
     merged = _within(values, spans, keys).groupBy(*keys, F.col("_low").alias("_span"), "_x").agg(F.count(F.lit(1)).alias("_n"), *held)
-    found = _holding(merged, [*keys, "_span"], "_x").select(*keys, "_all", "_x", F.explode("_places").alias("_place"))
+    found = _holding(merged, [*keys, "_span"], "_x", places).select(*keys, "_all", "_x", F.explode("_places").alias("_place"))
     at = lambda place: F.max(F.when(F.col("_place") == place, F.col("_x")))
     ends = [e for i, p in enumerate(points) for e in (at(F.floor(spot(F.col("_all"), p))).alias(f"_lo{i}"), at(F.ceil(spot(F.col("_all"), p))).alias(f"_hi{i}"))]
     table = found.groupBy(*keys).agg(F.max("_all").alias("n"), *ends)
