@@ -77,9 +77,8 @@ def fold_vocabularies(rows: DataFrame, folds: int, size: int, column: str = "rev
     A term's totals per fold are counted in one shuffle; a fold's training totals are all less its own. ``size`` lines a fold reach the
     driver.
     """
-    lines = rows.select("fold", F.explode(words.tallies(words.terms(column))).alias("_e"))
-    own = lambda f, what: F.sum(F.when(F.col("fold") != f, F.col(f"_e.{what}")).otherwise(0)).alias(f"{what}{f}")
-    totals = lines.groupBy(F.col("_e.term").alias("term")).agg(*[own(f, what) for f in range(folds) for what in ("use", "doc")]).persist()
+    own = lambda f, what: F.sum(F.when(F.col("fold") != f, F.col(what)).otherwise(0)).alias(f"{what}{f}")
+    totals = words.tallied(rows, column, "fold").groupBy("term").agg(*[own(f, what) for f in range(folds) for what in ("use", "doc")]).persist()
     try:
         documents = totals.filter("term IS NULL").first()
         out = []
@@ -169,16 +168,54 @@ def _unpacked(line: dict) -> dict[str, np.ndarray]:
     return {n: np.frombuffer(line[n], _TYPES[n]) for n in _FIELDS}
 
 
-def matrix(block: dict[str, np.ndarray], prepared: Prepared, fold: int, size: int) -> np.ndarray:
-    """The block's rows as this fold's pipeline with this vocabulary size turns them into features."""
-    rows, narrow = len(block["label"]), prepared.narrow
-    out = np.zeros((rows, prepared.columns))
-    out[:, :narrow] = block["narrow"].reshape(rows, narrow)
+def _of_fold(block: dict[str, np.ndarray], fold: int) -> dict[str, np.ndarray]:
+    """The block's rows that lie in a fold."""
+    rows = len(block["label"])
+    held, each = block["fold"] == fold, np.diff(block["ends"])
+    terms = np.repeat(held, each)
+    return {"fold": block["fold"][held], "label": block["label"][held], "narrow": block["narrow"].reshape(rows, -1)[held].ravel(),
+            "ends": np.cumsum([0, *each[held]]), "at": block["at"][terms], "count": block["count"][terms]}
+
+
+def _owners(block: dict[str, np.ndarray]) -> np.ndarray:
+    """The row that each term count belongs to."""
+    return np.repeat(np.arange(len(block["label"])), np.diff(block["ends"]))
+
+
+def _narrow(block: dict[str, np.ndarray], prepared: Prepared, fold: int) -> np.ndarray:
+    """Categories, amounts and flags as this fold's pipeline turns them into features."""
+    out = block["narrow"].reshape(len(block["label"]), prepared.narrow).copy()
     first = len(prepared.categories)
     out[:, :first] *= prepared.active[fold]
     amounts = slice(first, first + len(prepared.amounts))
     out[:, amounts] = (out[:, amounts] - prepared.center[fold]) / prepared.scale[fold]
-    of = np.repeat(np.arange(rows), np.diff(block["ends"]))
+    return out
+
+
+def _counts(block: dict[str, np.ndarray], prepared: Prepared) -> np.ndarray:
+    """Plain term counts. A fold's text features are these, each column times its weight and each row over its length, so that products of
+    one such matrix serve all folds and vocabulary sizes."""
+    out = np.zeros((len(block["label"]), len(prepared.terms)))
+    out[_owners(block), block["at"]] = block["count"]
+    return out
+
+
+def _weights(prepared: Prepared, fold: int, size: int) -> np.ndarray:
+    return prepared.idf[fold] * (prepared.place[fold] < size)
+
+
+def _lengths(block: dict[str, np.ndarray], prepared: Prepared, fold: int, size: int) -> np.ndarray:
+    values = block["count"] * _weights(prepared, fold, size)[block["at"]]
+    length = np.sqrt(np.bincount(_owners(block), values * values, minlength=len(block["label"])))
+    return np.where(length > 0, length, 1.0)
+
+
+def matrix(block: dict[str, np.ndarray], prepared: Prepared, fold: int, size: int) -> np.ndarray:
+    """The block's rows as this fold's pipeline with this vocabulary size turns them into features."""
+    rows, narrow = len(block["label"]), prepared.narrow
+    out = np.zeros((rows, prepared.columns))
+    out[:, :narrow] = _narrow(block, prepared, fold)
+    of = _owners(block)
     known = prepared.place[fold][block["at"]] < size
     values = block["count"] * prepared.idf[fold][block["at"]] * known
     length = np.sqrt(np.bincount(of, values * values, minlength=rows))
@@ -311,16 +348,24 @@ def logistic_weights(packed: DataFrame, prepared: Prepared, models: Sequence[dic
 
         def evaluate(block: dict[str, np.ndarray], sent=sent) -> np.ndarray:
             prepared, groups, points, weights = sent.value
-            out = np.zeros((width + 1, points.shape[1]))
+            out, first = np.zeros((width + 1, points.shape[1])), prepared.narrow
+            counts, scaled = _counts(block, prepared), points[first:-1].copy()
+            for (fold, size), which in groups.items():
+                scaled[:, which] *= _weights(prepared, fold, size)[:, None]
+            said = counts @ scaled
+            pulls = np.zeros_like(said)
+            sign = np.where(block["label"] > 0, 1.0, -1.0)[:, None]
             for (fold, size), which in groups.items():
-                train = block["fold"] != fold
-                x, label = matrix(block, prepared, fold, size)[train], block["label"][train]
-                sign = np.where(label > 0, 1.0, -1.0)[:, None]
-                w = weights[which].T[(label > 0).astype(int)]
-                margin = sign * (x @ points[:-1, which] + points[-1, which])
+                narrow, length = _narrow(block, prepared, fold), _lengths(block, prepared, fold, size)[:, None]
+                w = weights[which].T[(block["label"] > 0).astype(int)] * (block["fold"] != fold)[:, None]
+                margin = sign * (said[:, which] / length + narrow @ points[:first, which] + points[-1, which])
                 pull = -sign * w * np.exp(-np.logaddexp(0, margin))
                 out[0, which] = (w * np.logaddexp(0, -margin)).sum(0)
-                out[1:-1, which], out[-1, which] = x.T @ pull, pull.sum(0)
+                out[1 : 1 + first, which], out[-1, which] = narrow.T @ pull, pull.sum(0)
+                pulls[:, which] = pull / length
+            back = counts.T @ pulls
+            for (fold, size), which in groups.items():
+                out[1 + first : -1, which] = back[:, which] * _weights(prepared, fold, size)[:, None]
             return out.ravel()
 
         found = summed(packed, evaluate, (width + 1) * len(asked)).reshape(width + 1, len(asked))
@@ -339,9 +384,9 @@ def _judged_logistic(packed: DataFrame, prepared: Prepared, models: Sequence[dic
         prepared, groups, points = sent.value
         out = np.zeros((points.shape[1], 4))
         for (fold, size), which in groups.items():
-            held = block["fold"] == fold
-            said = matrix(block, prepared, fold, size)[held] @ points[:-1, which] + points[-1, which] > 0
-            out[which] = _cells(block["label"][held], said)
+            held = _of_fold(block, fold)
+            said = matrix(held, prepared, fold, size) @ points[:-1, which] + points[-1, which] > 0
+            out[which] = _cells(held["label"], said)
         return out.ravel()
 
     cells = summed(packed, judge, len(models) * 4).reshape(len(models), 2, 2)
@@ -404,15 +449,15 @@ def _judged_bayes(packed: DataFrame, prepared: Prepared, models: Sequence[dict],
         prepared, groups, smoothing, moments = sent.value
         out = np.zeros((len(smoothing), 4))
         for (fold, size), which in groups.items():
-            held, used = block["fold"] == fold, prepared.used(fold, size)
-            x = matrix(block, prepared, fold, size)[held][:, used]
+            held, used = _of_fold(block, fold), prepared.used(fold, size)
+            x = matrix(held, prepared, fold, size)[:, used]
             chance = np.zeros((2, len(x), len(which)))
             shaped = [_gaussians(moments[fold, size], used, smoothing[i]) for i in which]
             for c in (0, 1):
                 apart = (x - shaped[0][0][c]) ** 2
                 spreads = np.stack([v[c] for _, v, _ in shaped], 1)
                 chance[c] = -0.5 * (apart @ (1 / spreads) + np.log(2 * np.pi * spreads).sum(0)) + shaped[0][2][c]
-            out[which] = _cells(block["label"][held], chance[1] > chance[0])
+            out[which] = _cells(held["label"], chance[1] > chance[0])
         return out.ravel()
 
     cells = summed(packed, judge, len(models) * 4).reshape(len(models), 2, 2)

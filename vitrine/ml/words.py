@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Sequence
+import math
+import sys
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer, SQLTransformer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, functions as F
 
 from vitrine.functions import rules, text
 from vitrine.ml import lemma
+from vitrine.session import durable
+
+# The functions below travel to the workers with each job, whether or not they can import this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Vocabulary bounds and shortest review.
 MIN_DOCS, MAX_SHARE, VOCABULARY, MIN_WORDS = 7, 0.8, 2000, 3
 # Label names by code.
 LABELS = ("Negative", "Positive")
 
+#: Terms that a task counts at a time.
+_LINES = 200_000
+
 TERMS_SQL = r"""SELECT *, get(transform(array(regexp_extract_all({column}, '(?U)\\b\\w\\w+\\b', 0)), w -> concat(w,
     if(size(w) > 1, transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])), slice(w, 1, 0)))), 0) AS terms FROM __THIS__"""
 
@@ -65,23 +76,60 @@ def term_counts(df: DataFrame, doc: str, column: str = "review_text") -> DataFra
     return df.select(doc, F.explode(terms(column)).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tallies(listed: Column) -> Column:
-    """Each occurrence of a term as one use, each distinct term as one document, and one line for the document."""
-    line = lambda use, doc: lambda t: F.struct(t.alias("term"), F.lit(use).alias("use"), F.lit(doc).alias("doc"))
-    itself = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(0).alias("use"), F.lit(1).alias("doc")))
-    return F.concat(F.transform(listed, line(1, 0)), F.transform(F.array_distinct(listed), line(0, 1)), itself)
+def _words(column: str) -> Column:
+    """The words of ``terms`` between single spaces, which no word holds."""
+    return F.array_join(F.regexp_extract_all(F.col(column), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), " ")
+
+
+def _listed(words: str) -> list[str]:
+    """What ``terms`` gives for a text, from its words."""
+    w = words.split(" ") if words else []
+    return [*w, *map(" ".join, zip(w, w[1:]))]
+
+
+def tallied(df: DataFrame, column: str = "review_text", fold: str | None = None) -> DataFrame:
+    """Uses of each term (``use``) and texts that hold it (``doc``), and the texts under no term; several lines a term, to be added up.
+
+    A task counts its texts in a table that leaves it whenever it holds ``_LINES`` terms. Texts that are NULL do not count.
+    """
+    rows = df.select((F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"), _words(column).alias("words"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+
+        def lines() -> pa.RecordBatch:
+            found = [(f, t, n, docs[t]) for f, (use, docs, _) in held.items() for t, n in use.items()]
+            found += [(f, None, 0, texts) for f, (_, _, texts) in held.items()]
+            columns = [list(c) for c in zip(*found)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["fold", "term", "use", "doc"])
+
+        for batch in batches:
+            for f, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if words is None:
+                    continue
+                here = held.setdefault(f, [Counter(), Counter(), 0])
+                found = _listed(words)
+                here[0].update(found)
+                here[1].update(set(found))
+                here[2] += 1
+                if sum(len(use) for use, _, _ in held.values()) >= _LINES:
+                    yield lines()
+        if held:
+            yield lines()
+
+    return rows.mapInArrow(count, "fold int, term string, use bigint, doc bigint")
 
 
 def vocabulary(df: DataFrame, column: str = "review_text", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, size: int = VOCABULARY) -> DataFrame:
     """Most frequent terms within the document-share bounds, ties by term, with smoothed inverse document frequency.
 
-    A document's distinct terms are found inside its row, so uses and documents are
-    counted in one shuffle, merged map-side. Each document also adds one line under no
-    term, whose total is the number of documents; reading it from the same totals spares
-    a second pass over the texts.
+    Uses and documents are counted in one shuffle, merged map-side. Documents are also counted
+    under no term; the totals of frequent terms are written durably, so that reading that number
+    from them spares a second pass over the texts.
     """
-    lines = df.select(F.explode(text.bound(terms(column), tallies)).alias("_e"))
-    totals = lines.groupBy(F.col("_e.term").alias("term")).agg(F.sum("_e.doc").alias("df"), F.sum("_e.use").alias("tf"))
+    totals = tallied(df, column).groupBy("term").agg(F.sum("doc").alias("df"), F.sum("use").alias("tf"))
+    totals = durable(totals.filter(F.col("term").isNull() | (F.col("df") >= min_docs)))
     docs = totals.agg(F.max(F.when(F.col("term").isNull(), F.struct("df", "tf"))).alias("d")).scalar()["df"]
     both = totals.withColumn("_docs", docs).filter("term is not null")
     kept = both.filter((F.col("df") >= min_docs) & (F.col("df") <= max_share * F.col("_docs")))
@@ -89,49 +137,26 @@ def vocabulary(df: DataFrame, column: str = "review_text", min_docs: int = MIN_D
     return kept.orderBy(F.col("tf").desc(), "term").limit(size).select("term", "df", "tf", idf.alias("idf"))
 
 
-#: Slots of the table in which a row looks its terms up.
-_SLOTS = 4096
-
-
-def _slot(term: Column) -> Column:
-    return (F.crc32(term.cast("binary")) % _SLOTS).cast("int")
-
-
-def _slots(known: DataFrame) -> Column:
-    """The vocabulary as one literal: for each slot the terms that hash to it, with their idf. Its lines, at most its size limit, come to
-    the driver."""
-    slots: list[list[dict]] = [[] for _ in range(_SLOTS)]
-    for r in known.select("term", "idf", _slot(F.col("term")).alias("slot")).collect():
-        slots[r["slot"]].append({"term": r["term"], "idf": r["idf"]})
-    return F.from_json(F.lit(json.dumps(slots)), "array<array<struct<term:string,idf:double>>>")  # folded when the query is planned
-
-
-def _runs(ordered: Column) -> Column:
-    """Of a sorted list of (term, idf), each once with its number times its idf."""
-    starts = F.filter(F.sequence(F.lit(0), F.size(ordered)), lambda i: (i == F.size(ordered)) | (i == 0) | (F.get(ordered, i)["term"] != F.get(ordered, i - 1)["term"]))
-    count = lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda start, k: F.struct(
-        F.get(ordered, start)["term"].alias("term"), ((F.get(at, k + 1) - start) * F.get(ordered, start)["idf"]).alias("w")))
-    return text.bound(starts, count)
-
-
 def tfidf(df: DataFrame, doc: str, column: str = "review_text", **bounds) -> DataFrame:
     """Unit-length TF-IDF weights, one line per (document, vocabulary term).
 
     Terms are looked up, counted, weighted and normalised inside their row; lines leave it last, and nothing but the vocabulary is
-    shuffled. Each row is a document of its own.
+    shuffled. Its lines, at most its size limit, come to the driver. Each row is a document of its own.
     """
-    slots = _slots(vocabulary(df, column, **bounds))
-
-    def found(listed: Column) -> Column:
-        looked_up = F.transform(listed, lambda t: F.get(F.filter(F.get(slots, _slot(t)), lambda e: e["term"] == t), F.lit(0)))
-        return F.array_sort(F.filter(looked_up, lambda e: e.isNotNull()))
-
-    def unit(runs: Column) -> Column:
-        length = F.sqrt(F.aggregate(runs, F.lit(0.0), lambda acc, r: acc + r["w"] * r["w"]))
-        return text.bound(length, lambda n: F.transform(runs, lambda r: F.struct(r["term"].alias("term"), (r["w"] / n).alias("weight"))))
-
-    weighted = text.bound(found(terms(column)), lambda ordered: F.when(F.size(ordered) > 0, text.bound(_runs(ordered), unit)))
-    return df.select(doc, F.inline(weighted))
+    idf = {r["term"]: r["idf"] for r in vocabulary(df, column, **bounds).collect()}
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, names, weights = [], [], []
+            for i, words in enumerate(batch.column(1).to_pylist()):
+                found = sorted((t, n * idf[t]) for t, n in Counter(_listed(words or "")).items() if t in idf)
+                length = math.sqrt(sum(w * w for _, w in found))
+                at += [i] * len(found)
+                names += [t for t, _ in found]
+                weights += [w / length for _, w in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(weights, pa.float64())], [doc, "term", "weight"])
+
+    return df.select(doc, _words(column).alias("words")).mapInArrow(weigh, f"`{doc}` {df.schema[doc].dataType.simpleString()}, term string, weight double")
 
 
 def vectorizer(train: DataFrame, column: str = "review_text", out: str = "features", **bounds) -> list:
