@@ -39,7 +39,7 @@ def m03(m):
 
 @query("m04_stratified_split", f"""WITH {_PREPARED} SELECT doc_id, sentiment, row_number() OVER (PARTITION BY sentiment ORDER BY md5('30:' || doc_id), doc_id) <= round(count(*) OVER (PARTITION BY sentiment) * 0.2) AS is_test FROM prep""", "reviews")
 def m04(m):
-    return sentiment.split(_prepared(m).select("doc_id", "sentiment"), "doc_id", "sentiment")
+    return sentiment.split(durable(_prepared(m).select("doc_id", "sentiment")), "doc_id", "sentiment")
 
 
 _TERMS = f"""{_PREPARED}, tok AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, regexp_extract_all(review_text, '[a-z0-9áéíóúãõçñ]{{2,}}') AS w FROM prep)),
@@ -65,11 +65,20 @@ def m07(m):
     return words.tfidf(_prepared(m), "doc_id").withColumn("weight", F.round("weight", 9))
 
 
-def _fitted(m, **params) -> tuple[PipelineModel, object]:
-    rows = sentiment.split(words.with_label(_prepared(m)), "doc_id")
+def _cleaned(m):
+    """Clean texts with their labels, durably, so that the texts are read and cleaned once for all that is learnt from them."""
+    return durable(words.with_label(_prepared(m)))
+
+
+def _fitted_on(rows, **params) -> tuple[PipelineModel, object]:
+    rows = sentiment.split(rows, "doc_id")
     return sentiment.train(rows.filter(~F.col("is_test")), {"C": 1.0, **params}), rows.filter("is_test")
 
 
+def _fitted(m, **params) -> tuple[PipelineModel, object]:
+    return _fitted_on(_cleaned(m), **params)
+
+
 @query("m08_logistic")
 def m08(m):
     model, _ = _fitted(m, class_weight="balanced")
@@ -84,7 +93,7 @@ def _training_folds(rows, doc):
 @query("m09_search")
 def m09(m):
     """50 trials of logistic regression over the texts, each judged on five folds of the training rows."""
-    rows = words.with_label(_prepared(m)).select("doc_id", "review_text", "label")
+    rows = _cleaned(m).select("doc_id", "review_text", "label")
     return sentiment.search(_training_folds(rows, "doc_id"), {"logistic": sentiment.LOGISTIC}).drop("var_smoothing")
 
 
@@ -102,7 +111,7 @@ def _reviewed_orders(m):
 def m17(m):
     """50 trials of logistic regression and 50 of Gaussian naive Bayes over the mixed features, vocabulary size among the choices."""
     spaces = {"logistic": sentiment.LOGISTIC | sentiment.FEATURES, "naive_bayes": sentiment.BAYES | sentiment.FEATURES}
-    rows = _training_folds(_reviewed_orders(m), "order_id")
+    rows = _training_folds(durable(_reviewed_orders(m)), "order_id")
     return sentiment.search(rows, spaces, categories=_MIXED[0], amounts=_MIXED[1], flags=_MIXED[2])
 
 
@@ -159,8 +168,9 @@ def m11_report(m):
 
 @query("m12_batch_scores")
 def m12(m):
-    model, _ = _fitted(m)
-    return sentiment.scored(model, words.with_label(_prepared(m)).select("doc_id", "review_text", "label"))
+    rows = _cleaned(m)
+    model, _ = _fitted_on(rows)
+    return sentiment.scored(model, rows.select("doc_id", "review_text", "label"))
 
 
 @query("s14_model_store")
@@ -192,7 +202,7 @@ def m13(m):
 
 def _mixed_split(m):
     """Order features with text, everything fitted on the training rows alone: the pipeline, training rows and test rows."""
-    rows = sentiment.split(_order_features(m), "order_id")
+    rows = sentiment.split(durable(_order_features(m)), "order_id")
     pipeline = mixed.mixed_pipeline(rows.filter("not is_test"), *_MIXED)
     shaped = durable(pipeline.transform(rows).select("order_id", "label", "features", "is_test").hint("rebalance"))
     return pipeline, shaped.filter("not is_test"), shaped.filter("is_test")

@@ -16,6 +16,7 @@ from vitrine.functions import numbers
 from vitrine.ml import search as search_, words
 from vitrine.operators.ordered import tile_of
 from vitrine.operators.placed import numbered, running_totals
+from vitrine.session import durable
 
 # Seed, test share, folds and search ranges.
 SEED, TEST_SHARE, FOLDS, TRIALS = 30, 0.2, 5, 50
@@ -33,11 +34,11 @@ def _shuffle_key(doc: str, seed: int) -> Column:
 def _parts(df: DataFrame, doc: str, label: str, seed: int, part: Column) -> Column:
     """Part of each row, where ``part`` tells it from the row's place ``_no`` of ``_of`` in a seeded order within its label.
 
-    Only label and key are ordered (in a distributed way); what comes to the driver is the
-    last key of each part, one line per label and part. The wide rows are never moved:
-    comparing a row's key with those lines gives its part.
+    Only label and key are written durably, so that ``df`` is computed once for them, and ordered
+    (in a distributed way); what comes to the driver is the last key of each part, one line per
+    label and part. The wide rows are never moved: comparing a row's key with those lines gives its part.
     """
-    keys = df.select(F.col(label).alias("_label"), _shuffle_key(doc, seed).alias("_key"))
+    keys = durable(df.select(F.col(label).alias("_label"), _shuffle_key(doc, seed).alias("_key")))
     placed = numbered(keys, ["_key"], ["_label"], "_no", "_of")
     ends = placed.groupBy("_label", part.alias("_part")).agg(F.max("_key").alias("_end")).collect()
     key, out = _shuffle_key(doc, seed), F.lit(None).cast("int")
