@@ -5,9 +5,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
-from vitrine.operators import impute, keyed, neighbours, ordered, placed, profile
+from vitrine.operators import forests, impute, keyed, neighbours, ordered, placed, profile
 
 
 @pytest.fixture(scope="module")
@@ -182,6 +184,68 @@ def test_forest_fills_gaps_only(spark):
     assert abs(out[9] - 18.5) < 2.0
 
 
+def _uneven(n, seed, width=4):
+    draw = random.Random(seed)
+    rows = [[draw.random() for _ in range(width)] for _ in range(n)]
+    return [(i, *x, 10 * x[0] * x[1] + 3 * (x[2] > 0.4) + draw.random() / 5) for i, x in enumerate(rows)], ["id", *[f"x{j}" for j in range(width)], "y"]
+
+
+def test_forest_needs_no_job_a_level(spark):
+    """Deep trees are grown inside tasks; a job for every level and a model on the driver took minutes over a few thousand rows."""
+    rows, names = _uneven(1500, 3)
+    df = spark.createDataFrame([(*r[:-1], None if r[0] % 7 == 0 else r[-1]) for r in rows], names)
+    spark.sparkContext.setJobGroup("deep forest", "")
+    try:
+        got = {r["id"]: r["y"] for r in impute.forest_filled(df, names[1:], rounds=3).collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("deep forest"))
+    assert len(got) == 1500 and jobs < 60, jobs
+
+
+def test_forest_is_as_good_as_the_library(spark):
+    rows, names = _uneven(1600, 8)
+    df = spark.createDataFrame(rows, names)
+    known, asked = impute.durable(df.filter("id % 4 > 0")), df.filter("id % 4 = 0")
+    guess, cells = forests.predicted(known, asked, names[1:-1], "y", 1200, 20, 30, 42, 3.0, 2.0)
+    mine = {r["id"]: r["_guess"] for r in asked.withColumns(cells).join(guess, list(cells)).collect()}
+    put = VectorAssembler(inputCols=names[1:-1], outputCol="f")
+    fitted = RandomForestRegressor(featuresCol="f", labelCol="y", numTrees=20, maxDepth=30, seed=42).fit(put.transform(known))
+    theirs = {r["id"]: r["prediction"] for r in fitted.transform(put.transform(asked)).collect()}
+    error = lambda said: math.sqrt(sum((said[r[0]] - r[-1]) ** 2 for r in rows if r[0] % 4 == 0) / 400)
+    assert set(mine) == set(theirs) == set(range(0, 1600, 4))
+    assert error(mine) < 1.1 * error(theirs)
+    assert max(abs(mine[i] - theirs[i]) for i in mine) < 3
+
+
+@pytest.mark.parametrize("width", [4, 14])
+def test_first_levels_over_all_rows_change_nothing(spark, monkeypatch, width):
+    """Nodes too large for one task are divided over all rows; a node that no cut divides stays whole."""
+    rows, names = _uneven(900, 4, width)
+    rows = [(*r[:-1], 7.0 if r[1] < 0.3 else r[-1]) for r in rows]
+    df = spark.createDataFrame([(*r[:-1], None if r[0] % 5 == 0 else r[-1]) for r in rows], names)
+    said = []
+    for cells in (forests.CELLS, 40):
+        monkeypatch.setattr(forests, "CELLS", cells)
+        said.append({r["id"]: r["y"] for r in impute.forest_filled(df, names[1:], rounds=1, trees=3).collect()})
+    assert len(said[1]) == 900
+    for i, value in said[0].items():
+        assert said[1][i] == pytest.approx(value, abs=1e-6), i
+
+
+def test_forest_with_gaps_everywhere(spark):
+    draw = random.Random(6)
+    rows = [(None if draw.random() < 0.2 else float(i % 9), None if draw.random() < 0.2 else i % 4, None if draw.random() < 0.2 else "k") for i in range(200)]
+    df = spark.createDataFrame(rows * 2, "a double, b int, name string")
+    out = impute.forest_filled(df, ["a", "b"], rounds=2, trees=4)
+    assert out.columns == df.columns and out.count() == 400
+    assert out.filter("a IS NULL OR b IS NULL OR NOT a BETWEEN 0 AND 8 OR NOT b BETWEEN 0 AND 3").count() == 0
+    empty = impute.forest_filled(df.limit(0), ["a", "b"], rounds=1)
+    assert empty.columns == df.columns and empty.count() == 0
+    with pytest.raises(ValueError):
+        impute.forest_filled(df.withColumn("b", F.lit(None).cast("int")), ["a", "b"])
+
+
 def test_min_max_round_trip(spark):
     df = spark.createDataFrame([(1.0, 7.0), (3.0, 7.0), (None, 7.0)], "a double, b double")
     scaled, ends = impute.min_max(df, ["a", "b"])
