@@ -184,3 +184,70 @@ def test_search_agrees_with_sparks_model(rows):
     want = {(int(r.label), int(r.prediction)): r.n for r in sentiment.confusion(fitted.transform(rows.filter("fold = 0"))).collect()}
     assert sum(abs(cells[0, y, p] - want.get((y, p), 0)) for y in (0, 1) for p in (0, 1)) <= 2
     blocks.unpersist()
+
+
+def _hard(prepared):
+    return [{"fold": f, "max_features": s, "C": c, "max_iter": 1000, "class_weight": w} for f in range(5) for s, c, w in ((60, 10.0, None), (20, 3.0, "balanced"))]
+
+
+def test_fits_take_few_passes(packed, monkeypatch):
+    """Plain quasi-Newton steps take several times as many passes over the rows to the same gradient."""
+    prepared, blocks = packed
+    sizes, asked = search.class_sizes(blocks, 5), []
+    summed = search.summed
+    monkeypatch.setattr(search, "summed", lambda packed, work, length: asked.append(length) or summed(packed, work, length))
+    search.logistic_weights(blocks, prepared, _hard(prepared), sizes)
+    assert len(asked) <= 17
+
+
+def test_a_shape_that_misleads_is_given_up(packed):
+    """A shape decides how a fit gets to its minimum, not where that is, nor whether columns take part that the fold does not have."""
+    prepared, blocks = packed
+    sizes, models = search.class_sizes(blocks, 5), _hard(prepared)
+    wrong = np.linalg.qr(np.random.default_rng(3).normal(size=(prepared.columns + 1, 4)))[0]
+    misled = {s: search.Shape(wrong, np.array([50.0, 1e-3, 1e-9, 1e-9])) for s in (20, 60)}
+    for m, a, b in zip(models, search.logistic_weights(blocks, prepared, models, sizes), search.logistic_weights(blocks, prepared, models, sizes, misled), strict=True):
+        used = np.append(prepared.used(m["fold"], m["max_features"]), True)
+        assert not a[~used].any() and not b[~used].any()
+        assert np.linalg.norm(a - b) < 0.1 * np.linalg.norm(a)
+
+
+def test_a_shape_is_that_of_the_features(packed, monkeypatch):
+    """Over all rows and directions, it solves as the matrix of their products does."""
+    prepared, blocks = packed
+    some = search._some(blocks, 400.0)
+    assert sum(len(b["label"]) for b in some) == 400
+    picked = search._some(blocks, 400.0, 50)
+    assert 50 <= sum(len(b["label"]) for b in picked) <= 50 + blocks.rdd.getNumPartitions()
+    monkeypatch.setattr(search, "_FLAT", 0.0)
+    shape = search.shape_of(some, prepared, 60, rank=10_000)
+    weights = np.max([search._weights(prepared, f, 60) for f in range(5)], axis=0)[:, None]
+    x = np.concatenate([np.concatenate([np.mean([search._narrow(b, prepared, f) for f in range(5)], axis=0),
+                                        search._counts(b, prepared) * weights.T / search._lengths(search._counts(b, prepared), weights), np.ones((len(b["label"]), 1))], 1) for b in some])
+    gradient = np.random.default_rng(1).normal(size=x.shape[1])
+    assert np.allclose(shape.solved(gradient, 0.01), np.linalg.solve(0.25 * x.T @ x / 400 + 0.01 * np.eye(x.shape[1]), gradient), rtol=1e-6)
+
+
+def test_moments_are_those_of_the_features(packed):
+    prepared, blocks = packed
+    found = search.class_moments(blocks, prepared, [(1, 60), (1, 20)])
+    lines = [search._unpacked(r.asDict()) for r in blocks.collect()]
+    for size in (60, 20):
+        x, fold, label = (np.concatenate(v) for v in zip(*[(search.matrix(b, prepared, 1, size), b["fold"], b["label"]) for b in lines]))
+        for c in (0, 1):
+            part = x[(fold != 1) & (label == c)]
+            assert np.allclose(found[1, size][c], [np.full(x.shape[1], len(part)), part.sum(0), (part * part).sum(0)])
+
+
+def test_content_words_are_made_once(spark, tmp_path):
+    """Not in a filter below the join with the labels as well, where they would be made of every text."""
+    from vitrine.catalog import learning, roles
+
+    numbered = spark.range(30).withColumnRenamed("id", "doc_id")
+    numbered.select("doc_id", F.lit("Os clientes chegaram").alias("text"), F.lit("pt").alias("lang")).write.parquet(f"{tmp_path}/documents.parquet")
+    numbered.filter("doc_id < 9").select("doc_id", F.lit(1).alias("quality")).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.range(20).selectExpr("id AS o_orderkey", "id AS o_custkey", "DATE '2020-01-01' AS o_orderdate", "'F' AS o_orderstatus", "10.0D AS o_totalprice", "'1-URGENT' AS o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.range(20).selectExpr("id AS l_orderkey", "DATE '2020-02-01' AS l_shipdate").write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = learning._reviewed_orders(roles.Market(spark, str(tmp_path)))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("array_join") == 1
+    assert rows.count() == 9

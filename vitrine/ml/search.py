@@ -3,7 +3,8 @@
 Rows are turned once into cached blocks of numbers: raw amounts, flags, categories and term counts. What a fold's pipeline learns from its
 training rows (vocabulary, document frequencies, medians, quartiles, categories) is a small :class:`Prepared`, applied to a block inside
 the task. So one scan serves all folds, vocabulary sizes and trials at once: for logistic regression it returns the loss and gradient of
-every model at its next point, the driver only steps; for Gaussian naive Bayes it returns the moments of every class.
+every model at its next point, the driver only steps; for Gaussian naive Bayes it returns the moments of every class. Steps of logistic
+regression are shaped by how the features of a sample of rows vary; where a fit ends is decided by the gradient over all rows.
 
 A block of trials is proposed at a time by a Parzen-estimator sampler from the scores so far.
 """
@@ -35,6 +36,10 @@ BLOCK_ROWS = 1000
 FEW_PARTS = 64
 # Fixed value: largest gradient entry of the mean objective at which a fit has converged.
 TOLERANCE = 1e-4
+#: Rows, about, whose features shape the steps of a fit, and directions kept of them.
+SHAPE_ROWS, SHAPE_RANK = 4096, 128
+#: Least curvature of a direction, as a share of the mean; and halvings after which a fit goes on without its shape.
+_FLAT, _HALVINGS = 0.01, 5
 
 
 # ---------------------------------------------------------------- what folds learn
@@ -168,12 +173,11 @@ def _unpacked(line: dict) -> dict[str, np.ndarray]:
     return {n: np.frombuffer(line[n], _TYPES[n]) for n in _FIELDS}
 
 
-def _of_fold(block: dict[str, np.ndarray], fold: int) -> dict[str, np.ndarray]:
-    """The block's rows that lie in a fold."""
-    rows = len(block["label"])
-    held, each = block["fold"] == fold, np.diff(block["ends"])
+def _those(block: dict[str, np.ndarray], held: np.ndarray) -> dict[str, np.ndarray]:
+    """The given rows of a block."""
+    each = np.diff(block["ends"])
     terms = np.repeat(held, each)
-    return {"fold": block["fold"][held], "label": block["label"][held], "narrow": block["narrow"].reshape(rows, -1)[held].ravel(),
+    return {"fold": block["fold"][held], "label": block["label"][held], "narrow": block["narrow"].reshape(len(held), -1)[held].ravel(),
             "ends": np.cumsum([0, *each[held]]), "at": block["at"][terms], "count": block["count"][terms]}
 
 
@@ -204,22 +208,26 @@ def _weights(prepared: Prepared, fold: int, size: int) -> np.ndarray:
     return prepared.idf[fold] * (prepared.place[fold] < size)
 
 
-def _lengths(block: dict[str, np.ndarray], prepared: Prepared, fold: int, size: int) -> np.ndarray:
-    values = block["count"] * _weights(prepared, fold, size)[block["at"]]
-    length = np.sqrt(np.bincount(_owners(block), values * values, minlength=len(block["label"])))
+def _lengths(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The length of each row of counts under each column of weights; 1 for a row without a term."""
+    length = np.sqrt(np.square(counts) @ np.square(weights))
     return np.where(length > 0, length, 1.0)
 
 
+def _values(block: dict[str, np.ndarray], prepared: Prepared, fold: int, size: int) -> np.ndarray:
+    """The text feature that each term count becomes."""
+    of = _owners(block)
+    values = block["count"] * _weights(prepared, fold, size)[block["at"]]
+    length = np.sqrt(np.bincount(of, values * values, minlength=len(block["label"])))
+    return values / np.where(length > 0, length, 1.0)[of]
+
+
 def matrix(block: dict[str, np.ndarray], prepared: Prepared, fold: int, size: int) -> np.ndarray:
     """The block's rows as this fold's pipeline with this vocabulary size turns them into features."""
     rows, narrow = len(block["label"]), prepared.narrow
     out = np.zeros((rows, prepared.columns))
     out[:, :narrow] = _narrow(block, prepared, fold)
-    of = _owners(block)
-    known = prepared.place[fold][block["at"]] < size
-    values = block["count"] * prepared.idf[fold][block["at"]] * known
-    length = np.sqrt(np.bincount(of, values * values, minlength=rows))
-    out[of, narrow + block["at"]] = values / np.where(length > 0, length, 1.0)[of]
+    out[_owners(block), narrow + block["at"]] = _values(block, prepared, fold, size)
     return out
 
 
@@ -258,9 +266,29 @@ def _sent(packed: DataFrame, value):
 
 # ---------------------------------------------------------------- logistic regression
 
+@dataclass
+class Shape:
+    """How the features of some rows vary: directions (columns, the intercept last) with the mean square along each, largest first.
+
+    Directions that are not listed are taken to vary like the last one.
+    """
+
+    directions: np.ndarray
+    squares: np.ndarray
+
+    def solved(self, gradient: np.ndarray, penalty: float) -> np.ndarray:
+        """The gradient over the curvature that logistic regression has at most along each direction."""
+        along, rest = self.directions.T @ gradient, 0.25 * self.squares[-1] + penalty
+        return gradient / rest + self.directions @ (along / (0.25 * self.squares + penalty) - along / rest)
+
+
 @dataclass
 class _Fit:
-    """One model on its way to the minimum: limited-memory BFGS, one evaluation a pass."""
+    """One model on its way to the minimum: limited-memory BFGS, one evaluation a pass.
+
+    Steps start from the curvature of ``shape``, over the columns that the model has (``used``). Where a step has to be cut too often, the
+    fit goes on without it.
+    """
 
     fold: int
     size: int
@@ -270,11 +298,14 @@ class _Fit:
     weight: float
     x: np.ndarray
     point: np.ndarray
+    shape: Shape | None = None
+    used: np.ndarray | None = None
     value: float = math.inf
     gradient: np.ndarray | None = None
     direction: np.ndarray | None = None
     step: float = 1.0
     rounds: int = 0
+    cuts: int = 0
     pairs: list = field(default_factory=list)
     done: bool = False
 
@@ -286,6 +317,11 @@ class _Fit:
         gradient[:-1] += penalty * self.point[:-1]
         if self.gradient is not None and value > self.value + 1e-4 * self.step * float(self.gradient @ self.direction):
             self.step *= 0.5
+            self.cuts += 1
+            if self.shape is not None and self.cuts >= _HALVINGS:
+                self.shape, self.pairs = None, []
+                self._turn()
+                return
             self.done = self.step < 1e-10
             self.point = self.x + self.step * self.direction
             return
@@ -298,19 +334,28 @@ class _Fit:
         if np.abs(gradient).max() <= TOLERANCE or self.rounds >= self.limit:
             self.done = True
             return
-        self.direction = self._descent(gradient)
-        self.step = 1.0 if self.pairs else min(1.0, 1.0 / float(np.sqrt(gradient @ gradient)))
+        self._turn()
+
+    def _turn(self) -> None:
+        self.direction, self.cuts = self._descent(self.gradient), 0
+        self.step = 1.0 if self.pairs or self.shape is not None else min(1.0, 1.0 / float(np.sqrt(self.gradient @ self.gradient)))
         self.point = self.x + self.step * self.direction
 
+    def _shaped(self, gradient: np.ndarray) -> np.ndarray:
+        if self.shape is None:
+            return gradient
+        return self.used * self.shape.solved(self.used * gradient, 1.0 / (self.C * self.weight))
+
     def _descent(self, gradient: np.ndarray) -> np.ndarray:
         q, kept = gradient.copy(), []
         for s, y in reversed(self.pairs):
             a = float(s @ q) / float(s @ y)
             kept.append(a)
             q -= a * y
+        q = self._shaped(q)
         if self.pairs:
             s, y = self.pairs[-1]
-            q *= float(s @ y) / float(y @ y)
+            q *= float(s @ y) / float(y @ self._shaped(y))
         for (s, y), a in zip(self.pairs, reversed(kept), strict=True):
             q += (a - float(y @ q) / float(s @ y)) * s
         return -q
@@ -332,45 +377,112 @@ def class_sizes(packed: DataFrame, folds: int) -> np.ndarray:
     return summed(packed, count, 2 * folds).reshape(folds, 2)
 
 
-def logistic_weights(packed: DataFrame, prepared: Prepared, models: Sequence[dict], sizes: np.ndarray) -> list[np.ndarray]:
+def _some(packed: DataFrame, total: float, rows: int = SHAPE_ROWS) -> list[dict[str, np.ndarray]]:
+    """About ``rows`` of the rows as blocks, spread evenly over every task's."""
+    step = max(1, math.ceil(total / rows))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            for line in batch.to_pylist():
+                block = _unpacked(line)
+                n = len(block["label"])
+                some = _those(block, (seen + np.arange(n)) % step == 0)
+                seen += n
+                yield pa.RecordBatch.from_pydict({name: [np.ascontiguousarray(some[name], _TYPES[name]).tobytes()] for name in _FIELDS})
+
+    return [_unpacked(r.asDict()) for r in packed.mapInArrow(pick, ", ".join(f"{n} binary" for n in _FIELDS)).collect()]
+
+
+def shape_of(some: Sequence[dict[str, np.ndarray]], prepared: Prepared, size: int, rank: int = SHAPE_RANK) -> Shape:
+    """The shape of some rows for a vocabulary size, over the columns that any fold has, by subspace iteration."""
+    weights = np.max([_weights(prepared, f, size) for f in range(prepared.folds)], axis=0)[:, None]
+    parts = []
+    for block in some:
+        counts = _counts(block, prepared)
+        narrow = np.mean([_narrow(block, prepared, f) for f in range(prepared.folds)], axis=0)
+        parts.append(np.concatenate([narrow, counts * weights.T / _lengths(counts, weights), np.ones((len(counts), 1))], 1))
+    x = np.concatenate(parts) if parts else np.zeros((0, prepared.columns + 1))
+    x /= math.sqrt(max(len(x), 1))
+    basis = np.random.default_rng(0).normal(size=(x.shape[1], min(rank, x.shape[1])))
+    for _ in range(4):
+        basis = np.linalg.qr(x.T @ (x @ basis))[0]
+    _, along, turned = np.linalg.svd(x @ basis, full_matrices=False)
+    least = _FLAT * float(np.square(x).sum()) / x.shape[1]
+    return Shape(basis @ turned.T, np.maximum(np.square(along), max(least, 1e-12)))
+
+
+@dataclass
+class _Asked:
+    """Points of many models as the tasks need them: term coefficients times the weights of the model's fold and size, lengths by group."""
+
+    scaled: np.ndarray
+    narrow: np.ndarray
+    intercept: np.ndarray
+    weights: np.ndarray  # (terms, groups)
+    group: np.ndarray  # of each model
+    fold: np.ndarray
+
+
+def _asked(prepared: Prepared, fits: Sequence, points: np.ndarray) -> _Asked:
+    groups, first = _grouped(fits), prepared.narrow
+    weights = np.stack([_weights(prepared, *g) for g in groups], 1)
+    group = np.zeros(len(fits), np.int64)
+    for g, which in enumerate(groups.values()):
+        group[which] = g
+    return _Asked(points[first:-1] * weights[:, group], points[:first], points[-1], weights, group, np.array([f.fold for f in fits]))
+
+
+def _said(block: dict[str, np.ndarray], counts: np.ndarray, prepared: Prepared, asked: _Asked) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """What each model says of each row, the lengths of the rows for each model, and the narrow features by fold."""
+    length = _lengths(counts, asked.weights)[:, asked.group]
+    out = counts @ asked.scaled / length + asked.intercept
+    narrow = {f: _narrow(block, prepared, f) for f in np.unique(asked.fold).tolist()}
+    for f, features in narrow.items():
+        out[:, asked.fold == f] += features @ asked.narrow[:, asked.fold == f]
+    return out, length, narrow
+
+
+def logistic_weights(packed: DataFrame, prepared: Prepared, models: Sequence[dict], sizes: np.ndarray, shapes: dict[int, Shape] | None = None) -> list[np.ndarray]:
     """Coefficients (intercept last) of every model, ``fold``, ``max_features``, ``C``, ``max_iter`` and ``class_weight`` each.
 
-    Every pass evaluates all models that have not converged, each at its own next point.
+    Every pass evaluates all models that have not converged, each at its own next point. ``shapes`` holds shapes by vocabulary size and
+    takes those that it lacks.
     """
-    width, fits = prepared.columns + 1, []
+    width, first, fits = prepared.columns + 1, prepared.narrow, []
+    shapes = {} if shapes is None else shapes
+    if lacking := {m["max_features"] for m in models} - set(shapes):
+        some = _some(packed, float(sizes.sum()))
+        shapes |= {size: shape_of(some, prepared, size) for size in lacking}
     for m in models:
         inside = sizes.sum(0) - sizes[m["fold"]]
         weight = tuple(inside.sum() / (2 * max(n, 1.0)) if m["class_weight"] == "balanced" else 1.0 for n in inside)
         total = float(sum(w * n for w, n in zip(weight, inside, strict=True))) or 1.0
-        fits.append(_Fit(m["fold"], m["max_features"], m["C"], m["max_iter"], weight, total, np.zeros(width), np.zeros(width)))
-    while asked := [f for f in fits if not f.done]:
-        sent = _sent(packed, (prepared, _grouped(asked), np.stack([f.point for f in asked], 1), np.array([f.class_weight for f in asked])))
+        used = np.append(prepared.used(m["fold"], m["max_features"]), True)
+        fits.append(_Fit(m["fold"], m["max_features"], m["C"], m["max_iter"], weight, total, np.zeros(width), np.zeros(width), shapes[m["max_features"]], used))
+    while going := [f for f in fits if not f.done]:
+        asked = _asked(prepared, going, np.stack([f.point for f in going], 1))
+        sent = _sent(packed, (prepared, asked, np.array([f.class_weight for f in going])))
 
         def evaluate(block: dict[str, np.ndarray], sent=sent) -> np.ndarray:
-            prepared, groups, points, weights = sent.value
-            out, first = np.zeros((width + 1, points.shape[1])), prepared.narrow
-            counts, scaled = _counts(block, prepared), points[first:-1].copy()
-            for (fold, size), which in groups.items():
-                scaled[:, which] *= _weights(prepared, fold, size)[:, None]
-            said = counts @ scaled
-            pulls = np.zeros_like(said)
-            sign = np.where(block["label"] > 0, 1.0, -1.0)[:, None]
-            for (fold, size), which in groups.items():
-                narrow, length = _narrow(block, prepared, fold), _lengths(block, prepared, fold, size)[:, None]
-                w = weights[which].T[(block["label"] > 0).astype(int)] * (block["fold"] != fold)[:, None]
-                margin = sign * (said[:, which] / length + narrow @ points[:first, which] + points[-1, which])
-                pull = -sign * w * np.exp(-np.logaddexp(0, margin))
-                out[0, which] = (w * np.logaddexp(0, -margin)).sum(0)
-                out[1 : 1 + first, which], out[-1, which] = narrow.T @ pull, pull.sum(0)
-                pulls[:, which] = pull / length
-            back = counts.T @ pulls
-            for (fold, size), which in groups.items():
-                out[1 + first : -1, which] = back[:, which] * _weights(prepared, fold, size)[:, None]
+            prepared, asked, weights = sent.value
+            counts, sign = _counts(block, prepared), np.where(block["label"] > 0, 1.0, -1.0)[:, None]
+            said, length, narrow = _said(block, counts, prepared, asked)
+            w = weights.T[(block["label"] > 0).astype(int)] * (block["fold"][:, None] != asked.fold)
+            margin = sign * said
+            small = np.exp(-np.abs(margin))
+            pull = -sign * w * np.where(margin > 0, small, 1.0) / (1 + small)
+            out = np.empty((width + 1, len(asked.fold)))
+            out[0], out[-1] = (w * (np.log1p(small) + np.maximum(-margin, 0.0))).sum(0), pull.sum(0)
+            for f, features in narrow.items():
+                out[1 : 1 + first, asked.fold == f] = features.T @ pull[:, asked.fold == f]
+            np.matmul(counts.T, pull / length, out=out[1 + first : -1])
             return out.ravel()
 
-        found = summed(packed, evaluate, (width + 1) * len(asked)).reshape(width + 1, len(asked))
+        found = summed(packed, evaluate, (width + 1) * len(going)).reshape(width + 1, len(going))
         sent.destroy()
-        for i, f in enumerate(asked):
+        found[1 + first : -1] *= asked.weights[:, asked.group]
+        for i, f in enumerate(going):
             f.told(float(found[0, i]), found[1:, i].copy())
     return [f.x for f in fits]
 
@@ -378,15 +490,15 @@ def logistic_weights(packed: DataFrame, prepared: Prepared, models: Sequence[dic
 def _judged_logistic(packed: DataFrame, prepared: Prepared, models: Sequence[dict], found: Sequence[np.ndarray]) -> np.ndarray:
     """Confusion counts (model, label, prediction) on the held-out rows."""
     named = [_Named(m["fold"], m["max_features"]) for m in models]
-    sent = _sent(packed, (prepared, _grouped(named), np.stack(list(found), 1)))
+    sent = _sent(packed, (prepared, _asked(prepared, named, np.stack(list(found), 1))))
 
     def judge(block: dict[str, np.ndarray]) -> np.ndarray:
-        prepared, groups, points = sent.value
-        out = np.zeros((points.shape[1], 4))
-        for (fold, size), which in groups.items():
-            held = _of_fold(block, fold)
-            said = matrix(held, prepared, fold, size) @ points[:-1, which] + points[-1, which] > 0
-            out[which] = _cells(held["label"], said)
+        prepared, asked = sent.value
+        said, _, _ = _said(block, _counts(block, prepared), prepared, asked)
+        out = np.zeros((len(asked.fold), 4))
+        for f in np.unique(asked.fold):
+            held, which = block["fold"] == f, asked.fold == f
+            out[which] = _cells(block["label"][held], said[held][:, which] > 0)
         return out.ravel()
 
     cells = summed(packed, judge, len(models) * 4).reshape(len(models), 2, 2)
@@ -417,11 +529,18 @@ def class_moments(packed: DataFrame, prepared: Prepared, wanted: Sequence[tuple[
     def add(block: dict[str, np.ndarray]) -> np.ndarray:
         prepared, wanted = sent.value
         out = np.zeros((len(wanted), 2, 3, prepared.columns))
+        of, first = _owners(block), prepared.narrow
         for i, (fold, size) in enumerate(wanted):
-            x = matrix(block, prepared, fold, size)
+            narrow, values = _narrow(block, prepared, fold), _values(block, prepared, fold, size)
             for c in (0, 1):
-                part = x[(block["fold"] != fold) & ((block["label"] > 0) == c)]
-                out[i, c, 0], out[i, c, 1], out[i, c, 2] = len(part), part.sum(0), (part * part).sum(0)
+                rows = (block["fold"] != fold) & ((block["label"] > 0) == c)
+                terms = rows[of]
+                at, held = block["at"][terms], values[terms]
+                out[i, c, 0] = rows.sum()
+                for k, power in enumerate((narrow[rows], np.square(narrow[rows])), 1):
+                    out[i, c, k, :first] = power.sum(0)
+                for k, power in enumerate((held, np.square(held)), 1):
+                    out[i, c, k, first:] = np.bincount(at, power, minlength=len(prepared.terms))
         return out.ravel()
 
     found = summed(packed, add, len(wanted) * 6 * prepared.columns).reshape(len(wanted), 2, 3, prepared.columns)
@@ -449,7 +568,7 @@ def _judged_bayes(packed: DataFrame, prepared: Prepared, models: Sequence[dict],
         prepared, groups, smoothing, moments = sent.value
         out = np.zeros((len(smoothing), 4))
         for (fold, size), which in groups.items():
-            held, used = _of_fold(block, fold), prepared.used(fold, size)
+            held, used = _those(block, block["fold"] == fold), prepared.used(fold, size)
             x = matrix(held, prepared, fold, size)[:, used]
             chance = np.zeros((2, len(x), len(which)))
             shaped = [_gaussians(moments[fold, size], used, smoothing[i]) for i in which]
@@ -587,6 +706,7 @@ def run(packed: DataFrame, prepared: Prepared, model: str, space: Space, trials:
     folds = range(prepared.folds)
     sizes = class_sizes(packed, prepared.folds)
     moments: dict[tuple[int, int], np.ndarray] = {}
+    shapes: dict[int, Shape] = {}
     if model == "naive_bayes":
         steps = space.get("max_features")
         every = [size] if steps is None else [int(steps.low + i * steps.step) for i in range(int((steps.high - steps.low) / steps.step) + 1)]
@@ -596,7 +716,7 @@ def run(packed: DataFrame, prepared: Prepared, model: str, space: Space, trials:
         block = [{"max_features": size} | p for p in sampler.ask(min(at_once, trials - len(out)))]
         models = [p | {"fold": f} for p in block for f in folds]
         if model == "logistic":
-            cells = _judged_logistic(packed, prepared, models, logistic_weights(packed, prepared, models, sizes))
+            cells = _judged_logistic(packed, prepared, models, logistic_weights(packed, prepared, models, sizes, shapes))
         elif model == "naive_bayes":
             cells = _judged_bayes(packed, prepared, models, moments)
         else:
