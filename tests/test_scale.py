@@ -98,3 +98,75 @@ def test_one_matrix_of_counts_serves_all_folds():
         parts = [search._narrow(block, p, f), search._counts(block, p) * search._weights(p, f, 20) / search._lengths(block, p, f, 20)[:, None]]
         assert np.allclose(whole, np.concatenate(parts, 1))
         assert np.allclose(search.matrix(search._of_fold(block, f), p, f, 20), whole[block["fold"] == f])
+
+
+def _dealt(donors, leaves):
+    """A tree over donors with its boxes, the leaves that hold any, and their donors."""
+    tree = neighbours.split(donors, leaves)
+    leaf, shape = tree.leaf_of(donors), (tree.leaves, donors.shape[1])
+    tree.low, tree.high, tree.gone = np.full(shape, np.nan), np.full(shape, np.nan), np.zeros(shape, bool)
+    tree.rows = np.bincount(leaf, minlength=tree.leaves)
+    for x in np.flatnonzero(tree.rows):
+        here = donors[leaf == x]
+        tree.low[x], tree.high[x], tree.gone[x] = here.min(0), here.max(0), np.isnan(here).all(0)
+    filled = np.flatnonzero(tree.rows)
+    return tree, filled, [donors[leaf == x] for x in filled]
+
+
+def test_leaves_do_not_mix_donors_with_and_without_a_coordinate():
+    rng = np.random.default_rng(8)
+    donors = rng.random((4000, 4))
+    donors[::7, 1:3], donors[::11, 3] = np.nan, np.nan
+    tree, _, each = _dealt(donors, 64)
+    assert tree.leaves == 64 and all((np.isnan(d).any(0) == np.isnan(d).all(0)).all() for d in each)
+    assert tree.bounds(np.array([[0.5, np.nan, np.nan, np.nan]]), targets=[1])[0][tree.gone[:, 1]].min() == np.inf
+
+
+@pytest.mark.parametrize("known", [False, True])
+def test_queries_meet_few_donors_and_miss_none(monkeypatch, known):
+    """Blocks of queries met every leaf that one of them could need, a first chunk in whole."""
+    rng = np.random.default_rng(9)
+    donors = rng.random((6000, 4)).round(2)
+    donors[::7, 1:3], donors[::11, 3] = np.nan, np.nan
+    donors = donors[~np.isnan(donors).all(1)]
+    points = rng.random((500, 4)).round(2)
+    points[:, 3] = np.nan
+    points[::3, 1] = np.nan
+    points[7] = np.nan
+    tree, leaves, each = _dealt(donors, 128)
+    ones, k, at = np.ones(len(donors), np.int64), 3, [1, 3]
+    want = neighbours._first(neighbours._met(points, np.full(500, np.inf), donors, ones, at, k), k)[0]
+    reach = np.full(500, np.inf)
+    if known:
+        reach[:] = 0.0
+        np.maximum.at(reach, want[0], want[2])
+    met, pairs = neighbours._met, []
+    monkeypatch.setattr(neighbours, "_met", lambda p, r, d, *rest: pairs.append(len(p) * len(d)) or met(p, r, d, *rest))
+    got = neighbours._led(points, reach, tree, leaves, each, [np.ones(len(d), np.int64) for d in each], at, k)
+    assert all(np.allclose(a, b) for a, b in zip(got, want, strict=True))
+    assert sum(pairs) < 0.25 * 500 * len(donors)
+
+
+def test_slices_are_as_many_as_visitors_need(spark, monkeypatch):
+    """Donors were copied for every slice of all queries, also where few queries came."""
+    rng = np.random.default_rng(10)
+    values = [(i, float(x), None if i % 5 == 0 else float(y)) for i, (x, y) in enumerate(rng.random((400, 2)).round(2))]
+    df = spark.createDataFrame(values, "id int, a double, t double").withColumn("_query", F.col("id").cast("string"))
+    monkeypatch.setattr(neighbours, "PART_ROWS", 20)
+    monkeypatch.setattr(neighbours, "SLICE_ROWS", 10)
+    donors = df.filter("t IS NOT NULL").groupBy("a", "t").agg(F.count(F.lit(1)).alias("_copies")).cache()
+    copies, repartition = [], type(df).repartition
+
+    def counted(self, *how):
+        if "_slice" in self.columns and "_copies" in self.columns:
+            copies.append(self.count())
+        return repartition(self, *how)
+
+    monkeypatch.setattr(type(df), "repartition", counted)
+    got = neighbours.nearest(df.filter("t IS NULL"), donors, ["a", "t"], ["t"], 2, 10).groupBy("_asked").agg(F.min(F.struct("distance", "value")).alias("b")).collect()
+    assert copies[0] <= 2 * donors.count()  # eighty queries are eight slices
+    held = [(r["a"], r["t"]) for r in donors.collect()]
+    for r in got:
+        x = values[int(r["_asked"])][1]
+        assert (r["b"]["distance"], r["b"]["value"]) == pytest.approx(min((round(abs(x - a) * math.sqrt(2), 12), t) for a, t in held), abs=1e-9)
+    assert len(got) == 80
