@@ -223,7 +223,7 @@ def test_a_shape_is_that_of_the_features(packed, monkeypatch):
     shape = search.shape_of(some, prepared, 60, rank=10_000)
     weights = np.max([search._weights(prepared, f, 60) for f in range(5)], axis=0)[:, None]
     x = np.concatenate([np.concatenate([np.mean([search._narrow(b, prepared, f) for f in range(5)], axis=0),
-                                        search._counts(b, prepared) * weights.T / search._lengths(search._counts(b, prepared), weights), np.ones((len(b["label"]), 1))], 1) for b in some])
+                                        search._counts(b, prepared) * weights.T / search._all_lengths(search._counts(b, prepared), weights), np.ones((len(b["label"]), 1))], 1) for b in some])
     gradient = np.random.default_rng(1).normal(size=x.shape[1])
     assert np.allclose(shape.solved(gradient, 0.01), np.linalg.solve(0.25 * x.T @ x / 400 + 0.01 * np.eye(x.shape[1]), gradient), rtol=1e-6)
 

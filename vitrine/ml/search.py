@@ -181,6 +181,11 @@ def _those(block: dict[str, np.ndarray], held: np.ndarray) -> dict[str, np.ndarr
             "ends": np.cumsum([0, *each[held]]), "at": block["at"][terms], "count": block["count"][terms]}
 
 
+def _of_fold(block: dict[str, np.ndarray], fold: int) -> dict[str, np.ndarray]:
+    """The block's rows that lie in a fold."""
+    return _those(block, block["fold"] == fold)
+
+
 def _owners(block: dict[str, np.ndarray]) -> np.ndarray:
     """The row that each term count belongs to."""
     return np.repeat(np.arange(len(block["label"])), np.diff(block["ends"]))
@@ -208,7 +213,13 @@ def _weights(prepared: Prepared, fold: int, size: int) -> np.ndarray:
     return prepared.idf[fold] * (prepared.place[fold] < size)
 
 
-def _lengths(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def _lengths(block: dict[str, np.ndarray], prepared: Prepared, fold: int, size: int) -> np.ndarray:
+    values = block["count"] * _weights(prepared, fold, size)[block["at"]]
+    length = np.sqrt(np.bincount(_owners(block), values * values, minlength=len(block["label"])))
+    return np.where(length > 0, length, 1.0)
+
+
+def _all_lengths(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """The length of each row of counts under each column of weights; 1 for a row without a term."""
     length = np.sqrt(np.square(counts) @ np.square(weights))
     return np.where(length > 0, length, 1.0)
@@ -216,10 +227,8 @@ def _lengths(counts: np.ndarray, weights: np.ndarray) -> np.ndarray:
 
 def _values(block: dict[str, np.ndarray], prepared: Prepared, fold: int, size: int) -> np.ndarray:
     """The text feature that each term count becomes."""
-    of = _owners(block)
     values = block["count"] * _weights(prepared, fold, size)[block["at"]]
-    length = np.sqrt(np.bincount(of, values * values, minlength=len(block["label"])))
-    return values / np.where(length > 0, length, 1.0)[of]
+    return values / _lengths(block, prepared, fold, size)[_owners(block)]
 
 
 def matrix(block: dict[str, np.ndarray], prepared: Prepared, fold: int, size: int) -> np.ndarray:
@@ -401,7 +410,7 @@ def shape_of(some: Sequence[dict[str, np.ndarray]], prepared: Prepared, size: in
     for block in some:
         counts = _counts(block, prepared)
         narrow = np.mean([_narrow(block, prepared, f) for f in range(prepared.folds)], axis=0)
-        parts.append(np.concatenate([narrow, counts * weights.T / _lengths(counts, weights), np.ones((len(counts), 1))], 1))
+        parts.append(np.concatenate([narrow, counts * weights.T / _all_lengths(counts, weights), np.ones((len(counts), 1))], 1))
     x = np.concatenate(parts) if parts else np.zeros((0, prepared.columns + 1))
     x /= math.sqrt(max(len(x), 1))
     basis = np.random.default_rng(0).normal(size=(x.shape[1], min(rank, x.shape[1])))
@@ -435,7 +444,7 @@ def _asked(prepared: Prepared, fits: Sequence, points: np.ndarray) -> _Asked:
 
 def _said(block: dict[str, np.ndarray], counts: np.ndarray, prepared: Prepared, asked: _Asked) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
     """What each model says of each row, the lengths of the rows for each model, and the narrow features by fold."""
-    length = _lengths(counts, asked.weights)[:, asked.group]
+    length = _all_lengths(counts, asked.weights)[:, asked.group]
     out = counts @ asked.scaled / length + asked.intercept
     narrow = {f: _narrow(block, prepared, f) for f in np.unique(asked.fold).tolist()}
     for f, features in narrow.items():
@@ -568,7 +577,7 @@ def _judged_bayes(packed: DataFrame, prepared: Prepared, models: Sequence[dict],
         prepared, groups, smoothing, moments = sent.value
         out = np.zeros((len(smoothing), 4))
         for (fold, size), which in groups.items():
-            held, used = _those(block, block["fold"] == fold), prepared.used(fold, size)
+            held, used = _of_fold(block, fold), prepared.used(fold, size)
             x = matrix(held, prepared, fold, size)[:, used]
             chance = np.zeros((2, len(x), len(which)))
             shaped = [_gaussians(moments[fold, size], used, smoothing[i]) for i in which]
