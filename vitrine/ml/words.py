m05_term_counts counts terms inside their row; only repeated documents meet

Symptom: m05_term_counts held and shuffled one line per document and term; on 0.51 GB of documents it was stopped for using 2.40 GB of disk before it ended, so its spill there could not be read off.
Evidence: on 0.10 GB 291 MB shuffled, 501 task seconds a GB and 1985 MB peak in an executor, against 46 MB for reading and dealing out the rows; the grouping by document and term follows an explode in six tasks that hold every line of theirs.
Fix: terms are counted inside the row from words written durably; ids that come several times are found by counting ids alone, and only their rows are grouped by document and term. Null ids, empty texts and repeated ids give what they gave.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 911 -> 360 s, shuffle 3.13 -> 0.43 GB, spill 2.38 -> 0.00 GB, read 0.97 -> 0.97 GB, longest task 57 -> 15 s, most memory of a task 872 -> 42 MB; at 6 GB of input CPU 4691 -> 1538 s, shuffle 18.96 -> 2.62 GB, spill 14.52 -> 0.00 GB, read 5.90 -> 5.90 GB, longest task 315 -> 74 s, most memory of a task 864 -> 66 MB; with hot keys, at 1 GB of input CPU 240 -> 180 s, shuffle 0.66 -> 0.08 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 11 -> 6 s, most memory of a task 336 -> 38 MB.

@@ -71,11 +71,6 @@ def content_words(column: str, stop_words: Sequence[str] = lemma.CLOSED_CLASSES,
     return F.array_join(F.transform(open_class, lambda w: lemma.lemma(w)), " ")
 
 
-def term_counts(df: DataFrame, doc: str, column: str = "review_text") -> DataFrame:
-    """Occurrences of each term in each document, one line per (document, term)."""
-    return df.select(doc, F.explode(terms(column)).alias("term")).groupBy(doc, "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def _words(column: str) -> Column:
     """The words of ``terms`` between single spaces, which no word holds."""
     return F.array_join(F.regexp_extract_all(F.col(column), F.lit(r"(?U)\b\w\w+\b"), F.lit(0)), " ")
@@ -87,6 +82,46 @@ def _listed(words: str) -> list[str]:
     return [*w, *map(" ".join, zip(w, w[1:]))]
 
 
+def _counted(rows: DataFrame, doc: str) -> DataFrame:
+    """Uses of each term in each row of ``doc`` and ``words``, as ``_words`` gives them; lines leave the task ``_LINES`` at a time."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, names, uses = [], [], []
+
+            def lines() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(names, pa.string()), pa.array(uses, pa.int64())], [doc, "term", "tf"])
+
+            for i, words in enumerate(batch.column(1)):
+                found = Counter(_listed(words.as_py() or ""))
+                at.extend([i] * len(found))
+                names.extend(found)
+                uses.extend(found.values())
+                if len(at) >= _LINES:
+                    yield lines()
+                    at, names, uses = [], [], []
+            if at:
+                yield lines()
+
+    return rows.mapInArrow(count, f"`{doc}` {rows.schema[doc].dataType.simpleString()}, term string, tf bigint")
+
+
+def term_counts(df: DataFrame, doc: str, column: str = "review_text") -> DataFrame:
+    """Occurrences of each term in each document, one line per (document, term).
+
+    Terms are counted inside their row, which is all for a document of one row, so neither a table of terms is held nor a term shuffled.
+    Only the rows of documents that come several times meet by document and term. Those are found by their ids, from words written durably,
+    so that no text is read or cleaned twice.
+    """
+    rows = durable(df.select(doc, _words(column).alias("words")))
+    several = durable(rows.groupBy(doc).count().filter("count > 1").select(F.col(doc).alias("_several")))
+    if several.isEmpty():
+        return _counted(rows, doc)
+    same = F.col(doc).eqNullSafe(F.col("_several"))
+    met = _counted(rows.join(several, same, "left_semi"), doc).groupBy(doc, "term").agg(F.sum("tf").alias("tf"))
+    return _counted(rows.join(several, same, "left_anti"), doc).union(met)
+
+
 def tallied(df: DataFrame, column: str = "review_text", fold: str | None = None) -> DataFrame:
     """Uses of each term (``use``) and texts that hold it (``doc``), and the texts under no term; several lines a term, to be added up.
 
