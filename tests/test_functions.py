@@ -59,6 +59,26 @@ def test_model_text(spark):
     assert one(spark, text.clean_for_model(F.col("t")), t=("  Você VIU http://x.y/z? Ótimo, bom!! àâêôü ", "string")) == "voc viu ótimo bom"
 
 
+def test_model_text_of_every_character(spark):
+    """f10, m06: each character was tried against every range and named class of a set, one after another."""
+    out = F.regexp_replace(F.lower("t"), f"(?:http|www)[^{text.WHITE}]+", "")
+    out = F.regexp_replace(out, f"[^a-z0-9{text.WHITE} áéíóúãõçñ]+", "")
+    wanted = F.trim(F.regexp_replace(out, f"[{text.WHITE}]+", " "))
+    c = F.expr("decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32')")
+    around = F.concat(c, F.lit("á b"), c, F.lit("C "), c, F.lit(" http:"), c, F.lit("9"), c, c, F.lit("-www."), c)
+    codes = spark.range(0x110000).filter("id < 55296 or id > 57343").select(around.alias("t"))
+    assert codes.filter(~text.clean_for_model(F.col("t")).eqNullSafe(wanted)).count() == 0
+    odd = [None, "", " ", "\u00a0", "http", "HTTP://a b", "a\u2003\u3000b", " \t ", "a \x1c", "wwww www", "…a…", "\u1680", "x" * 5000 + "!" * 5000 + " " * 5000]
+    rows = spark.createDataFrame([(t,) for t in odd], "t string")
+    assert rows.filter(~text.clean_for_model(F.col("t")).eqNullSafe(wanted)).count() == 0
+
+
+def test_model_text_leaves_its_sets_at_the_table(spark):
+    """Ranges and named classes stand behind the letters listed one by one, not before them."""
+    plan = spark.createDataFrame([("x",)], "t string").select(text.clean_for_model(F.col("t")))._jdf.queryExecution().analyzed().toString()
+    assert "[^a-z" not in plan and f"[{text.WHITE}" not in plan
+
+
 def test_padding_keeps_long_text(spark):
     assert one(spark, text.zero_padded(F.col("t")), t=("12", "string")) == "00012"
     assert one(spark, text.zero_padded(F.col("t")), t=("1234567", "string")) == "1234567"

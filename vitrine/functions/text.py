@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from functools import reduce
+from string import ascii_lowercase, digits
 
 from pyspark.sql import Column, functions as F
 
@@ -185,6 +186,15 @@ def alias_matches(name: Column, aliases: Iterable[str]) -> Column:
 WHITE = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
+# A regular expression looks single characters below U+0100 up in one table, but tries the ranges and named classes of a set one by one
+# on each character. The sets below hold what WHITE holds, in the shape that most characters leave after the table.
+_NEAR_WHITE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0"
+_FAR_WHITE = r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_WHITE_NO_SPACE = rf"[\x{{1680}}-\x{{3000}}&&[{_FAR_WHITE}]]{_NEAR_WHITE}"
+# The model's alphabet.
+_ALPHABET = ascii_lowercase + digits + "áéíóúãõçñ"
+
+
 def word_count(text: Column) -> Column:
     """Number of whitespace-separated words; 0 for blank text."""
     bare = F.regexp_replace(text, f"^[{WHITE}]+|[{WHITE}]+$", "")
@@ -198,11 +208,11 @@ def has_words(text: Column, least: int) -> Column:
 
 def clean_for_model(text: Column) -> Column:
     """Lower, drop links, keep the model's alphabet, collapse whitespace."""
-    # Link pattern and kept alphabet.
+    # Link pattern.
     out = F.regexp_replace(F.lower(text), f"(?:http|www)[^{WHITE}]+", "")
-    out = F.regexp_replace(out, f"[^a-z0-9{WHITE} áéíóúãõçñ]+", "")
+    out = F.regexp_replace(out, f"[[^{_ALPHABET} {_NEAR_WHITE}]&&[^{_FAR_WHITE}]]+", "")
     # A single plain space already is what a run of whitespace becomes, so only others are replaced.
-    return F.btrim(F.regexp_replace(out, f" [{WHITE}]+|[{WHITE}&&[^ ]][{WHITE}]*", " "))
+    return F.btrim(F.regexp_replace(out, f" [{_WHITE_NO_SPACE} ]+|[{_WHITE_NO_SPACE}][{_WHITE_NO_SPACE} ]*", " "))
 
 
 def is_valid_request(text: Column, shortest: int = 10, longest: int = 1000) -> Column:
