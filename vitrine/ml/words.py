m06_vocabulary counts words first, then only the pairs that can enter

Symptom: m06_vocabulary counted every pair of neighbours of every text, most of which come once or twice, and took 270 + 174 seconds of JVM and Python a GB after the texts' cleaning had become cheaper (404 + 179 before that).
Evidence: on 0.51 GB six tasks sent 29.6 million lines of terms into the shuffle for 2,000 in the result, wrote 476 MB there and spilled 573 MB; counting alone took most of their 183 s.
Fix: a pair comes no more often, and in no more texts, than either word. Words are counted first, from words written durably; then pairs of words that come in enough texts and as often as the last word that words alone would let in. If ties leave more than 8 x the vocabulary's size of them, all pairs are counted as before. Results are the same, ties included.
Effect, together with 2 more commits on this code: at 1 GB of input CPU 709 -> 397 s, shuffle 1.49 -> 0.62 GB, spill 0.00 -> 0.00 GB, read 0.97 -> 0.97 GB, longest task 51 -> 10 s, most memory of a task 604 -> 50 MB; at 6 GB of input CPU 3832 -> 1664 s, shuffle 6.55 -> 3.10 GB, spill 5.01 -> 0.00 GB, read 5.90 -> 5.90 GB, longest task 306 -> 46 s, most memory of a task 864 -> 168 MB; with hot keys, at 1 GB of input CPU 241 -> 204 s, shuffle 0.30 -> 0.14 GB, spill 0.00 -> 0.00 GB, read 0.18 -> 0.18 GB, longest task 13 -> 5 s, most memory of a task 101 -> 38 MB.

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import sys
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -27,6 +27,8 @@ LABELS = ("Negative", "Positive")
 
 #: Terms that a task counts at a time.
 _LINES = 200_000
+#: Words by which pairs are chosen, at most, as a multiple of the vocabulary's size.
+_KNOWN = 8
 
 TERMS_SQL = r"""SELECT *, get(transform(array(regexp_extract_all({column}, '(?U)\\b\\w\\w+\\b', 0)), w -> concat(w,
     if(size(w) > 1, transform(sequence(0, size(w) - 2), i -> concat(w[i], ' ', w[i + 1])), slice(w, 1, 0)))), 0) AS terms FROM __THIS__"""
@@ -82,6 +84,20 @@ def _listed(words: str) -> list[str]:
     return [*w, *map(" ".join, zip(w, w[1:]))]
 
 
+def _single(words: str) -> list[str]:
+    return words.split(" ") if words else []
+
+
+def _pairs(known: frozenset[str] | None) -> Callable[[str], list[str]]:
+    """Lists the pairs of neighbours of a text; with ``known``, only those of two known words."""
+
+    def listed(words: str) -> list[str]:
+        w = _single(words)
+        return [f"{a} {b}" for a, b in zip(w, w[1:]) if known is None or a in known and b in known]
+
+    return listed
+
+
 def _counted(rows: DataFrame, doc: str) -> DataFrame:
     """Uses of each term in each row of ``doc`` and ``words``, as ``_words`` gives them; lines leave the task ``_LINES`` at a time."""
 
@@ -122,12 +138,13 @@ def term_counts(df: DataFrame, doc: str, column: str = "review_text") -> DataFra
     return _counted(rows.join(several, same, "left_anti"), doc).union(met)
 
 
-def tallied(df: DataFrame, column: str = "review_text", fold: str | None = None) -> DataFrame:
+def tallied(df: DataFrame, column: str = "review_text", fold: str | None = None, words: Column | None = None, listed: Callable[[str], list[str]] = _listed) -> DataFrame:
     """Uses of each term (``use``) and texts that hold it (``doc``), and the texts under no term; several lines a term, to be added up.
 
     A task counts its texts in a table that leaves it whenever it holds ``_LINES`` terms. Texts that are NULL do not count.
+    ``words`` holds what ``_words`` gives where that is there already; ``listed`` gives the terms of them that are counted.
     """
-    rows = df.select((F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"), _words(column).alias("words"))
+    rows = df.select((F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"), (_words(column) if words is None else words).alias("words"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -144,7 +161,7 @@ def tallied(df: DataFrame, column: str = "review_text", fold: str | None = None)
                 if words is None:
                     continue
                 here = held.setdefault(f, [Counter(), Counter(), 0])
-                found = _listed(words)
+                found = listed(words)
                 here[0].update(found)
                 here[1].update(set(found))
                 here[2] += 1
@@ -159,17 +176,30 @@ def tallied(df: DataFrame, column: str = "review_text", fold: str | None = None)
 def vocabulary(df: DataFrame, column: str = "review_text", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, size: int = VOCABULARY) -> DataFrame:
     """Most frequent terms within the document-share bounds, ties by term, with smoothed inverse document frequency.
 
-    Uses and documents are counted in one shuffle, merged map-side. Documents are also counted
-    under no term; the totals of frequent terms are written durably, so that reading that number
-    from them spares a second pass over the texts.
+    A pair of neighbours is used no more often, and in no more texts, than either of its words. So words are counted first, and then
+    only the pairs of words that come in enough texts and as often as the last word that ``size`` words alone would let in. These words
+    come to the driver, unless ties make them more than ``_KNOWN`` times ``size``: then the pairs of all words are counted.
+
+    Uses and documents are counted in one shuffle, merged map-side. Documents are also counted under no term. Words and totals of
+    frequent terms are written durably, so that the texts are read and cleaned once.
     """
-    totals = tallied(df, column).groupBy("term").agg(F.sum("doc").alias("df"), F.sum("use").alias("tf"))
-    totals = durable(totals.filter(F.col("term").isNull() | (F.col("df") >= min_docs)))
-    docs = totals.agg(F.max(F.when(F.col("term").isNull(), F.struct("df", "tf"))).alias("d")).scalar()["df"]
-    both = totals.withColumn("_docs", docs).filter("term is not null")
-    kept = both.filter((F.col("df") >= min_docs) & (F.col("df") <= max_share * F.col("_docs")))
+    rows = durable(df.select(_words(column).alias("words")))
+
+    def totals(listed: Callable[[str], list[str]]) -> DataFrame:
+        found = tallied(rows, words=F.col("words"), listed=listed).groupBy("term").agg(F.sum("doc").alias("df"), F.sum("use").alias("tf"))
+        return durable(found.filter(F.col("term").isNull() | (F.col("df") >= min_docs)))
+
+    single = totals(_single)
+    docs = single.agg(F.max(F.when(F.col("term").isNull(), F.struct("df", "tf"))).alias("d")).first()["d"]
+    within = F.col("term").isNotNull() & (F.col("df") >= min_docs) & (F.col("df") <= max_share * F.lit(docs["df"] if docs else None).cast("bigint"))
+    first = F.col("tf").desc(), F.col("term")
+    leading = single.filter(within).orderBy(*first).limit(size).agg(F.count("*").alias("n"), F.min("tf").alias("tf")).first()
+    least = leading["tf"] if leading["n"] >= size else 0
+    known = [r["term"] for r in single.filter(F.col("term").isNotNull() & (F.col("tf") >= least)).select("term").limit(_KNOWN * size + 1).collect()]
+    both = single.union(totals(_pairs(frozenset(known) if len(known) <= _KNOWN * size else None)))
+    kept = both.filter(within).withColumn("_docs", F.lit(docs["df"] if docs else None).cast("bigint"))
     idf = F.log((1 + F.col("_docs")) / (1 + F.col("df"))) + 1
-    return kept.orderBy(F.col("tf").desc(), "term").limit(size).select("term", "df", "tf", idf.alias("idf"))
+    return kept.orderBy(*first).limit(size).select("term", "df", "tf", idf.alias("idf"))
 
 
 def tfidf(df: DataFrame, doc: str, column: str = "review_text", **bounds) -> DataFrame:
